@@ -16,8 +16,11 @@ that rank is within the union's first ``min(|x|, |y|)``.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ BLOCK = 64
 BLOCK_HASHES = 6_400_000
 MAX_BLOCK = 512
 
+# the cell function travels by value, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAIR_SCHEMA = "a string, b string, shared int, sketch_size int"
 
 

@@ -127,6 +127,10 @@ def _level(width: Column) -> Column:
     return F.floor(F.log2(width + F.lit(0.5))).cast("int")
 
 
+def _power(level: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), level)
+
+
 def range_minimum(tree: DataFrame) -> DataFrame:
     """``level, start, node_id, depth``: shallowest node of every window of ``2**level`` ids.
 
@@ -134,7 +138,7 @@ def range_minimum(tree: DataFrame) -> DataFrame:
     node wins exactly the windows that contain it and stay inside its subtree,
     so each node lists its own windows and nothing has to be compared.
     """
-    size = F.shiftleft(F.lit(1), F.col("level"))
+    size = _power(F.col("level"))
     levels = tree.select("node_id", "depth", "lo", "hi",
                          F.explode(F.sequence(F.lit(0), _level(F.col("hi") - F.col("lo") + 1))).alias("level"))
     spans = levels.select(
@@ -159,7 +163,7 @@ def lowest_common_ancestor(pairs: DataFrame, tree: DataFrame, small: bool = True
     right = side.select("level", F.col("start").alias("__s2"), F.col("node_id").alias("__n2"), F.col("depth").alias("__d2"))
     if small:
         left, right = F.broadcast(left), F.broadcast(right)
-    keyed = keyed.withColumn("__s2", F.col("hi_id") - F.shiftleft(F.lit(1), F.col("level")) + 1)
+    keyed = keyed.withColumn("__s2", F.col("hi_id") - _power(F.col("level")) + 1)
     found = keyed.join(left, ["level", "lo_id"]).join(right, ["level", "__s2"])
     best = F.when(F.col("__d1") <= F.col("__d2"), F.col("__n1")).otherwise(F.col("__n2"))
     return found.select(*pairs.columns, best.alias("node_id"))

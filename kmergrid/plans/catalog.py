@@ -132,7 +132,7 @@ def document_tree(spark: SparkSession, sf: str) -> DataFrame:
 
     ups = F.expr(f"""filter(transform(sequence(t + 1, greatest({top}, t + 1)),
                  u -> (2 * shiftright(i, u + 1) + 1) * shiftleft(1, u)), g -> g <= {n - 1})""")
-    reach = F.shiftleft(F.lit(1), F.col("t"))
+    reach = F.call_function("shiftleft", F.lit(1), F.col("t"))
     base = at.withColumn("ups", ups).select(
         F.when(F.col("is_leaf"), 2 * F.col("i")).otherwise(2 * F.col("i") - 1).alias("node_id"),
         F.when(F.size("ups") > 0, 2 * F.get("ups", F.lit(0)) - 1).alias("parent_id"),
