@@ -14,11 +14,11 @@ def estimate_genome_size(max_hash: Column, sketch_size: int) -> Column:
     """Genome size from how far up the hash range the sketch reaches.
 
     Uses the configured sketch size, truncates and saturates at the largest
-    signed int.
+    signed int.  NULL for an empty sketch (``least`` alone would skip the NULL).
     """
     reach = max_hash.cast("bigint") + F.lit(2147483649)
     estimate = F.lit(4294967296.0) * (F.lit(float(sketch_size)) / reach)
-    return F.floor(F.least(estimate, F.lit(float(INT_MAX)))).cast("bigint")
+    return F.when(max_hash.isNotNull(), F.floor(F.least(estimate, F.lit(float(INT_MAX)))).cast("bigint"))
 
 
 def jaccard_index(shared: Column, union_size: Column) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +53,6 @@ def _block(blocks: int) -> Column:
     return F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int")
 
 
-def _segments(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(h) for h in hashes], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    return lengths, starts
-
-
 def _one_against_many(x: np.ndarray, flat: np.ndarray, owner: np.ndarray,
                       rank: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Shared hashes within the bottom-s union of ``x`` and each of many sketches.
@@ -77,40 +71,39 @@ def _one_against_many(x: np.ndarray, flat: np.ndarray, owner: np.ndarray,
     return np.bincount(who[keep], minlength=len(sizes))
 
 
-def _cell_pairs(cell: pd.DataFrame) -> pd.DataFrame:
+def _cell_pairs(cell: pa.Table) -> pa.Table:
     """All pairs of one grid cell: row block against column block, or a block with itself."""
-    same = cell["row_block"].iloc[0] == cell["col_block"].iloc[0]
-    cell = cell.sort_values("sample", kind="stable")
-    rows = cell if same else cell[cell["block"] == cell["row_block"]]
-    cols = cell if same else cell[cell["block"] == cell["col_block"]]
-    row_names, col_names = rows["sample"].to_numpy(), cols["sample"].to_numpy()
-    row_old, col_old = rows["old"].to_numpy(), cols["old"].to_numpy()
-    col_hashes = [np.asarray(h, dtype=np.int32) for h in cols["hashes"]]
-    out: list[pd.DataFrame] = []
-    if len(col_hashes) == 0 or len(rows) == 0:
-        return pd.DataFrame({"a": [], "b": [], "shared": [], "sketch_size": []})
-    sizes, starts = _segments(col_hashes)
-    flat = np.concatenate(col_hashes)
-    owner = np.repeat(np.arange(len(col_hashes)), sizes)
-    rank = np.arange(1, len(flat) + 1) - starts[owner]
-    for i, hashes in enumerate(rows["hashes"]):
-        x = np.asarray(hashes, dtype=np.int32)
-        lo = i + 1 if same else 0
-        if lo >= len(col_hashes):
-            continue
-        skip = starts[lo]
-        shared = _one_against_many(x, flat[skip:], owner[skip:] - lo, rank[skip:], sizes[lo:])
-        names, old = col_names[lo:], col_old[lo:]
-        wanted = ~(old & row_old[i])
-        other, name = names[wanted], row_names[i]
-        swap = other < name
-        out.append(pd.DataFrame({
-            "a": np.where(swap, other, name), "b": np.where(swap, name, other),
-            "shared": shared[wanted].astype(np.int32),
-            "sketch_size": np.minimum(sizes[lo:], len(x))[wanted].astype(np.int32)}))
-    if not out:
-        return pd.DataFrame({"a": [], "b": [], "shared": [], "sketch_size": []})
-    return pd.concat(out, ignore_index=True)
+    lists = cell.column("hashes").combine_chunks()
+    values = lists.flatten().to_numpy()
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    names = np.array(cell.column("sample").to_pylist(), dtype=object)
+    block = cell.column("block").to_numpy()
+    old = np.array(cell.column("old").to_pylist(), dtype=bool)
+    row_block, col_block = cell.column("row_block")[0].as_py(), cell.column("col_block")[0].as_py()
+    same = row_block == col_block
+    order = np.argsort(names, kind="stable")
+    rows, cols = order[block[order] == row_block], order[block[order] == col_block]
+    out = []
+    if len(rows) and len(cols):
+        hashes = np.split(values, ends[:-1])
+        sizes = np.array([len(hashes[c]) for c in cols])
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        flat = np.concatenate([hashes[c] for c in cols])
+        owner = np.repeat(np.arange(len(cols)), sizes)
+        rank = np.arange(1, len(flat) + 1) - starts[owner]
+        for i, r in enumerate(rows):
+            # within one block each pair once; old samples are never paired again
+            lo = i + 1 if same else 0
+            x, skip = hashes[r], starts[lo]
+            shared = _one_against_many(x, flat[skip:], owner[skip:] - lo, rank[skip:], sizes[lo:])
+            wanted = ~(old[cols[lo:]] & old[r])
+            other, used = names[cols[lo:]][wanted], np.minimum(sizes[lo:], len(x))[wanted]
+            swap = np.array([o < names[r] for o in other], dtype=bool)
+            me = np.full(len(other), names[r], dtype=object)
+            out.append((np.where(swap, other, me), np.where(swap, me, other), shared[wanted], used))
+    a, b, shared, used = (np.concatenate(c) for c in zip(*out)) if out else ([], [], [], [])
+    return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()),
+                     "shared": pa.array(shared, pa.int32()), "sketch_size": pa.array(used, pa.int32())})
 
 
 def shared_counts(arrays: DataFrame, blocks: int, new_only: bool = False) -> DataFrame:
@@ -130,7 +123,7 @@ def shared_counts(arrays: DataFrame, blocks: int, new_only: bool = False) -> Dat
     cells = sent.select(
         "sample", "hashes", "old", "block",
         F.least("block", "__other").alias("row_block"), F.greatest("block", "__other").alias("col_block"))
-    return cells.groupBy("row_block", "col_block").applyInPandas(_cell_pairs, PAIR_SCHEMA)
+    return cells.groupBy("row_block", "col_block").applyInArrow(_cell_pairs, PAIR_SCHEMA)
 
 
 def with_distance(pairs: DataFrame, config: DistanceConfig) -> DataFrame:
@@ -204,17 +197,17 @@ def matrix_rows(distances: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def matrix_wide(distances: DataFrame, names: list[str]) -> DataFrame:
-    """The matrix as a table with one column per sample (for small sets of samples)."""
+    """The matrix as a table, ``$`` the row name and one column per sample (small sets only)."""
     diagonal = distances.sparkSession.createDataFrame(
         [(n, n, 0.0) for n in names], "a string, b string, distance double")
     cells = symmetric(distances).unionByName(diagonal)
-    return cells.groupBy("a").pivot("b", names).agg(F.first("distance"))
+    return cells.withColumnRenamed("a", "$").groupBy("$").pivot("b", names).agg(F.first("distance"))
 
 
 def unpivot(wide: DataFrame) -> DataFrame:
     """Upper triangle of a wide matrix as ``a, b, distance``; column order decides what is upper."""
     names = wide.columns[1:]
     order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    long = wide.unpivot(wide.columns[0], names, "b", "distance")
-    return long.withColumnRenamed(wide.columns[0], "a").where(order[F.col("a")] < order[F.col("b")])
+    long = wide.unpivot(wide.columns[0], names, "b", "distance").toDF("a", "b", "distance")
+    return long.where(order[F.col("a")] < order[F.col("b")])
 

@@ -338,7 +338,7 @@ def _wide(spark, sf) -> DataFrame:
 
 @query
 def distance_matrix(spark, sf):
-    return _wide(spark, sf)
+    return _wide(spark, sf).withColumnRenamed("$", "a")
 
 
 @query

@@ -11,6 +11,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
 BASES_N = "ACGTACGTACGTACGTACGTACGTNN"
 K, S_SOURCE, S_DOC, S_QUERY = 21, 1000, 64, 200
+CUT = 256
 
 CTES: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
@@ -40,9 +41,13 @@ def _rot(x: str, n: int) -> str:
 def _hash_sql(source: str, k: int, keep: str) -> str:
     """Rows of ``source`` (``keep``, km) with the signed hash of ``km``."""
     starts = list(range(0, k, 4))
+    # bases as decimal digits 0..3, read twelve at a time as numbers
+    parts = ", ".join(f"substr(digits, {i + 1}, {min(12, k - i)})::BIGINT AS d{i // 12}" for i in range(0, k, 12))
+    source = f"(SELECT {keep}, km, {parts} FROM (SELECT *, translate(km, 'ACGT', '0123') AS digits FROM {source}))"
     words = []
     for b, start in enumerate(starts):
-        codes = [f"((instr('ACGT', substr(km, {start + i + 1}, 1)) - 1)::BIGINT << {8 * i})"
+        last = min(12, k - start // 12 * 12) - 1
+        codes = [f"((d{start // 12} // {10 ** (last - (start + i) % 12)} % 10) << {8 * i})"
                  for i in range(min(4, k - start))]
         words.append(f"({' + '.join(codes)}) AS w{b}")
     n = range(len(starts))
@@ -63,9 +68,12 @@ def _hash_sql(source: str, k: int, keep: str) -> str:
 
 def _kmers(seqs: str, k: int = K) -> str:
     """``sample, km, hash`` of all valid canonical windows of a ``(sample, seq)`` relation."""
-    win = (f"SELECT sample, substr(seq, i::BIGINT, {k}) AS fwd FROM "
-           f"(SELECT sample, seq, unnest(generate_series(1, length(seq) - {k - 1})) AS i FROM {seqs} "
+    # cut into overlapping pieces first: substr walks its argument from the start
+    cut = (f"SELECT sample, substr(seq, c::BIGINT, {CUT + k - 1}) AS seq FROM "
+           f"(SELECT sample, seq, unnest(generate_series(1, length(seq) - {k - 1}, {CUT})) AS c FROM {seqs} "
            f"WHERE length(seq) >= {k})")
+    win = (f"SELECT sample, substr(seq, i::BIGINT, {k}) AS fwd FROM "
+           f"(SELECT sample, seq, unnest(generate_series(1, length(seq) - {k - 1})) AS i FROM ({cut}))")
     canon = f"SELECT sample, least(fwd, {_rc('fwd')}) AS km FROM ({win}) WHERE NOT contains(fwd, 'N')"
     return _hash_sql(f"({canon})", k, "sample")
 
@@ -252,7 +260,9 @@ oracle("sketch_track_cov", _sketch("src_kmer", S_SOURCE, 1, "cnt + 1"))
 oracle("sketch_documents", "SELECT * FROM doc_sk")
 oracle("sketch_conversations", "SELECT * FROM conv_sk")
 oracle("sketch_meta", f"""SELECT b.sample, {K} AS kmer_length,
-    floor(least(4294967296.0::DOUBLE * ({S_SOURCE}.0::DOUBLE / (max(k.hash)::BIGINT + 2147483649)), 2147483647.0::DOUBLE))::BIGINT AS genome_size,
+    CASE WHEN max(k.hash) IS NOT NULL THEN
+      floor(least(4294967296.0::DOUBLE * ({S_SOURCE}.0::DOUBLE / (max(k.hash)::BIGINT + 2147483649)), 2147483647.0::DOUBLE))::BIGINT
+    END AS genome_size,
     count(k.hash)::INTEGER AS sketch_size
     FROM (SELECT DISTINCT sample FROM src_seq) b LEFT JOIN src_sk_reads k ON b.sample = k.sample GROUP BY b.sample""")
 CTES["doc_meta"] = f"""SELECT b.sample, {K} AS kmer_length, b.n AS genome_size, coalesce(k.n, 0)::INTEGER AS sketch_size
