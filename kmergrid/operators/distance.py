@@ -16,6 +16,7 @@ that rank is within the union's first ``min(|x|, |y|)``.
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -44,9 +45,14 @@ def hash_arrays(sketch: DataFrame) -> DataFrame:
     return sketch.groupBy("sample").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
 
 
-def block_count(samples: int, sketch_size: int) -> int:
+def block_count(samples: int, sketch_size: int, cores: int = 1) -> int:
+    """Blocks such that a cell fits a task, and there are enough cells for all cores.
+
+    ``b`` blocks make ``b(b+1)/2`` cells; four cells a core even out their sizes.
+    """
     per_block = max(BLOCK, min(MAX_BLOCK, BLOCK_HASHES // max(1, sketch_size)))
-    return max(1, -(-samples // per_block))
+    busy = min(math.ceil(math.sqrt(8 * cores)), samples // 8)
+    return max(1, -(-samples // per_block), busy)
 
 
 def _block(blocks: int) -> Column:
@@ -91,6 +97,15 @@ def _cell_pairs(cell: pa.Table) -> pa.Table:
         flat = np.concatenate([hashes[c] for c in cols])
         owner = np.repeat(np.arange(len(cols)), sizes)
         rank = np.arange(1, len(flat) + 1) - starts[owner]
+        # only hashes that some row sketch can share matter; ranks are already fixed
+        if same:
+            seen, times = np.unique(flat, return_counts=True)
+            common = seen[times > 1]
+        else:
+            common = np.intersect1d(flat, np.concatenate([hashes[r] for r in rows]))
+        kept = np.isin(flat, common)
+        flat, owner, rank = flat[kept], owner[kept], rank[kept]
+        starts = np.searchsorted(owner, np.arange(len(cols) + 1))
         for i, r in enumerate(rows):
             # within one block each pair once; old samples are never paired again
             lo = i + 1 if same else 0
@@ -123,7 +138,12 @@ def shared_counts(arrays: DataFrame, blocks: int, new_only: bool = False) -> Dat
     cells = sent.select(
         "sample", "hashes", "old", "block",
         F.least("block", "__other").alias("row_block"), F.greatest("block", "__other").alias("col_block"))
-    return cells.groupBy("row_block", "col_block").applyInArrow(_cell_pairs, PAIR_SCHEMA)
+    # a cell is little data but much work: fixed partitions keep it from being coalesced by size
+    count = total * (total + 1) // 2
+    cores = arrays.sparkSession.sparkContext.defaultParallelism
+    tasks = min(count, max(8 * cores, int(arrays.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return cells.repartition(tasks, "row_block", "col_block") \
+        .groupBy("row_block", "col_block").applyInArrow(_cell_pairs, PAIR_SCHEMA)
 
 
 def with_distance(pairs: DataFrame, config: DistanceConfig) -> DataFrame:
@@ -141,7 +161,8 @@ def pairwise(sketch: DataFrame, config: DistanceConfig, samples: int | None = No
     if samples is None or sketch_size is None:
         per = sketch.groupBy("sample").count().agg(F.count("*"), F.max("count")).first()
         samples, sketch_size = per[0], per[1] or 1
-    return with_distance(shared_counts(arrays, block_count(samples, sketch_size)), config)
+    cores = sketch.sparkSession.sparkContext.defaultParallelism
+    return with_distance(shared_counts(arrays, block_count(samples, sketch_size, cores)), config)
 
 
 def update(old_distances: DataFrame, old_sketch: DataFrame, new_sketch: DataFrame,
@@ -156,8 +177,9 @@ def update(old_distances: DataFrame, old_sketch: DataFrame, new_sketch: DataFram
         hash_arrays(new_sketch).withColumn("old", F.lit(False)))
     per = old_sketch.select("sample", "hash").unionByName(new_sketch.select("sample", "hash")) \
         .groupBy("sample").count().agg(F.count("*"), F.max("count")).first()
+    cores = old_sketch.sparkSession.sparkContext.defaultParallelism
     fresh = with_distance(
-        shared_counts(both, block_count(per[0], per[1] or 1), new_only=True), config)
+        shared_counts(both, block_count(per[0], per[1] or 1, cores), new_only=True), config)
     return old_distances.select("a", "b", "distance").unionByName(fresh.select("a", "b", "distance"))
 
 

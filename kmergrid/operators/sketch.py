@@ -24,7 +24,7 @@ INT_MIN, INT_MAX = -2147483648, 2147483647
 SALTS = 64
 
 #: hash occurrences a first pruned pass admits, in multiples of the sketch size
-FIRST_PASS_ASSEMBLY = 8
+FIRST_PASS_ASSEMBLY = 4
 FIRST_PASS_READS = 128
 #: how much wider each following pass is for the samples that fell short
 WIDEN = 64
