@@ -4,7 +4,9 @@ A distance matrix has a value for every pair of samples, so the work is laid
 out on a grid: samples are hashed into blocks of about ``BLOCK`` sketches and
 each unordered pair of blocks is one cell.  A sketch travels to one cell per
 block; a cell holds at most two blocks of at most ``s`` hashes each, whatever
-the data looks like.  Joining sketches on their hashes instead would emit every
+the data looks like.  With many blocks, hashes that only one sample has stay
+behind: they shift ranks but are never shared, so shipping the ranks of the
+others is enough.  Joining sketches on their hashes instead would emit every
 pair of samples for every hash they share, which for related samples is ``s``
 rows per pair.
 
@@ -27,12 +29,15 @@ from pyspark.sql import functions as F
 
 from ..config import DistanceConfig
 from ..functions import numeric
+from ..session import materialize
 
-#: sketches per block at the default sketch size (100,000 hashes of 4 bytes: 26 MB)
-BLOCK = 64
+#: sketches per block at the default sketch size (100,000 hashes of 4 bytes: 51 MB)
+BLOCK = 128
 #: hashes a block should hold at most when sketches are smaller than the default
-BLOCK_HASHES = 6_400_000
-MAX_BLOCK = 512
+BLOCK_HASHES = 12_800_000
+MAX_BLOCK = 1024
+#: copies of each sketch from which on dropping private hashes pays for its shuffles
+THIN_FROM = 24
 
 # the cell function travels by value, so executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,8 +46,25 @@ PAIR_SCHEMA = "a string, b string, shared int, sketch_size int"
 
 
 def hash_arrays(sketch: DataFrame) -> DataFrame:
-    """``sample, hashes``: one sorted array per sample, bounded by the sketch size."""
-    return sketch.groupBy("sample").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    """``sample, size, hashes, ranks``: one sorted array per sample, bounded by the sketch size.
+
+    ``ranks`` is NULL: every hash is there, so positions are ranks.
+    """
+    packed = sketch.groupBy("sample").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    return packed.select("sample", F.size("hashes").alias("size"), "hashes",
+                         F.lit(None).cast("array<int>").alias("ranks"))
+
+
+def thin(arrays: DataFrame) -> DataFrame:
+    """The same arrays without the hashes no other sample has; ``ranks`` tells where the rest stood."""
+    other = [c for c in arrays.columns if c not in ("hashes", "ranks")]
+    ranked = arrays.select("sample", F.posexplode("hashes").alias("pos", "hash"))
+    common = ranked.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    kept = ranked.join(common, "hash", "left_semi").groupBy("sample").agg(
+        F.sort_array(F.collect_list(F.struct("hash", (F.col("pos") + 1).alias("rank")))).alias("k"))
+    none = F.array().cast("array<int>")
+    return arrays.select(*other).join(kept, "sample", "left").select(
+        *other, F.coalesce("k.hash", none).alias("hashes"), F.coalesce("k.rank", none).alias("ranks"))
 
 
 def block_count(samples: int, sketch_size: int, cores: int = 1) -> int:
@@ -59,31 +81,38 @@ def _block(blocks: int) -> Column:
     return F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int")
 
 
-def _one_against_many(x: np.ndarray, flat: np.ndarray, owner: np.ndarray,
-                      rank: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _one_against_many(x: np.ndarray, x_rank: np.ndarray, limit: np.ndarray, flat: np.ndarray,
+                      owner: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Shared hashes within the bottom-s union of ``x`` and each of many sketches.
 
     ``flat`` lists the others' sorted hashes one sketch after the other, with
-    ``owner`` and 1-based ``rank`` of each entry.
+    ``owner`` and 1-based ``rank`` of each entry; ``limit`` is the union size
+    with each of them.
     """
+    if not len(x) or not len(flat):
+        return np.zeros(len(limit), dtype=np.int64)
     at = np.searchsorted(x, flat)
     hit = np.flatnonzero(x[np.minimum(at, len(x) - 1)] == flat)
     who = owner[hit]
     # position of each hit among the hits of its sketch, 1-based
-    first = np.searchsorted(who, np.arange(len(sizes)))
+    first = np.searchsorted(who, np.arange(len(limit)))
     nth = np.arange(1, len(hit) + 1) - first[who]
-    in_union = (at[hit] + 1) + rank[hit] - nth
-    keep = in_union <= np.minimum(sizes, len(x))[who]
-    return np.bincount(who[keep], minlength=len(sizes))
+    keep = x_rank[at[hit]] + rank[hit] - nth <= limit[who]
+    return np.bincount(who[keep], minlength=len(limit))
 
 
 def _cell_pairs(cell: pa.Table) -> pa.Table:
     """All pairs of one grid cell: row block against column block, or a block with itself."""
     lists = cell.column("hashes").combine_chunks()
-    values = lists.flatten().to_numpy()
-    ends = np.cumsum(lists.value_lengths().to_numpy())
+    lengths = lists.value_lengths().to_numpy()
+    cuts = np.cumsum(lengths)[:-1]
+    hashes = np.split(lists.flatten().to_numpy(), cuts)
+    if cell.column("ranks").null_count:
+        ranks = [np.arange(1, n + 1, dtype=np.int32) for n in lengths]
+    else:
+        ranks = np.split(cell.column("ranks").combine_chunks().flatten().to_numpy(), cuts)
     names = np.array(cell.column("sample").to_pylist(), dtype=object)
-    block = cell.column("block").to_numpy()
+    size, block = cell.column("size").to_numpy(), cell.column("block").to_numpy()
     old = np.array(cell.column("old").to_pylist(), dtype=bool)
     row_block, col_block = cell.column("row_block")[0].as_py(), cell.column("col_block")[0].as_py()
     same = row_block == col_block
@@ -91,12 +120,9 @@ def _cell_pairs(cell: pa.Table) -> pa.Table:
     rows, cols = order[block[order] == row_block], order[block[order] == col_block]
     out = []
     if len(rows) and len(cols):
-        hashes = np.split(values, ends[:-1])
-        sizes = np.array([len(hashes[c]) for c in cols])
-        starts = np.concatenate(([0], np.cumsum(sizes)))
         flat = np.concatenate([hashes[c] for c in cols])
-        owner = np.repeat(np.arange(len(cols)), sizes)
-        rank = np.arange(1, len(flat) + 1) - starts[owner]
+        rank = np.concatenate([ranks[c] for c in cols])
+        owner = np.repeat(np.arange(len(cols), dtype=np.int32), lengths[cols])
         # only hashes that some row sketch can share matter; ranks are already fixed
         if same:
             seen, times = np.unique(flat, return_counts=True)
@@ -109,13 +135,13 @@ def _cell_pairs(cell: pa.Table) -> pa.Table:
         for i, r in enumerate(rows):
             # within one block each pair once; old samples are never paired again
             lo = i + 1 if same else 0
-            x, skip = hashes[r], starts[lo]
-            shared = _one_against_many(x, flat[skip:], owner[skip:] - lo, rank[skip:], sizes[lo:])
+            skip, limit = starts[lo], np.minimum(size[cols[lo:]], size[r])
+            shared = _one_against_many(hashes[r], ranks[r], limit, flat[skip:], owner[skip:] - lo, rank[skip:])
             wanted = ~(old[cols[lo:]] & old[r])
-            other, used = names[cols[lo:]][wanted], np.minimum(sizes[lo:], len(x))[wanted]
+            other = names[cols[lo:]][wanted]
             swap = np.array([o < names[r] for o in other], dtype=bool)
             me = np.full(len(other), names[r], dtype=object)
-            out.append((np.where(swap, other, me), np.where(swap, me, other), shared[wanted], used))
+            out.append((np.where(swap, other, me), np.where(swap, me, other), shared[wanted], limit[wanted]))
     a, b, shared, used = (np.concatenate(c) for c in zip(*out)) if out else ([], [], [], [])
     return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()),
                      "shared": pa.array(shared, pa.int32()), "sketch_size": pa.array(used, pa.int32())})
@@ -127,16 +153,19 @@ def shared_counts(arrays: DataFrame, blocks: int, new_only: bool = False) -> Dat
     With ``new_only`` the input has a flag ``old``; pairs of two old samples are
     left out, and cells that could only hold such pairs are never formed.
     """
+    if blocks >= THIN_FROM:
+        arrays = thin(materialize(arrays, "arrays"))
     old = F.col("old") if new_only else F.lit(False)
-    placed = arrays.select("sample", "hashes", old.alias("old"), _block(blocks).alias("__b"))
+    carried = ["sample", "size", "hashes", "ranks"]
+    placed = arrays.select(*carried, old.alias("old"), _block(blocks).alias("__b"))
     # old and new samples live in separate block ranges so that old-old cells can be skipped
     block = F.col("__b") + F.when(F.col("old"), F.lit(0)).otherwise(F.lit(blocks)) if new_only else F.col("__b")
     total = 2 * blocks if new_only else blocks
-    placed = placed.select("sample", "hashes", "old", block.alias("block"))
+    placed = placed.select(*carried, "old", block.alias("block"))
     first = F.when(F.col("old"), F.lit(blocks)).otherwise(F.lit(0)) if new_only else F.lit(0)
     sent = placed.withColumn("__other", F.explode(F.sequence(first, F.lit(total - 1))))
     cells = sent.select(
-        "sample", "hashes", "old", "block",
+        *carried, "old", "block",
         F.least("block", "__other").alias("row_block"), F.greatest("block", "__other").alias("col_block"))
     # a cell is little data but much work: fixed partitions keep it from being coalesced by size
     count = total * (total + 1) // 2

@@ -164,7 +164,14 @@ CTES["anc"] = """
     SELECT t.node_id, t.node_id AS anc, t.parent_id AS next FROM tree t
     UNION ALL
     SELECT a.node_id, t.node_id, t.parent_id FROM anc a JOIN tree t ON a.next = t.node_id"""
-RECURSIVE = {"anc"}
+RECURSIVE = {"anc", "linked"}
+# an edge belongs to the spanning tree unless shorter edges already connect its ends
+CTES["edge"] = "SELECT a, b, distance, row_number() OVER (ORDER BY distance, a, b) AS rk FROM src_pairs"
+CTES["edge_both"] = "SELECT a, b, rk FROM edge UNION ALL SELECT b, a, rk FROM edge"
+CTES["linked"] = """
+    SELECT rk, a AS node FROM edge
+    UNION
+    SELECT l.rk, e.b FROM linked l JOIN edge_both e ON e.a = l.node AND e.rk < l.rk"""
 CTES["sub_leaf"] = ("SELECT a.anc AS node_id, t.node_id AS leaf_id, t.name, t.depth AS leaf_depth "
                     "FROM anc a JOIN tree t ON a.node_id = t.node_id WHERE t.is_leaf")
 CTES["leaf_count"] = "SELECT node_id, count(*) AS leafs FROM sub_leaf GROUP BY node_id"
@@ -309,6 +316,9 @@ oracle("expected_jaccard", f"""SELECT sample, round(px * py / (px + py - px * py
      10000000.0::DOUBLE / (10000000.0::DOUBLE + {float(4 ** K)}::DOUBLE) AS py FROM doc_size)""")
 oracle("pair_count", "SELECT lang, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM documents GROUP BY lang")
 
+oracle("spanning_tree", """SELECT e.a, e.b, round(e.distance, 9) AS distance FROM edge e
+    WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.rk = e.rk AND l.node = e.b)""")
+
 # --- trees -------------------------------------------------------------------
 
 oracle("tree_nodes", "SELECT * FROM tree")

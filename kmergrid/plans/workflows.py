@@ -23,9 +23,13 @@ from ..sources import newick, sequences as src, tables
 # --- sketches ----------------------------------------------------------------
 
 def sketch(spark: SparkSession, files: list[tuple[str, str]], output: str, config: SketchConfig) -> None:
-    """Sketch all ``(sample, path)`` pairs in one job; ``sample`` is only a grouping key."""
+    """Sketch all ``(sample, path)`` pairs in one job; ``sample`` is only a grouping key.
+
+    Assemblies report their exact size; for reads a guess is enough to steer the
+    first pass, so their files are not read an extra time.
+    """
     records = src.sample_sequences(spark, files)
-    sizes = materialize(K.sample_sizes(records), "sizes")
+    sizes = materialize(K.sample_sizes(records) if config.assembly else src.estimated_sizes(spark, files), "sizes")
     sketches = materialize(K.build_sketches(records, config, sizes), "sketch")
     out.write_sketches(sketches, K.sketch_meta(sketches, sizes, config), output)
     if config.track_cov:

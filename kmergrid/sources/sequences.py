@@ -54,9 +54,12 @@ def check_fasta(spark: SparkSession, paths: list[str]) -> None:
     require(not bad, f"FASTA files that do not start with '>': {bad}")
 
 
-def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_fastq(spark: SparkSession, paths: list[str], rebalance: bool = False) -> DataFrame:
     """``file, seq``: the second line of every group of four; gzip files included.
 
+    ``rebalance`` deals the records out evenly: a gzip stream is read by one
+    task, which must not hash all of it as well.
+
     A split does not know how many lines precede it, so a first pass counts
     lines per split; the small table of offsets then tells each line its number.
     Both passes plan the same splits of the same files, so a line keeps its id.
@@ -70,8 +73,11 @@ def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
     odd = splits.groupBy("file").agg(F.sum("n").alias("n")).where("n % 4 != 0").limit(10).collect()
     require(not odd, f"FASTQ files with an incomplete last record: {[r[0] for r in odd]}")
     # the offsets table has one row per input split
-    return lines.join(splits, ["file", "block"]).where(
-        (F.col("offset") + F.col("id") - F.col("first")) % 4 == 1).select("file", F.col("value").alias("seq"))
+    records = lines.join(splits, ["file", "block"]).where(
+        (F.col("offset") + F.col("id") - F.col("first")) % 4 == 1)
+    if rebalance:
+        records = records.select("file", "id", "value").repartition("id")
+    return records.select("file", F.col("value").alias("seq"))
 
 
 def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -84,9 +90,10 @@ def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
     if X.FASTA in by_type:
         check_fasta(spark, by_type[X.FASTA])
         parts.append(read_fasta(spark, by_type[X.FASTA]))
-    fastq = by_type.get(X.FASTQ, []) + by_type.get(X.FASTQ_GZ, [])
-    if fastq:
-        parts.append(read_fastq(spark, fastq))
+    if X.FASTQ in by_type:
+        parts.append(read_fastq(spark, by_type[X.FASTQ]))
+    if X.FASTQ_GZ in by_type:
+        parts.append(read_fastq(spark, by_type[X.FASTQ_GZ], rebalance=True))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -99,6 +106,19 @@ def sample_sequences(spark: SparkSession, files: list[tuple[str, str]]) -> DataF
     return read_sequences(spark, [p for _, p in files]).join(owner, "file").select("sample", "seq")
 
 
+#: bases per byte of a file, roughly
+_BASES_PER_BYTE = {X.FASTA: 1.0, X.FASTQ: 0.4, X.FASTQ_GZ: 1.6}
+
+
+def estimated_sizes(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """``sample, n_bases`` guessed from file lengths, without reading any file."""
+    owner = spark.createDataFrame(
+        [(s, _plain(p), _BASES_PER_BYTE[X.type_of(p)]) for s, p in files], "sample string, file string, density double")
+    lengths = spark.read.format("binaryFile").load([p for _, p in files]).select(_file().alias("file"), "length")
+    return owner.join(lengths, "file").groupBy("sample").agg(
+        F.sum((F.col("length") * F.col("density")).cast("bigint")).alias("n_bases"))
+
+
 def read_libraries(spark: SparkSession, path: str) -> DataFrame:
     """``sample, files``: manifest lines ``sample<TAB>file[<TAB>file...]``."""
     cols = F.split("value", "\t")

@@ -37,18 +37,22 @@ def test_identical_and_disjoint(spark):
     assert got["A", "Z"] == math.inf
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 7])
-def test_grid_matches_brute_force(spark, blocks):
+@pytest.mark.parametrize("blocks,thin_from", [(1, 99), (7, 99), (3, 1)])
+def test_grid_matches_brute_force(spark, monkeypatch, blocks, thin_from):
+    monkeypatch.setattr(D, "THIN_FROM", thin_from)
     rng = random.Random(blocks)
     pool = [rng.randrange(-2**31, 2**31) for _ in range(60)]
     sketches = {f"s{i}": set(rng.sample(pool, rng.randrange(1, 40))) for i in range(25)}
+    sketches["private"] = {7, 8, 9}
+    sketches["s0"] |= {rng.randrange(-2**31, 2**31) for _ in range(10)}
     got = rows(D.shared_counts(D.hash_arrays(table(spark, sketches)), blocks))
     want = sorted((a, b, *brute(sketches[a], sketches[b])) for a in sketches for b in sketches if a < b)
     assert got == want
 
 
-@pytest.mark.parametrize("blocks", [1, 4])
-def test_update_computes_only_new_pairs(spark, blocks):
+@pytest.mark.parametrize("blocks,thin_from", [(1, 99), (4, 2)])
+def test_update_computes_only_new_pairs(spark, monkeypatch, blocks, thin_from):
+    monkeypatch.setattr(D, "THIN_FROM", thin_from)
     rng = random.Random(3)
     sketches = {f"s{i}": set(rng.sample(range(50), 20)) for i in range(12)}
     old = {f"s{i}" for i in range(7)}

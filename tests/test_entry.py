@@ -3,8 +3,7 @@ import __spark_entry__ as E
 
 def test_registry_is_consistent():
     queries, sql = E.queries(), E.oracle_sql()
-    assert set(sql) <= set(queries)
-    assert set(queries) - set(sql) == {"spanning_tree"}
+    assert set(sql) == set(queries)
 
 
 def test_entry_runs(spark):

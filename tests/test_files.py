@@ -66,6 +66,27 @@ def test_unknown_types():
             X.type_of(name)
 
 
+def test_reads_pooled_over_files(spark, tmp_path):
+    """A sample of reads in two files, one gzipped, sized by file length only."""
+    rng = random.Random(4)
+    genome = "".join(rng.choices("ACGT", k=300))
+    reads = [genome[i:i + 50] for i in range(0, 250, 5)]
+    body = ["".join(f"@r\n{s}\n+\n{s}\n" for s in part) for part in (reads[:25], reads[25:])]
+    one = write(tmp_path / "one.fq", body[0])
+    with gzip.open(tmp_path / "two.fastq.gz", "wt") as out:
+        out.write(body[1])
+    run(["sketch", "-s", f"{one},{tmp_path / 'two.fastq.gz'}", "--name", "R", "-o", str(tmp_path / "r"),
+         "--kmer-size", "13", "--sketch-size", "40", "--min-cov", "3", "--track-cov"], spark)
+    counts = {}
+    for s in reads:
+        for _, h in kmer_brute(s, 13):
+            counts[h] = counts.get(h, 0) + 1
+    want = sorted((h, n) for h, n in counts.items() if n >= 3)[:40]
+    sketch, meta = tables.read_sketches(spark, [str(tmp_path / "r")])
+    assert rows(sketch.select("hash", "coverage")) == want
+    assert meta.first().genome_size == int(2**32 * 40 / (want[-1][0] + 2**31 + 1))
+
+
 def test_manifests_and_small_tables(spark, tmp_path):
     libs = src.read_libraries(spark, write(tmp_path / "libs.tsv", "s1\ta.fa\tb.fa\ns2\tc.fq\n"))
     assert rows(src.library_files(libs)) == [("s1", "a.fa"), ("s1", "b.fa"), ("s2", "c.fq")]
