@@ -98,13 +98,15 @@ def branch_proportions(hit: DataFrame, tree: DataFrame) -> DataFrame:
     """``sample, node_id, weight``: share of the query at or below each node, zeros included."""
     total = explained(hit).select("sample", F.col("total").alias("__total"))
     sums = T.cumulative(node_counts(hit), tree, total)
-    return sums.join(total, "sample").select(
+    return sums.hint("merge").join(total, "sample").select(
         "sample", "node_id", (F.col("total") / F.col("__total")).alias("weight"))
 
 
 def node_report(hit: DataFrame, tree: DataFrame) -> DataFrame:
     """``sample, id, name, weight`` for every node; order by weight desc, id for the report."""
+    # the sums inherit the size estimate of a small input although they are groups times nodes
     names = tree.select("node_id", F.coalesce("name", F.lit("")).alias("name"))
+    names = names.hint("broadcast" if tree.count() <= BROADCAST_ROWS else "merge")
     return branch_proportions(hit, tree).join(names, "node_id").select(
         "sample", F.col("node_id").alias("id"), "name", "weight")
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS
+
 TREE_SCHEMA = ("node_id int, parent_id int, left_id int, right_id int, is_leaf boolean, name string, "
                "dist double, depth int, lo int, hi int")
 
@@ -65,8 +67,13 @@ def ancestors(tree: DataFrame) -> DataFrame:
 
 
 def leaves_below(tree: DataFrame) -> DataFrame:
-    """``node_id, leaf_id``: leaves of every subtree (leaves have the even ids)."""
-    return tree.select("node_id", "depth", F.explode(F.sequence("lo", "hi", F.lit(2))).alias("leaf_id"))
+    """``node_id, depth, leaf_id``: leaves of every subtree (leaves have the even ids).
+
+    The planner sizes an explode like its input, so it would gladly broadcast
+    this; the hint makes joins shuffle it instead.
+    """
+    below = tree.select("node_id", "depth", F.explode(F.sequence("lo", "hi", F.lit(2))).alias("leaf_id"))
+    return below.hint("merge")
 
 
 def leaf_names_below(tree: DataFrame) -> DataFrame:
@@ -156,13 +163,13 @@ def lowest_common_ancestor(pairs: DataFrame, tree: DataFrame, small: bool = True
     window table.  ``small`` says the table was checked to fit a broadcast.
     """
     table = range_minimum(tree)
-    side = F.broadcast(table) if small else table
     level = _level(F.col("hi_id") - F.col("lo_id") + 1)
     keyed = pairs.withColumn("level", level)
-    left = side.select("level", F.col("start").alias("lo_id"), F.col("node_id").alias("__n1"), F.col("depth").alias("__d1"))
-    right = side.select("level", F.col("start").alias("__s2"), F.col("node_id").alias("__n2"), F.col("depth").alias("__d2"))
-    if small:
-        left, right = F.broadcast(left), F.broadcast(right)
+    how = "broadcast" if small else "merge"
+    left = table.select("level", F.col("start").alias("lo_id"), F.col("node_id").alias("__n1"),
+                        F.col("depth").alias("__d1")).hint(how)
+    right = table.select("level", F.col("start").alias("__s2"), F.col("node_id").alias("__n2"),
+                         F.col("depth").alias("__d2")).hint(how)
     keyed = keyed.withColumn("__s2", F.col("hi_id") - _power(F.col("level")) + 1)
     found = keyed.join(left, ["level", "lo_id"]).join(right, ["level", "__s2"])
     best = F.when(F.col("__d1") <= F.col("__d2"), F.col("__n1")).otherwise(F.col("__n2"))
@@ -200,8 +207,9 @@ def cumulative(counts: DataFrame, tree: DataFrame, groups: DataFrame, group: str
 
     ``counts(group, node_id, cnt)`` is sparse; ``groups(group)`` lists the groups.
     """
-    spans = tree.select("node_id", "lo", "hi")
     nodes = tree.agg(F.max("hi")).first()[0] + 1
+    # groups times nodes rows on the other side: never let the planner broadcast those
+    spans = tree.select("node_id", "lo", "hi").hint("broadcast" if nodes <= BROADCAST_ROWS else "merge")
     every = groups.select(group, F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("node_id"))
     points = counts.select(group, F.col("node_id").alias("pos"), F.col("cnt").alias("val"))
     return interval_sums(points, every.join(spans, "node_id"), [group])

@@ -162,7 +162,7 @@ def item_hits(spark: SparkSession, sf: str, tree: DataFrame) -> DataFrame:
 
 def item_labels(spark: SparkSession, sf: str, normalize: bool = False) -> DataFrame:
     tree = document_tree(spark, sf)
-    weights = C.node_label_weights(tree, leaf_labels(spark, sf))
+    weights = materialize(C.node_label_weights(tree, leaf_labels(spark, sf)), "node-labels")
     return C.label_scores(item_hits(spark, sf, tree), weights, C.root_of(tree), normalize)
 
 

@@ -159,7 +159,8 @@ def query(spark: SparkSession, kmer_tree: str, sketches: list[str], output: str,
     if labels is not None:
         table = tables.read_labels(spark, labels)
         V.labels_cover(tree, table)
-        scores = C.label_scores(hit, C.node_label_weights(tree, table), C.root_of(tree), config.normalize)
+        weights = materialize(C.node_label_weights(tree, table), "node-labels")
+        scores = C.label_scores(hit, weights, C.root_of(tree), config.normalize)
         rows = scores.select(F.col("name").alias("sample"), F.col("name").alias("Name"),
                              F.col("label").alias("Label"), F.col("weight").alias("Weight"))
         out.write_report(rows, f"{root}/labels", "Label", by="sample")
