@@ -212,6 +212,16 @@ def update(old_distances: DataFrame, old_sketch: DataFrame, new_sketch: DataFram
     return old_distances.select("a", "b", "distance").unionByName(fresh.select("a", "b", "distance"))
 
 
+def bottom_union(x: Column, y: Column) -> Column:
+    """The smallest hashes of the union of two sorted arrays, as many as the smaller one has."""
+    return F.slice(F.sort_array(F.array_union(x, y)), F.lit(1), F.least(F.size(x), F.size(y)))
+
+
+def shared_in_union(x: Column, y: Column) -> Column:
+    """How many of the bottom union's hashes both arrays have; for single given pairs."""
+    return F.size(F.array_intersect(bottom_union(x, y), F.array_intersect(x, y)))
+
+
 def lookup(distances: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distances of given ``x, y`` pairs, in whichever order they are stored."""
     keyed = pairs.select("x", "y", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

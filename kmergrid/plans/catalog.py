@@ -320,6 +320,18 @@ def mash_distance_uneven(spark, sf):
     return _pairs(conversation_sketch(spark, sf))
 
 
+@query
+def bottom_union(spark, sf):
+    # every document against the next one
+    numbered = D.hash_arrays(doc_sketch(spark, sf)).select(
+        "sample", "hashes", F.substring("sample", 4, 20).cast("bigint").alias("i"))
+    x = numbered.select(F.col("sample").alias("a"), F.col("hashes").alias("x"), "i")
+    y = numbered.select(F.col("sample").alias("b"), F.col("hashes").alias("y"), (F.col("i") - 1).alias("i"))
+    pairs = x.join(y, "i").withColumn("u", D.bottom_union(F.col("x"), F.col("y")))
+    return pairs.select("a", "b", F.size("u").alias("union_size"), F.element_at("u", -1).alias("top"),
+                        D.shared_in_union(F.col("x"), F.col("y")).alias("shared"))
+
+
 @query
 def nearest_sample(spark, sf):
     n = D.nearest(D.pairwise(source_sketch(spark, sf), DistanceConfig(KMER)))

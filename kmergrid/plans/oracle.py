@@ -306,6 +306,14 @@ for _q in ("matrix_unpivot", "distance_update"):
     oracle(_q, "SELECT a, b, round(distance, 9) AS distance FROM src_pairs")
 oracle("distance_new_pairs", "SELECT a, b, shared, sketch_size FROM src_pairs WHERE a >= 'src15' OR b >= 'src15'")
 oracle("distance_lookup", "SELECT b AS x, a AS y, round(distance, 9) AS distance FROM src_pairs")
+CTES["next_pair"] = """SELECT x.sample AS a, y.sample AS b, least(x.sketch_size, y.sketch_size) AS s FROM doc_meta x JOIN doc_meta y
+    ON y.sample = 'doc' || (substr(x.sample, 4)::BIGINT + 1) WHERE x.sketch_size > 0 AND y.sketch_size > 0"""
+oracle("bottom_union", """SELECT a, b, count(*)::INTEGER AS union_size, max(hash) AS top, (count(*) FILTER (n = 2))::INTEGER AS shared FROM (
+    SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY hash) AS rn FROM (
+      SELECT a, b, s, hash, count(*) AS n FROM (
+        SELECT p.a, p.b, p.s, k.hash FROM next_pair p JOIN doc_sk k ON k.sample = p.a UNION ALL
+        SELECT p.a, p.b, p.s, k.hash FROM next_pair p JOIN doc_sk k ON k.sample = p.b)
+      GROUP BY a, b, s, hash)) WHERE rn <= s GROUP BY a, b""")
 oracle("shared_hash_semi", """SELECT sample, count(*) AS n_shared FROM doc_sk
     WHERE hash IN (SELECT hash FROM item_sk) GROUP BY sample""")
 oracle("unique_hash_anti", "SELECT sample, hash FROM item_sk WHERE hash NOT IN (SELECT hash FROM doc_sk)")

@@ -37,6 +37,12 @@ def test_identical_and_disjoint(spark):
     assert got["A", "Z"] == math.inf
 
 
+def test_union_of_one_pair(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4], [1, 2, 5, 6]), ([1, 9], [2, 3, 9])], "x array<int>, y array<int>")
+    got = df.select(D.bottom_union(F.col("x"), F.col("y")), D.shared_in_union(F.col("x"), F.col("y"))).collect()
+    assert [(list(r[0]), r[1]) for r in got] == [([1, 2, 3, 4], 2), ([1, 2], 0)]
+
+
 @pytest.mark.parametrize("blocks,thin_from", [(1, 99), (7, 99), (3, 1)])
 def test_grid_matches_brute_force(spark, monkeypatch, blocks, thin_from):
     monkeypatch.setattr(D, "THIN_FROM", thin_from)
