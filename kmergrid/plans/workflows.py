@@ -197,12 +197,13 @@ def draw_labels(spark: SparkSession, reports: list[str], colours: str, output: s
     wrong = [r.name for r in checked.where(F.col("labels") != len(names)).limit(V.SHOWN).collect()]
     V.require(not wrong, f"queries without exactly {len(names)} labels: {wrong}")
     V.proportions_sum_to_one(prepared)
+    drawn = _report_names(spark, reports)
     if order:
-        queries = tables.read_order(spark, order)
-    else:
-        listed = spark.createDataFrame(
-            [(i, r) for i, r in enumerate(_report_names(spark, reports))], "rank int, name string")
-        queries = listed.select("name", "rank")
+        wanted = {r.name: r.rank for r in tables.read_order(spark, order).collect()}
+        absent = [n for n in drawn if n not in wanted]
+        V.require(not absent, f"queries missing from the order file: {absent[:V.SHOWN]}")
+        drawn = sorted(drawn, key=wanted.get)
+    queries = spark.createDataFrame([(n, i) for i, n in enumerate(drawn)], "name string, rank int")
     css = palette.select("label", drawing.css(F.col("colour")).alias("colour"))
     drawing.draw_label_bars(L.offsets(prepared, labels, config.width), queries, css, output + ".svg", config)
     out.write_label_matrix(L.wide(prepared, names), output + ".query.matrix", queries)

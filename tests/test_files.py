@@ -195,6 +195,13 @@ def test_command_line_end_to_end(spark, tmp_path):
     assert (tmp_path / "bars.svg").read_text().count("<rect") >= 2
     head = text_of(tmp_path / "bars.query.matrix").splitlines()
     assert head[0] == "name\tx\ty\tUnique" and head[1].startswith("C2\t")
+    short = write(tmp_path / "order.txt", "other\n")
+    with pytest.raises(ValueError):
+        run(["query-drawer", "-q", files, "-o", str(tmp_path / "bars2"), "--colours", colours, "--query-order", short], spark)
+    full = write(tmp_path / "order2.txt", "other\nC2\n")
+    run(["query-drawer", "-q", files, "-o", str(tmp_path / "bars3"), "--colours", colours, "--normalize",
+         "--query-order", full], spark)
+    assert text_of(tmp_path / "bars3.query.matrix").splitlines()[0] == "name\tx\ty"
     run(["sketch-cluster", "-l", libs, "-o", str(tmp_path / "scripts"), "--cluster-config",
          write(tmp_path / "tpl", "#SBATCH $STDOUT\n$COMMAND\n")], spark)
     script = text_of(tmp_path / "scripts" / "sample=A").splitlines()
