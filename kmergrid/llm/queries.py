@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kmergrid.llm import mixing, sharding, tokens
-from kmergrid.llm.common import table
-from kmergrid.session import scratch_dir
+from kmergrid.llm import chat, langid, minhash, mixing, sharding, tokens
+from kmergrid.llm.common import held_out, table
+from kmergrid.session import materialize, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,3 +48,45 @@ def op5_mixture(spark: SparkSession, sf: str) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
+
+
+@query
+def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+ORACLE_SQL["op7_minhash"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN least l ON l.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    added = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))],
+                                  "conv_id long, turn long, role string, text string")
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(materialize(chat.format_conversations(given, vocabulary()), "chat"), vocabulary())
+
+
+@query
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs, apart = table(spark, sf, "documents"), held_out(F.col("doc_id"), 4, 2)
+    found = langid.identify(docs, langid.learn(docs.where(~apart)))
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
