@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmergrid.llm import chat, langid, minhash, mixing, sharding, tokens
+from kmergrid.llm import chat, langid, minhash, mixing, sharding, tokens, toxicity
 from kmergrid.llm.common import held_out, table
 from kmergrid.session import materialize, scratch_dir
 
@@ -32,6 +32,14 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, apart = table(spark, sf, "documents"), held_out(F.col("doc_id"), 5, 0)
+    found = toxicity.score(docs, table(spark, sf, "labels"), ~apart)
+    return found.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                        F.size("passages").alias("n_passages"))
+
+
 @query
 def op2_token_file(spark: SparkSession, sf: str) -> DataFrame:
     out = folder(spark, "sequences")
