@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmergrid.llm import chat, decontaminate, langid, minhash, mixing, sharding, tokens, toxicity
+from kmergrid.llm import chat, decontaminate, fingerprint, langid, minhash, mixing, sharding, tokens, toxicity
 from kmergrid.llm.common import held_out, table
 from kmergrid.session import materialize, scratch_dir
 
@@ -103,3 +103,8 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     docs, apart = table(spark, sf, "documents"), held_out(F.col("doc_id"), 4, 2)
     found = langid.identify(docs, langid.learn(docs.where(~apart)))
     return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf, "documents"))
