@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,21 +192,40 @@ def learn(docs: DataFrame) -> Filters:
     return Filters.build(languages, members)
 
 
+#: documents whose score is lower are in no known language
+LEAST = 0.2
+
+
+def _decided(filters: Filters, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
+    owners, parts = [], []
+    for i, t in enumerate(texts):
+        own = pieces(t or "")
+        parts += own
+        owners += [i] * len(own)
+    total, hits = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(filters.languages)), np.int64)
+    for a, b in groups_of(parts, CHUNK):
+        n, h = filters.counts(parts[a:b])
+        np.add.at(total, owners[a:b], n)
+        np.add.at(hits, owners[a:b], h)
+    return filters.decide(total, hits)
+
+
+def accepted(docs: DataFrame, filters: Filters, least: float = LEAST) -> DataFrame:
+    """The documents in one of the known languages, as they are; ``und`` and unclear texts go."""
+    model = docs.sparkSession.sparkContext.broadcast(filters)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        names, score = _decided(model.value, list(texts))
+        return pd.Series([n != "und" and s >= least for n, s in zip(names, score, strict=True)], dtype=bool)
+
+    return docs.where(known("text"))
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     filters: Filters = model.value
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        owners, parts = [], []
-        for i, t in enumerate(texts):
-            own = pieces(t)
-            parts += own
-            owners += [i] * len(own)
-        total, hits = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(filters.languages)), np.int64)
-        for a, b in groups_of(parts, CHUNK):
-            n, h = filters.counts(parts[a:b])
-            np.add.at(total, owners[a:b], n)
-            np.add.at(hits, owners[a:b], h)
-        names, score = filters.decide(total, hits)
+        names, score = _decided(filters, batch.column(1).to_pylist())
         yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())],
                               names=["doc_id", "lang_pred", "score"])
 

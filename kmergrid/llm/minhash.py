@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     between different components is lost, and a large group of near copies costs a few comparisons for each member.
 
     A null or blank text has no shingles and is linked with nothing; one of fewer than five words has its whole
-    sequence.  Rows that share an id count as one node.  An empty table gives an empty result.
+    sequence.  Rows that share an id count as one node; rows
+    without one stand for themselves, with a null ``component_id``, and are kept.  An empty table gives an empty result.
     """
     features = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_features, _FEATURES), "minhash")
     classes = materialize(features.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
@@ -217,5 +218,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     return (placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", "n_shingles",
-                    F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-            .withColumn("kept", F.col("doc_id") == F.col("component_id")))
+                    F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep"))
+                    .otherwise(F.col("doc_id")).alias("component_id"))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents of which one of each group is kept, as they are; rows without an id all stay."""
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmergrid.llm import chat, decontaminate, fingerprint, langid, minhash, mixing, sharding, tokens, toxicity
+from kmergrid.llm import chat, decontaminate, fingerprint, langid, minhash, mixing, pii, sharding, tokens, toxicity
 from kmergrid.llm.common import held_out, table
 from kmergrid.session import materialize, scratch_dir
 
@@ -47,6 +47,11 @@ def op2_token_file(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.read_documents(spark, out)
 
 
+@query
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf, "documents")))
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
