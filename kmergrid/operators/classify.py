@@ -75,12 +75,17 @@ def assign(sketch: DataFrame, lca: DataFrame) -> DataFrame:
     return sketch.select("sample", "hash").join(lca, "hash", "left").select("sample", "hash", "node_id")
 
 
-def hits(sketch: DataFrame, lca: DataFrame) -> DataFrame:
+def hits(sketch: DataFrame, lca: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """``sample, node_id, cnt`` with one row of NULL ``node_id`` for the misses.
 
-    Everything the reports need from the big join, aggregated once.
+    Everything the reports need from the big join, aggregated once.  ``queries(sample)`` lists the queries, so that
+    those without a hash stay in the reports, with a miss count of 0.
     """
-    return assign(sketch, lca).groupBy("sample", "node_id").agg(F.count(F.lit(1)).alias("cnt"))
+    found = assign(sketch, lca).groupBy("sample", "node_id").agg(F.count(F.lit(1)).alias("cnt"))
+    if queries is None:
+        return found
+    empty = queries.select("sample").distinct().join(sketch.select("sample").distinct(), "sample", "left_anti")
+    return found.unionByName(empty.select("sample", F.lit(None).cast("int").alias("node_id"), F.lit(0).cast("bigint").alias("cnt")))
 
 
 def node_counts(hit: DataFrame) -> DataFrame:
@@ -91,7 +96,7 @@ def explained(hit: DataFrame) -> DataFrame:
     """``sample, total, found, explained``: how much of each query the tree accounts for."""
     found = F.coalesce(F.sum(F.when(F.col("node_id").isNotNull(), F.col("cnt"))), F.lit(0))
     return hit.groupBy("sample").agg(F.sum("cnt").alias("total"), found.alias("found")).withColumn(
-        "explained", F.col("found").cast("double") / F.col("total"))
+        "explained", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("found").cast("double") / F.col("total")))
 
 
 def branch_proportions(hit: DataFrame, tree: DataFrame) -> DataFrame:
@@ -99,7 +104,8 @@ def branch_proportions(hit: DataFrame, tree: DataFrame) -> DataFrame:
     total = explained(hit).select("sample", F.col("total").alias("__total"))
     sums = T.cumulative(node_counts(hit), tree, total)
     return sums.hint("merge").join(total, "sample").select(
-        "sample", "node_id", (F.col("total") / F.col("__total")).alias("weight"))
+        "sample", "node_id",
+        F.when(F.col("__total") == 0, F.lit(0.0)).otherwise(F.col("total") / F.col("__total")).alias("weight"))
 
 
 def node_report(hit: DataFrame, tree: DataFrame) -> DataFrame:
@@ -116,15 +122,14 @@ def node_report(hit: DataFrame, tree: DataFrame) -> DataFrame:
 def node_label_weights(tree: DataFrame, labels: DataFrame) -> DataFrame:
     """``node_id, label, weight``: share of each label among the leaves below a node.
 
-    ``labels(leaf, label)`` has one row per leaf.  The number of leaves below is
-    known from the id interval, so no second pass over the group is needed.
+    ``labels(leaf, label)`` has one row per leaf.  Leaves below are counted per label with running sums over the ids,
+    which costs nodes times labels whatever the depth; the number of all leaves below is known from the id interval.
     """
     labelled = T.leaves(tree).join(labels, F.col("name") == F.col("leaf")).select(
-        F.col("node_id").alias("leaf_id"), "label")
-    counted = T.leaves_below(tree).join(labelled, "leaf_id").groupBy("node_id", "label").agg(
-        F.count(F.lit(1)).alias("__n"))
+        "label", "node_id", F.lit(1).alias("cnt"))
+    counted = T.cumulative(labelled, tree, labels.select("label").distinct(), "label").where(F.round("total") > 0)
     return counted.join(T.subtree_size(tree).select("node_id", "leafs"), "node_id").select(
-        "node_id", "label", (F.col("__n") / F.col("leafs")).alias("weight"))
+        "node_id", "label", (F.round("total") / F.col("leafs")).alias("weight"))
 
 
 def label_scores(hit: DataFrame, node_labels: DataFrame, root_id: int, normalize: bool = False) -> DataFrame:

@@ -45,12 +45,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PAIR_SCHEMA = "a string, b string, shared int, sketch_size int"
 
 
-def hash_arrays(sketch: DataFrame) -> DataFrame:
+def hash_arrays(sketch: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """``sample, size, hashes, ranks``: one sorted array per sample, bounded by the sketch size.
 
-    ``ranks`` is NULL: every hash is there, so positions are ranks.
+    ``ranks`` is NULL: every hash is there, so positions are ranks.  ``names(sample)`` lists the samples; those without
+    a hash get an empty array.
     """
     packed = sketch.groupBy("sample").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    if names is not None:
+        packed = names.select("sample").join(packed, "sample", "left").select(
+            "sample", F.coalesce("hashes", F.array().cast("array<int>")).alias("hashes"))
     return packed.select("sample", F.size("hashes").alias("size"), "hashes",
                          F.lit(None).cast("array<int>").alias("ranks"))
 
@@ -176,7 +180,8 @@ def shared_counts(arrays: DataFrame, blocks: int, new_only: bool = False) -> Dat
 
 
 def with_distance(pairs: DataFrame, config: DistanceConfig) -> DataFrame:
-    j = numeric.jaccard_index(F.col("shared"), F.col("sketch_size"))
+    # nothing is known to be shared with an empty sketch: distance 1, or infinite
+    j = F.when(F.col("sketch_size") == 0, F.lit(0.0)).otherwise(numeric.jaccard_index(F.col("shared"), F.col("sketch_size")))
     pairs = pairs.withColumn("jaccard", j)
     d = numeric.jaccard_distance(F.col("jaccard")) if config.jaccard_distance else \
         numeric.mash_distance(F.col("jaccard"), config.kmer_size)
@@ -184,9 +189,9 @@ def with_distance(pairs: DataFrame, config: DistanceConfig) -> DataFrame:
 
 
 def pairwise(sketch: DataFrame, config: DistanceConfig, samples: int | None = None,
-             sketch_size: int | None = None) -> DataFrame:
-    """``a, b, shared, sketch_size, jaccard, distance`` for all pairs, ``a < b``."""
-    arrays = hash_arrays(sketch)
+             sketch_size: int | None = None, names: DataFrame | None = None) -> DataFrame:
+    """``a, b, shared, sketch_size, jaccard, distance`` for all pairs, ``a < b``; of all ``names``, if given."""
+    arrays = hash_arrays(sketch, names)
     if samples is None or sketch_size is None:
         per = sketch.groupBy("sample").count().agg(F.count("*"), F.max("count")).first()
         samples, sketch_size = per[0], per[1] or 1
@@ -195,15 +200,15 @@ def pairwise(sketch: DataFrame, config: DistanceConfig, samples: int | None = No
 
 
 def update(old_distances: DataFrame, old_sketch: DataFrame, new_sketch: DataFrame,
-           config: DistanceConfig) -> DataFrame:
+           config: DistanceConfig, old_names: DataFrame | None = None, new_names: DataFrame | None = None) -> DataFrame:
     """``a, b, distance`` over old and new samples; only pairs with a new one are computed.
 
     Old values are taken over as they are.  New values are always Mash
     distances.
     """
     config = DistanceConfig(kmer_size=config.kmer_size)
-    both = hash_arrays(old_sketch).withColumn("old", F.lit(True)).unionByName(
-        hash_arrays(new_sketch).withColumn("old", F.lit(False)))
+    both = hash_arrays(old_sketch, old_names).withColumn("old", F.lit(True)).unionByName(
+        hash_arrays(new_sketch, new_names).withColumn("old", F.lit(False)))
     per = old_sketch.select("sample", "hash").unionByName(new_sketch.select("sample", "hash")) \
         .groupBy("sample").count().agg(F.count("*"), F.max("count")).first()
     cores = old_sketch.sparkSession.sparkContext.defaultParallelism
@@ -253,8 +258,11 @@ def matrix_rows(distances: DataFrame, names: DataFrame) -> DataFrame:
     rows = names.select(F.col("name").alias("a"), F.col("idx").alias("i"))
     packed = cells.join(cols, "b").groupBy("a").agg(
         F.sort_array(F.collect_list(F.struct("j", "distance"))).alias("cells"))
-    return packed.join(rows, "a").select(
-        F.col("i").alias("idx"), F.col("a").alias("name"), F.col("cells.distance").alias("row"))
+    width = names.count()
+    gap = F.raise_error(F.concat(F.lit("matrix row without a value for every column: "), F.col("a")))
+    return rows.join(packed, "a", "left").select(
+        F.col("i").alias("idx"), F.col("a").alias("name"),
+        F.when(F.size("cells") == width, F.col("cells.distance")).otherwise(gap.cast("array<double>")).alias("row"))
 
 
 def matrix_wide(distances: DataFrame, names: list[str]) -> DataFrame:

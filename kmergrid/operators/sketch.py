@@ -155,16 +155,14 @@ def coverage_histogram(sketch: DataFrame) -> DataFrame:
 def coverage_stats(sketch: DataFrame) -> DataFrame:
     """Mean, population standard deviation and median of the coverage.
 
-    Computed from the histogram: its moments are those of the rows, and the
-    exact median only needs one weighted value per distinct coverage.
+    The exact median only needs one weighted value per distinct coverage.  The
+    deviation is Spark's own, from the rows: a difference of second moments loses all
+    digits where coverages are large and close together.
     """
+    rows = sketch.select("sample", F.col("coverage").cast("double").alias("coverage"))
+    moments = rows.groupBy("sample").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("coverage").alias("mean"), F.stddev_pop("coverage").alias("std_dev"))
     hist = coverage_histogram(sketch).withColumn("coverage", F.col("coverage").cast("double"))
-    return hist.groupBy("sample").agg(
-        F.sum("kmers").alias("n"),
-        (F.sum(F.col("coverage") * F.col("kmers")) / F.sum("kmers")).alias("mean"),
-        F.sqrt(F.greatest(F.lit(0.0),
-                          F.sum(F.col("coverage") * F.col("coverage") * F.col("kmers")) / F.sum("kmers")
-                          - F.pow(F.sum(F.col("coverage") * F.col("kmers")) / F.sum("kmers"), F.lit(2.0)))
-               ).alias("std_dev"),
-        F.expr("percentile(coverage, 0.5D, kmers)").alias("median"))
+    medians = hist.groupBy("sample").agg(F.expr("percentile(coverage, 0.5D, kmers)").alias("median"))
+    return moments.join(medians, "sample").select("sample", "n", "mean", "std_dev", "median")
 

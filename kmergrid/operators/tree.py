@@ -34,11 +34,12 @@ def post_order(tree: DataFrame) -> DataFrame:
     All ``hi / 2`` internal ids below ``hi`` precede a node or are the node
     itself, except its ancestors with a smaller id: those wait for their right side.
     """
-    inner = tree.where(~F.col("is_leaf")).select("node_id", "hi")
-    waiting = ancestors(tree).where("ancestor_id < node_id").groupBy("node_id").agg(
-        F.count(F.lit(1)).alias("__waiting"))
-    return inner.join(waiting, "node_id", "left").select(
-        (F.col("hi") / 2 - 1 - F.coalesce("__waiting", F.lit(0))).cast("int").alias("position"), "node_id")
+    inner = tree.where(~F.col("is_leaf"))
+    steps = F.array(F.struct((F.col("node_id") + 1).alias("pos"), F.lit(1.0).alias("val")),
+                    F.struct((F.col("hi") + 1).alias("pos"), F.lit(-1.0).alias("val")))
+    changes = inner.select(F.explode(steps).alias("s")).select("s.*")
+    waiting = running_totals(changes, inner.select("node_id", "hi", F.col("node_id").alias("at")), [])
+    return waiting.select((F.col("hi") / 2 - 1 - F.round("total")).cast("int").alias("position"), "node_id")
 
 
 def subtree_size(tree: DataFrame) -> DataFrame:
@@ -88,13 +89,19 @@ def largest_genome(tree: DataFrame, sizes: DataFrame) -> DataFrame:
     ``sizes(name, genome_size)`` gives the genome sizes.
     """
     sized = leaves(tree).join(sizes, "name", "left").select(
-        F.col("node_id").alias("leaf_id"), F.coalesce("genome_size", F.lit(0)).alias("g"))
-    return leaves_below(tree).join(sized, "leaf_id").groupBy("node_id").agg(F.max("g").alias("largest"))
+        (F.col("node_id") / 2).cast("int").alias("pos"), F.coalesce("genome_size", F.lit(0)).alias("val"))
+    spans = tree.select(F.col("node_id").alias("id"), (F.col("lo") / 2).cast("int").alias("lo"), (F.col("hi") / 2).cast("int").alias("hi"))
+    top = tree.agg(F.max("hi")).first()[0] // 2 + 1
+    return range_maximum(sized, spans, top).select(F.col("id").alias("node_id"), F.col("val").alias("largest"))
 
 
 def root_distance(tree: DataFrame) -> DataFrame:
     """``node_id, x``: branch lengths summed from the root."""
-    return ancestors(tree).groupBy("node_id").agg(F.sum("ancestor_dist").alias("x"))
+    steps = F.array(F.struct(F.col("lo").alias("pos"), F.col("dist").alias("val")),
+                    F.struct((F.col("hi") + 1).alias("pos"), (-F.col("dist")).alias("val")))
+    changes = tree.select(F.explode(steps).alias("s")).select("s.*")
+    return running_totals(changes, tree.select("node_id", F.col("node_id").alias("at")), []).select(
+        "node_id", F.col("total").alias("x"))
 
 
 def coordinates(tree: DataFrame, height: float, width: float, leaf_count: int,
@@ -119,12 +126,16 @@ def coordinates(tree: DataFrame, height: float, width: float, leaf_count: int,
 def uniform_colour(tree: DataFrame, colours: DataFrame) -> DataFrame:
     """``node_id, colour`` for nodes whose leaves all share one colour.
 
-    ``colours(name, colour)`` colours the leaves.
+    ``colours(name, colour)`` colours the leaves; one that is left out has a colour of its own kind, none.  A subtree
+    is uniform if no leaf in it differs from the one before, so counting such turns is enough.
     """
-    coloured = leaves(tree).join(colours, "name").select(F.col("node_id").alias("leaf_id"), "colour")
-    below = leaves_below(tree).join(coloured, "leaf_id")
-    return below.groupBy("node_id").agg(F.min("colour").alias("colour"), F.max("colour").alias("__hi")) \
-        .where(F.col("colour") == F.col("__hi")).select("node_id", "colour")
+    coloured = leaves(tree).join(colours, "name", "left").select(F.col("node_id").alias("pos"), "colour")
+    after = coloured.select((F.col("pos") + 2).alias("pos"), F.col("colour").alias("__left"))
+    changes = coloured.join(after, "pos").select("pos", (~F.col("colour").eqNullSafe(F.col("__left"))).cast("double").alias("val"))
+    spans = tree.select("node_id", (F.col("lo") + 1).alias("lo"), F.col("hi"))
+    turns = interval_sums(changes, spans, [])
+    first = tree.select("node_id", F.col("lo").alias("pos")).join(coloured, "pos")
+    return turns.where(F.round("total") == 0).join(first, "node_id").where("colour is not null").select("node_id", "colour")
 
 
 # --- lowest common ancestors -------------------------------------------------
@@ -176,40 +187,92 @@ def lowest_common_ancestor(pairs: DataFrame, tree: DataFrame, small: bool = True
     return found.select(*pairs.columns, best.alias("node_id"))
 
 
-# --- subtree sums ------------------------------------------------------------
+# --- sums and maxima over ranges of ids ---------------------------------------
 
-def interval_sums(points: DataFrame, intervals: DataFrame, group: list[str], value: str = "val") -> DataFrame:
-    """Sum of ``points(group..., pos, val)`` inside every ``intervals(group..., node_id, lo, hi)``.
+#: ids that one window partition of a running sum covers
+SPAN = 4096
+#: positions of a block of the range maximum
+BLOCK = 32
 
-    One running sum per group over the merged positions answers all intervals:
-    each asks for the sum up to ``hi`` and the sum before ``lo``.  Cost is linear
-    in points plus intervals however deep the tree, and the final aggregation
-    needs no second shuffle.
+
+def _span(pos: Column | str) -> Column:
+    pos = F.col(pos) if isinstance(pos, str) else pos
+    return F.floor(pos / F.lit(SPAN)).cast("int")
+
+
+def running_totals(points: DataFrame, asks: DataFrame, group: list[str]) -> DataFrame:
+    """Add ``total`` to ``asks(group..., at, ...)``: the sum of ``points(group..., pos, val)`` up to ``at``.
+
+    Two levels: sums over the few spans of ``SPAN`` positions before, and a running sum inside the span, which starts
+    from them.  No task sees more of a group than one span of it.
     """
-    zero = F.lit(0.0)
-    data = points.select(*group, F.col("pos").alias("__pos"), F.lit(0).alias("__ask"),
-                         F.col(value).cast("double").alias("__val"), F.lit(None).cast("int").alias("node_id"))
-    asks = intervals.select(
-        *group, "node_id",
-        F.explode(F.array(
-            F.struct((F.col("lo") - 1).alias("p"), F.lit(-1).alias("s")),
-            F.struct(F.col("hi").alias("p"), F.lit(1).alias("s")))).alias("q")
-    ).select(*group, F.col("q.p").alias("__pos"), F.col("q.s").alias("__ask"), zero.alias("__val"), "node_id")
-    order = Window.partitionBy(*group).orderBy("__pos", F.abs("__ask")).rowsBetween(
+    carried = [c for c in asks.columns if c not in (*group, "at")]
+    data = points.select(*group, F.col("pos").cast("int").alias("__pos"), F.lit(1).alias("__kind"), F.col("val").cast("double").alias("__val"))
+    data = data.withColumn("__span", _span("__pos"))
+    asked = asks.select(*group, F.col("at").cast("int").alias("__pos"), F.lit(2).alias("__kind"), F.lit(0.0).alias("__val"), *carried) \
+        .withColumn("__span", _span("__pos"))
+    sums = data.groupBy(*group, "__span").agg(F.sum("__val").alias("__sum"))
+    spans = asked.select(*group, "__span").distinct().join(sums, [*group, "__span"], "full")
+    before = Window.partitionBy(*group).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    bases = spans.select(*group, "__span", (F.col("__span") * SPAN).alias("__pos"), F.lit(0).alias("__kind"),
+                         F.coalesce(F.sum("__sum").over(before), F.lit(0.0)).alias("__val"))
+    inside = Window.partitionBy(*group, "__span").orderBy("__pos", "__kind").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    run = data.unionByName(asks).withColumn("__run", F.sum("__val").over(order))
-    return run.where(F.col("__ask") != 0).groupBy(*group, "node_id").agg(
-        F.sum(F.col("__run") * F.col("__ask")).alias("total"))
+    # the few bases are dealt anew: a union of inputs that share a partitioning expects equal numbers of partitions
+    bases = bases.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = asked.unionByName(data, allowMissingColumns=True).unionByName(bases, allowMissingColumns=True)
+    return every.withColumn("total", F.sum("__val").over(inside)).where("__kind = 2").select(
+        *group, F.col("__pos").alias("at"), *carried, "total")
+
+
+def interval_sums(points: DataFrame, intervals: DataFrame, group: list[str]) -> DataFrame:
+    """``group..., node_id, total``: sum of ``points`` inside every ``intervals(group..., node_id, lo, hi)``.
+
+    Linear in points plus intervals, however deep the tree: the total up to ``hi`` less that before ``lo``.
+    """
+    ends = F.array(F.struct(F.col("hi").alias("at"), F.lit(1).alias("sign")),
+                   F.struct((F.col("lo") - 1).alias("at"), F.lit(-1).alias("sign")))
+    asks = intervals.select(*group, "node_id", F.explode(ends).alias("e")).select(*group, "node_id", "e.*").where("at >= 0")
+    return running_totals(points, asks, group).groupBy(*group, "node_id").agg(
+        F.sum(F.col("total") * F.col("sign")).alias("total"))
 
 
 def cumulative(counts: DataFrame, tree: DataFrame, groups: DataFrame, group: str = "sample") -> DataFrame:
     """``group, node_id, total``: own count plus all counts below, for every node, zeros included.
 
-    ``counts(group, node_id, cnt)`` is sparse; ``groups(group)`` lists the groups.
+    ``counts(group, node_id, cnt)`` is sparse; ``groups(group)`` lists the groups.  The nodes of a group are put in
+    span by span.
     """
     nodes = tree.agg(F.max("hi")).first()[0] + 1
     # groups times nodes rows on the other side: never let the planner broadcast those
-    spans = tree.select("node_id", "lo", "hi").hint("broadcast" if nodes <= BROADCAST_ROWS else "merge")
-    every = groups.select(group, F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("node_id"))
+    spans = tree.select("node_id", "lo", "hi", _span("node_id").alias("__s")).hint("broadcast" if nodes <= BROADCAST_ROWS else "merge")
+    every = groups.select(group, F.explode(F.sequence(F.lit(0), F.lit((nodes - 1) // SPAN))).alias("__s"))
     points = counts.select(group, F.col("node_id").alias("pos"), F.col("cnt").alias("val"))
-    return interval_sums(points, every.join(spans, "node_id"), [group])
+    return interval_sums(points, every.join(spans, "__s").drop("__s"), [group])
+
+
+def range_maximum(values: DataFrame, ranges: DataFrame, positions: int) -> DataFrame:
+    """``id, val``: the largest ``values(pos, val)`` inside each of ``ranges(id, lo, hi)``, for positions from 0 on.
+
+    Ranges inside a block look at its values, longer ones at the largest from ``lo`` to the end of its block and
+    from the start of ``hi``'s block; the whole blocks between are a range over the blocks' maxima, and so on.
+    """
+    found = None
+    while True:
+        block = F.floor(F.col("pos") / BLOCK)
+        line = Window.partitionBy("__b").orderBy("pos")
+        edges = values.select("pos", "val", block.alias("__b")).select(
+            "pos", F.max("val").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("__head"),
+            F.max("val").over(line.rowsBetween(0, Window.unboundedFollowing)).alias("__tail"))
+        same = F.floor(F.col("lo") / BLOCK) == F.floor(F.col("hi") / BLOCK)
+        short = ranges.where(same).select("id", F.explode(F.sequence("lo", "hi")).alias("pos")).join(values, "pos").select("id", "val")
+        wide = ranges.where(~same)
+        low = wide.select("id", F.col("lo").alias("pos")).join(edges, "pos").select("id", F.col("__tail").alias("val"))
+        high = wide.select("id", F.col("hi").alias("pos")).join(edges, "pos").select("id", F.col("__head").alias("val"))
+        part = short.unionByName(low).unionByName(high)
+        found = part if found is None else found.unionByName(part)
+        if positions <= BLOCK:
+            return found.groupBy("id").agg(F.max("val").alias("val"))
+        positions = -(-positions // BLOCK)
+        ranges = wide.select("id", (F.floor(F.col("lo") / BLOCK) + 1).alias("lo"), (F.floor(F.col("hi") / BLOCK) - 1).alias("hi")).where("lo <= hi")
+        values = values.groupBy(block.alias("pos")).agg(F.max("val").alias("val"))

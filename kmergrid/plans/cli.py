@@ -8,7 +8,8 @@ from ..config import LabelDrawing, QueryConfig, SketchConfig, TreeDrawing
 from ..session import build_session
 from ..sinks.tables import write_scripts
 from ..sources import sequences as src, tables
-from ..validate import check_directory, check_file, require
+from ..sources import paths as P
+from ..validate import require
 from . import workflows as W
 
 
@@ -118,21 +119,21 @@ def run(argv: list[str], spark=None) -> None:
     spark = spark or build_session()
 
     def paths(file: str) -> list[str]:
-        return [r.path for r in src.read_paths(spark, check_file(file)).collect()]
+        return [r.path for r in src.read_paths(spark, P.check_file(spark, file)).collect()]
 
     if a.command == "sketch":
-        files = [check_file(f) for f in a.seq_files.split(",")]
+        files = [P.check_file(spark, f) for f in a.seq_files.split(",")]
         W.sketch(spark, [(a.name, f) for f in files], a.output, _sketch_config(a))
     elif a.command == "sketch-serially":
-        files, _ = W.manifest(spark, check_file(a.libraries))
+        files, _ = W.manifest(spark, P.check_file(spark, a.libraries))
         W.sketch(spark, files, a.output, _sketch_config(a))
     elif a.command == "sketch-cluster":
-        files, skipped = W.manifest(spark, check_file(a.libraries), skip_missing=True)
+        files, skipped = W.manifest(spark, P.check_file(spark, a.libraries), skip_missing=True)
         for sample in skipped:
             print(f"warning: sample {sample} skipped, a file is missing")
         wanted = spark.createDataFrame([(s,) for s in dict.fromkeys(s for s, _ in files)], "sample string")
         libraries = src.read_libraries(spark, a.libraries).join(wanted, "sample", "left_semi")
-        template = tables.read_template(spark, check_file(a.cluster_config)) if a.cluster_config else \
+        template = tables.read_template(spark, P.check_file(spark, a.cluster_config)) if a.cluster_config else \
             spark.createDataFrame([(0, "$COMMAND")], "idx int, line string")
         write_scripts(W.scripts(libraries, template, a.program, a.output, _sketch_config(a)), a.output)
     elif a.command == "distance":
@@ -140,26 +141,26 @@ def run(argv: list[str], spark=None) -> None:
     elif a.command == "update":
         W.update(spark, a.matrix, paths(a.existing_sketches), paths(a.new_sketches), a.output)
     elif a.command == "kmer-tree":
-        W.build_tree(spark, check_file(a.tree), paths(a.sketches) if a.sketches else None, a.output)
+        W.build_tree(spark, P.check_file(spark, a.tree), paths(a.sketches) if a.sketches else None, a.output)
     elif a.command == "population-tree":
         W.population_tree(spark, a.matrix_file, paths(a.sketches) if a.sketches else None, a.output)
     elif a.command == "tree-metrics":
-        W.tree_metrics(spark, check_directory(a.kmer_tree), a.output)
+        W.tree_metrics(spark, P.check_directory(spark, a.kmer_tree), a.output)
     elif a.command == "query":
         require((a.sketch is None) != (a.sketches is None), "give either --sketch or --sketches")
         require(a.sketches is None or a.prefix is not None, "a joint query needs --prefix")
         given = [a.sketch] if a.sketch else paths(a.sketches)
-        W.query(spark, check_directory(a.kmer_tree), given, a.output, a.labels, QueryConfig(a.normalize),
+        W.query(spark, P.check_directory(spark, a.kmer_tree), given, a.output, a.labels, QueryConfig(a.normalize),
                 joint_name=a.prefix)
     elif a.command == "query-serially":
-        W.query(spark, check_directory(a.kmer_tree), paths(a.sketches), a.output, a.labels, QueryConfig(a.normalize))
+        W.query(spark, P.check_directory(spark, a.kmer_tree), paths(a.sketches), a.output, a.labels, QueryConfig(a.normalize))
     elif a.command == "tree-drawer":
         config = TreeDrawing(a.image_height, a.image_width, a.font_size, a.line_width, a.ignore_frequency,
                              a.equal_dist, a.include_id)
-        W.draw_tree(spark, check_directory(a.tree), a.output, config, a.colours, a.query, a.matrix)
+        W.draw_tree(spark, P.check_directory(spark, a.tree), a.output, config, a.colours, a.query, a.matrix)
     elif a.command == "query-drawer":
         config = LabelDrawing(a.image_height, a.image_width, a.font_size, a.line_width, a.normalize, a.min_proportion)
-        W.draw_labels(spark, paths(a.query_files), check_file(a.colours), a.output, config, a.query_order)
+        W.draw_labels(spark, paths(a.query_files), P.check_file(spark, a.colours), a.output, config, a.query_order)
     elif a.command == "prep-data":
         prepared = src.prepared_ids(spark, paths(a.input_file))
         prepared.orderBy("idx").select("id", "path").write.csv(a.output, sep="\t")

@@ -17,7 +17,7 @@ from ..operators import linkage, sketch as K
 from ..operators import tree as T
 from ..session import materialize
 from ..sinks import drawing, tables as out
-from ..sources import newick, sequences as src, tables
+from ..sources import newick, paths as P, sequences as src, tables
 
 
 # --- sketches ----------------------------------------------------------------
@@ -42,7 +42,7 @@ def manifest(spark: SparkSession, path: str, skip_missing: bool = False) -> tupl
     A manifest is a list of paths the driver needs anyway to plan the scan.
     """
     rows = src.read_libraries(spark, path).collect()
-    skipped = [r.sample for r in rows if not all(os.path.isfile(f) for f in r.files)]
+    skipped = [r.sample for r in rows if not all(P.is_file(spark, f) for f in r.files)]
     V.require(skip_missing or not skipped, f"samples with missing files: {skipped[:V.SHOWN]}")
     left_out = set(skipped)
     return [(r.sample, f) for r in rows if r.sample not in left_out for f in r.files], skipped
@@ -81,7 +81,7 @@ def distance(spark: SparkSession, sketches: list[str], output: str, jaccard: boo
     sketch_table, meta = tables.read_sketches(spark, sketches)
     k, size, count = V.sketch_set(meta)
     largest = meta.agg(F.max("sketch_size")).first()[0]
-    pairs = D.pairwise(sketch_table, DistanceConfig(k, jaccard), count, largest)
+    pairs = D.pairwise(sketch_table, DistanceConfig(k, jaccard), count, largest, meta.select("sample"))
     names = materialize(_ordered_names(meta), "names")
     out.write_matrix(D.matrix_rows(pairs, names), names, output)
 
@@ -91,7 +91,8 @@ def update(spark: SparkSession, matrix: str, old: list[str], new: list[str], out
     old_sketch, old_meta = tables.read_sketches(spark, old)
     new_sketch, new_meta = tables.read_sketches(spark, new)
     k, _, _ = V.update_inputs(old_meta, new_meta)
-    pairs = D.update(known, old_sketch, new_sketch, DistanceConfig(k))
+    V.same_names(names, old_meta)
+    pairs = D.update(known, old_sketch, new_sketch, DistanceConfig(k), old_meta.select("sample"), new_meta.select("sample"))
     added = _ordered_names(new_meta).select((F.col("idx") + len(names)).alias("idx"), "name")
     order = materialize(
         spark.createDataFrame(list(enumerate(names)), "idx int, name string").unionByName(added), "names")
@@ -146,11 +147,13 @@ def query(spark: SparkSession, kmer_tree: str, sketches: list[str], output: str,
     Writes ``nodes``, ``summary`` and, with labels, ``labels``; one folder per query.
     """
     tree, lca, info = tables.read_kmer_tree(spark, kmer_tree)
-    queries, _ = tables.read_sketches(spark, sketches)
-    trimmed = C.trim(queries.select("sample", "hash"), info.first().min_sketch_size)
+    queries, meta = tables.read_sketches(spark, sketches)
+    stored = info.first()
+    V.query_inputs(meta, stored.min_sketch_size, stored.kmer_length)
+    trimmed, listed = C.trim(queries.select("sample", "hash"), stored.min_sketch_size), meta.select("sample")
     if joint_name is not None:
-        trimmed = C.pooled(trimmed, joint_name)
-    hit = materialize(C.hits(trimmed, lca), "hits")
+        trimmed, listed = C.pooled(trimmed, joint_name), spark.createDataFrame([(joint_name,)], "sample string")
+    hit = materialize(C.hits(trimmed, lca, listed), "hits")
     root = output.rstrip("/")
     report = C.node_report(hit, tree).select(
         "sample", F.col("id").alias("ID"), F.col("name").alias("Name"), F.col("weight").alias("Weight"))
@@ -212,8 +215,8 @@ def draw_labels(spark: SparkSession, reports: list[str], colours: str, output: s
 def _report_names(spark: SparkSession, reports: list[str]) -> list[str]:
     """Query names in the order of the given report files."""
     rows = spark.read.csv(reports, sep="\t", schema="name string, label string, weight double", header=True).select(
-        src._file().alias("file"), "name").distinct().collect()
-    order = {src._plain(os.path.abspath(p)).rstrip("/"): i for i, p in enumerate(reports)}
+        P.read_key().alias("file"), "name").distinct().collect()
+    order = {P.file_key(spark, p).rstrip("/"): i for i, p in enumerate(reports)}
 
     def rank(file: str) -> int:
         return order.get(file, order.get(os.path.dirname(file), len(order)))

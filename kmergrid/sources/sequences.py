@@ -6,28 +6,13 @@ compressed ones decode natively; no Python touches a record.
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import materialize
 from ..validate import require
-
-
-def _file() -> Column:
-    """Path of the file a row comes from, without its scheme."""
-    return F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/+", "/")
-
-
-def _plain(path: str) -> str:
-    """The form ``_metadata.file_path`` takes once its scheme is cut off."""
-    _, scheme, rest = path.rpartition("://")
-    bare = "/" + rest.lstrip("/") if scheme else path
-    if bare.startswith("file:/"):
-        bare = "/" + bare[len("file:"):].lstrip("/")
-    return quote(bare, safe="/:+=,@!$&'()*;~")
+from .paths import file_key, is_file, qualify, read_key
 
 
 def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -39,7 +24,7 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     length, so the difference never shows).
     """
     raw = spark.read.option("lineSep", "\n>").text(paths).select(
-        _file().alias("file"), F.regexp_replace("value", r"^>", "").alias("rec"))
+        read_key().alias("file"), F.regexp_replace("value", r"^>", "").alias("rec"))
     body = F.regexp_extract("rec", r"(?s)^[^\n]*\n(.*)$", 1)
     return raw.where(F.contains(F.col("rec"), F.lit("\n"))).select(
         "file", F.regexp_replace(body, r"[\r\n]", "").alias("seq"))
@@ -48,7 +33,7 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
 def check_fasta(spark: SparkSession, paths: list[str]) -> None:
     """Every file begins with a header line."""
     starts = spark.read.option("lineSep", "\n>").text(paths).where(
-        F.col("_metadata.file_block_start") == 0).groupBy(_file().alias("file")).agg(
+        F.col("_metadata.file_block_start") == 0).groupBy(read_key().alias("file")).agg(
         F.max(F.col("value").startswith(">")).alias("ok"))
     bad = [r[0] for r in starts.where("not ok").limit(10).collect()]
     require(not bad, f"FASTA files that do not start with '>': {bad}")
@@ -65,7 +50,7 @@ def read_fastq(spark: SparkSession, paths: list[str], rebalance: bool = False) -
     Both passes plan the same splits of the same files, so a line keeps its id.
     """
     lines = spark.read.text(paths).select(
-        _file().alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        read_key().alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"), "value")
     splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,9 +86,18 @@ def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def sample_sequences(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """``sample, seq`` of ``(sample, path)`` pairs; the files of a sample are pooled."""
-    owner = spark.createDataFrame([(s, _plain(p)) for s, p in files], "sample string, file string")
-    return read_sequences(spark, [p for _, p in files]).join(owner, "file").select("sample", "seq")
+    """``sample, seq`` of ``(sample, path)`` pairs; the files of a sample are pooled.
+
+    Paths may be relative or have a scheme; they are compared as full URIs, so that no record misses its sample.
+    """
+    absent = [p for _, p in files if not is_file(spark, p)]
+    require(not absent, f"sequence files that do not exist: {absent[:10]}")
+    paths = [qualify(spark, p) for _, p in files]
+    owner = spark.createDataFrame([(s, file_key(spark, p)) for s, p in files], "sample string, file string")
+    # every record belongs to a listed file: the outer join keeps, and the check below refuses, any that does not
+    owned = read_sequences(spark, paths).join(owner.distinct(), "file", "left")
+    sample = F.coalesce("sample", F.raise_error(F.concat(F.lit("records of a file that is not listed: "), F.col("file"))).cast("string"))
+    return owned.select(sample.alias("sample"), "seq")
 
 
 #: bases per byte of a file, roughly
@@ -113,10 +107,11 @@ _BASES_PER_BYTE = {X.FASTA: 1.0, X.FASTQ: 0.4, X.FASTQ_GZ: 1.6}
 def estimated_sizes(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     """``sample, n_bases`` guessed from file lengths, without reading any file."""
     owner = spark.createDataFrame(
-        [(s, _plain(p), _BASES_PER_BYTE[X.type_of(p)]) for s, p in files], "sample string, file string, density double")
-    lengths = spark.read.format("binaryFile").load([p for _, p in files]).select(_file().alias("file"), "length")
-    return owner.join(lengths, "file").groupBy("sample").agg(
-        F.sum((F.col("length") * F.col("density")).cast("bigint")).alias("n_bases"))
+        [(s, file_key(spark, p), _BASES_PER_BYTE[X.type_of(p)]) for s, p in files], "sample string, file string, density double")
+    lengths = spark.read.format("binaryFile").load([qualify(spark, p) for _, p in files]).select(read_key().alias("file"), "length")
+    # a file of unknown length still has a sample, which starts with the widest bound
+    return owner.join(lengths, "file", "left").groupBy("sample").agg(
+        F.sum((F.coalesce("length", F.lit(0)) * F.col("density")).cast("bigint")).alias("n_bases"))
 
 
 def read_libraries(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +136,7 @@ def header_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     Line order within a file follows (split, position in the split).
     """
     lines = spark.read.text(paths).select(
-        _file().alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        read_key().alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"), "value").where(F.col("value").startswith(">"))
     first = lines.groupBy("file").agg(F.min(F.struct("block", "id", "value")).alias("f"))
     return first.select("file", F.col("f.value").alias("line"))
@@ -149,9 +144,9 @@ def header_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def prepared_ids(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``id, path``: first header word of each listed FASTA file, ``+``, its place in the list."""
-    listed = spark.createDataFrame([(i, p, _plain(p)) for i, p in enumerate(paths)], "idx int, path string, file string")
+    listed = spark.createDataFrame([(i, p, file_key(spark, p)) for i, p in enumerate(paths)], "idx int, path string, file string")
     token = X.header_token(F.col("line"))
-    found = listed.join(header_lines(spark, paths), "file", "left")
+    found = listed.join(header_lines(spark, [qualify(spark, p) for p in paths]), "file", "left")
     empty = [r[0] for r in found.where("line is null").select("path").limit(10).collect()]
     require(not empty, f"files without a FASTA header: {empty}")
     return found.select("idx", F.concat_ws("+", token, F.col("idx").cast("string")).alias("id"), "path")

@@ -6,8 +6,6 @@ ever reach the driver.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +21,6 @@ def require(condition: bool, message: str) -> None:
         raise ValueError(message)
 
 
-def check_file(path: str) -> str:
-    require(os.path.isfile(path), f"file does not exist or is not a file: {path}")
-    return path
-
-
-def check_directory(path: str) -> str:
-    require(os.path.isdir(path), f"directory does not exist or is not a directory: {path}")
-    return path
-
-
 def unique_samples(meta: DataFrame) -> None:
     """Every sketch name appears once."""
     twice = meta.groupBy("sample").count().where("count > 1")
@@ -43,11 +31,13 @@ def unique_samples(meta: DataFrame) -> None:
 def sketch_set(meta: DataFrame) -> tuple[int, int, int]:
     """``(k, smallest sketch, sketches)`` of a set of sketches with one k and unique names.
 
-    Differing sketch sizes are allowed; callers use the smallest.
+    Differing sketch sizes are allowed; callers use the smallest.  Sketches without a hash, of samples shorter than k,
+    do not count for it: cutting others to their size would empty them.
     """
     row = meta.agg(
         F.min("kmer_length").alias("k0"), F.max("kmer_length").alias("k1"),
-        F.min("sketch_size").alias("s"), F.count("*").alias("n")).first()
+        F.coalesce(F.min(F.when(F.col("sketch_size") > 0, F.col("sketch_size"))), F.lit(0)).alias("s"),
+        F.count("*").alias("n")).first()
     require(row["n"] > 0, "no sketches given")
     require(row["k0"] == row["k1"], f"sketches with different k-mer lengths: {row['k0']} .. {row['k1']}")
     unique_samples(meta)
@@ -65,6 +55,22 @@ def update_inputs(old_meta: DataFrame, new_meta: DataFrame) -> tuple[int, int, i
     return k_old, n_old, n_new
 
 
+def same_names(names: list[str], meta: DataFrame) -> None:
+    """A matrix is about exactly the samples of its sketches."""
+    listed = meta.sparkSession.createDataFrame([(n,) for n in names], "sample string")
+    absent = _sample(listed.join(meta, "sample", "left_anti"), "sample")
+    require(not absent, f"matrix columns without a sketch: {absent}")
+    extra = _sample(meta.join(listed, "sample", "left_anti"), "sample")
+    require(not extra, f"sketches that the matrix does not list: {extra}")
+
+
+def query_inputs(meta: DataFrame, smallest: int, kmer_length: int) -> None:
+    """Query sketches can be compared with a tree: it has sketches, and the same k."""
+    require(smallest > 0, "the tree was built without sketches, or only with empty ones")
+    bad = _sample(meta.where(F.col("kmer_length") != kmer_length), "sample")
+    require(not bad, f"query sketches whose k-mer length is not the tree's {kmer_length}: {bad}")
+
+
 def labels_cover(tree: DataFrame, labels: DataFrame) -> None:
     """Exactly one label per leaf."""
     leaves = tree.where("is_leaf").select(F.col("name").alias("leaf"))
