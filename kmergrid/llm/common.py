@@ -32,13 +32,17 @@ def unit_hash(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def beside(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join with a table of one row per key, broadcast if a count shows that it is small.
+def small(df: DataFrame) -> DataFrame:
+    """A side of a join, to be broadcast if a count shows that it has few rows.
 
     Beyond that an ordinary join runs, whose skewed partitions the adaptive planner splits.
     """
-    few = small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return df.join(F.broadcast(small) if few else small, keys)
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def beside(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a table of one row per key."""
+    return df.join(small(other), keys)
 
 
 def running(df: DataFrame, group: str, position: str, ties: Sequence[str], size: str) -> DataFrame:

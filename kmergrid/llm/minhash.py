@@ -12,7 +12,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmergrid.llm.common import groups_of
+from kmergrid.llm.common import groups_of, small
 from kmergrid.session import materialize
 
 #: words of a shingle, and the similarity of a link in per cent
@@ -147,22 +147,77 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(both.where("a <> b").distinct(), "edges")
-    labels = materialize(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), "labels")
+    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     while not edges.isEmpty():
         hooks = materialize(edges.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")), "hooks")
         while True:
-            further = hooks.select(F.col("a").alias("to"), F.col("to").alias("root"))
-            jumped = materialize(hooks.join(further, "to", "left").select("a", F.coalesce("root", "to").alias("next"), "to"), "jumps")
-            moved = not jumped.where("next <> to").isEmpty()
-            hooks = jumped.select("a", F.col("next").alias("to"))
-            if not moved:
+            once = _follow(hooks, small(hooks))
+            ahead = small(once).select(F.col("a").alias("_at"), F.col("to").alias("_to"))
+            twice = materialize(once.join(ahead, once["to"] == F.col("_at"), "left").select("a", "to", F.coalesce("_to", "to").alias("far")), "jumps")
+            hooks = twice.select("a", F.col("far").alias("to"))
+            if twice.where("far <> to").isEmpty():
                 break
-        root = hooks.select(F.col("a").alias("component"), F.col("to").alias("root"))
-        labels = materialize(labels.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
-        at_a = hooks.select("a", F.col("to").alias("x"))
-        at_b = hooks.select(F.col("a").alias("b"), F.col("to").alias("y"))
-        edges = materialize(edges.join(at_a, "a").join(at_b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-    return labels
+        pointers = small(hooks)
+        labels = _follow(labels.withColumnsRenamed({"node": "a", "component": "to"}), pointers).toDF("node", "component")
+        named = edges.join(pointers, "a").select("b", F.col("to").alias("x")).join(pointers.withColumnRenamed("a", "b"), "b")
+        edges = materialize(named.where("x <> to").select(F.col("x").alias("a"), F.col("to").alias("b")).distinct(), "edges")
+    return materialize(labels, "labels")
+
+
+def _follow(pointers: DataFrame, further: DataFrame) -> DataFrame:
+    """``a, to`` one step further on; ``to`` stays where ``further(a, to)`` does not list it."""
+    ahead = further.select(F.col("a").alias("_at"), F.col("to").alias("_to"))
+    return pointers.join(ahead, pointers["to"] == F.col("_at"), "left").select("a", F.coalesce("_to", "to").alias("to"))
+
+
+def _differences(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For a hub and a member of its bucket: whether they are linked, and the shingles that only one of them has."""
+    kind = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n_hub", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
+    text, other = None, None
+    for batch in batches:
+        hubs, reps, texts_h, texts = (c.to_pylist() for c in batch.columns)
+        for low, high in groups_of(texts):
+            rows = []
+            for k, one in enumerate(shingles(texts[low:high]), low):
+                if text != texts_h[k]:
+                    text = texts_h[k]
+                    other = shingles([text])[0]
+                apart = np.setxor1d(one, other, assume_unique=True)
+                both = (len(one) + len(other) - len(apart)) // 2
+                rows.append((hubs[k], reps[k], len(other), len(one), 100 * both >= percent * (both + len(apart)), apart.view(np.int64)))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+
+
+def _beyond_hubs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of members of a hub that may be linked although one of them is not linked to the hub.
+
+    With D the shingles in which a member differs from the hub, two members are linked if their D differ in at most
+    ``t * (n_i + n_j)`` places, t = (100 - percent) / (100 + percent).  If ``i`` is not linked to the hub, D_i is larger
+    than ``t * (n_i + n_hub)``, so more than ``(|D_j| + t * (n_hub - n_j)) / 2`` of D_j must lie in D_i, and, as D_j
+    cannot be much smaller, all of D_i but ``t * (n_i + n_j)``.  The first common member in any order is then among
+    the first few of both.  Rare shingles come first, so that pairs with nothing but the hub's text in common do not meet.
+    """
+    t = (100 - percent) / (100 + percent)
+    alone = apart.where(~F.col("linked")).select("hub").distinct()
+    groups = apart.join(alone, "hub", "left_semi").withColumn("s", F.size("apart"))
+    places = groups.select("hub", "rep", F.explode("apart").alias("x"))
+    often = places.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("f"))
+    ordered = (places.join(often, ["hub", "x"]).groupBy("hub", "rep").agg(F.sort_array(F.collect_list(F.struct("f", "x")))["x"].alias("x"))
+               .join(groups.select("hub", "rep", "n_hub", "n", "s", "linked"), ["hub", "rep"]))
+    ordered = materialize(ordered, "differences")
+    least = F.floor((F.col("s") + t * (F.col("n_hub") - F.col("n"))) / 2 - 1e-9) + 1
+    index = ordered.select("hub", F.col("rep").alias("b"), F.col("n").alias("n_b"),
+                           F.explode(F.slice("x", F.lit(1), F.greatest(F.lit(1), F.col("s") - least + 1).cast("int"))).alias("x"))
+    reach = F.floor(t * F.col("n") * (1 + 100 / percent) + 1e-9) + 1
+    probe = ordered.where(~F.col("linked")).select("hub", F.col("rep").alias("a"), F.col("n").alias("n_a"),
+                                                   F.explode(F.slice("x", F.lit(1), reach.cast("int"))).alias("x"))
+    return probe.join(index, ["hub", "x"]).where("a <> b").select("a", "n_a", "b", "n_b")
+
+
+def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
+    """Each pair once, without those whose sizes differ too much for a link."""
+    return (pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+            .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("_")).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -172,10 +227,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ``component_id`` is the smallest id reachable over links, ``kept`` marks documents that have it themselves.
 
     Documents with equal sets form a class, of which the smallest id goes on alone.  Its signature (two permutations, the
-    second shifted along) is cut into bands.  Members of a bucket are compared on their full sets: all pairs of a small
-    bucket; in a larger one everybody with a few members drawn by hash, then, while the bucket still holds more than one
-    component, with four times as many, until all pairs from different components have been compared.  So no link
-    between different components is lost, and a large group of near copies costs a few comparisons for each member.
+    second shifted along) is cut into bands.  Pairs in a common bucket are candidates, and links are confirmed on full
+    sets.  All pairs of a small bucket are compared; in a larger one everybody with a hub, the member that shares most
+    buckets with others.  Members linked to the hub are in one component.  For the others :func:`_beyond_hubs` finds every
+    member that can still be linked to them, so no link between components is lost and a large group of near
+    copies is not compared pair by pair.
 
     A null or blank text has no shingles and is linked with nothing; one of fewer than five words has its whole
     sequence.  Rows that share an id count as one node; rows
@@ -184,37 +240,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     features = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_features, _FEATURES), "minhash")
     classes = materialize(features.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     leaders = features.join(classes, "set_key").where("doc_id = rep")
-    draw = F.abs(F.xxhash64("rep", F.lit(11)) % (1 << 30)) / F.lit(float(1 << 30))
     rows = leaders.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    members = materialize(rows.join(shared.select("bucket", "size"), "bucket").withColumn("draw", draw), "members")
+    members = materialize(rows.join(shared.select("bucket", "size"), "bucket"), "members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").where(F.col("text").isNotNull()), "texts")
 
-    links, labels, hubs, earlier = None, None, 2.0, 0.0
-    open_ = members.withColumn("component", F.col("rep"))
-    while True:
-        share = F.when(F.col("size") <= SMALL_BUCKET, 1.0).otherwise(F.lit(hubs) / F.col("size"))
-        fresh = open_.where(F.col("draw") >= F.lit(earlier) / F.col("size"))
-        one = fresh.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        hub = fresh.where(F.col("draw") < share).select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        pairs = (one.join(hub, "bucket").where("a <> b and c_a <> c_b")
-                 .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                 .groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.max("b").alias("b"))
-                 .select(F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("a"), "b"))
-        full = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-                .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"))
-        found = materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(functools.partial(_verify, percent=percent), "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        named = labels.withColumnRenamed("node", "rep").withColumnRenamed("component", "_new")
-        current = members.join(named, "rep", "left").withColumn("component", F.coalesce("_new", "rep")).drop("_new")
-        mixed = current.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        open_ = materialize(current.where((F.col("size") > SMALL_BUCKET) & (F.col("size") > hubs))
-                            .join(mixed.select("bucket"), "bucket", "left_semi"), "open")
-        earlier, hubs = hubs, hubs * 4
-        if open_.isEmpty():
-            break
+    one = members.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), "size")
+    few = one.where(F.col("size") <= SMALL_BUCKET).join(members.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b")), "bucket").where("a < b")
+    large = members.where(F.col("size") > SMALL_BUCKET)
+    central = large.groupBy("rep").agg(F.sum("size").alias("score"))
+    hubs = large.join(central, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("score", "rep")).alias("hub"))
+    spokes = large.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct()
+
+    def beside(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        for c in (a, b):
+            pairs = pairs.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)
+        return pairs.select(a, b, f"text_{a}", f"text_{b}")
+
+    verify = functools.partial(_verify, percent=percent)
+    apart = materialize(beside(spokes, "rep", "hub").select("hub", "rep", "text_hub", "text_rep").mapInArrow(
+        functools.partial(_differences, percent=percent), "hub long, rep long, n_hub long, n long, linked boolean, apart array<long>"), "spokes")
+    near = _candidates(few.select("a", "n_a", "b", "n_b"), percent).unionByName(_candidates(_beyond_hubs(apart, percent), percent)).distinct()
+    links = materialize(beside(near, "a", "b").mapInArrow(verify, "a long, b long"), "links")
+    links = links.unionByName(apart.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    labels = components(links)
     placed = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     return (placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", "n_shingles",
