@@ -28,7 +28,10 @@ from ..operators import tree as T
 from ..operators.kmers import kmers, windows
 from ..session import materialize, scratch_dir, spread
 from ..sinks.drawing import branches
+from ..sinks.tables import write_matrix
 from ..sources import sequences as src
+from ..sources.paths import qualify
+from ..sources.tables import read_matrix
 from . import workflows as W
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -298,8 +301,58 @@ def coverage_stats(spark, sf):
     return s.select("sample", "n", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"), "median")
 
 
+@query
+def coverage_stats_large(spark, sf):
+    # coverages far from zero and close together
+    tracked = source_sketch(spark, sf, reads(SOURCE_SKETCH, 2, True)).withColumn("coverage", F.col("coverage") + 100_000_000)
+    s = K.coverage_stats(tracked)
+    return s.select("sample", "n", F.round("mean", 3).alias("mean"), F.round("std_dev", 4).alias("std_dev"), "median")
+
+
 # --- distances ---------------------------------------------------------------
 
+def short_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The passages, every fifth cut to fewer bases than a k-mer has."""
+    cut = F.when(F.substring("sample", 5, 20).cast("int") % 5 == 0, F.substring("seq", 1, KMER - 1)).otherwise(F.col("seq"))
+    return items(spark, sf).select("sample", cut.alias("seq"))
+
+
+@query
+def distance_matrix_file(spark, sf):
+    records, config = short_items(spark, sf), assembly(QUERY_SKETCH)
+    sketches = materialize(K.build_sketches(records, config), "sketch")
+    meta = materialize(K.sketch_meta(sketches, K.sample_sizes(records), config), "meta")
+    path = _scratch(spark, "matrix")
+    names = materialize(W._ordered_names(meta), "names")
+    pairs = D.pairwise(sketches, DistanceConfig(KMER), names=meta.select("sample"))
+    write_matrix(D.matrix_rows(pairs, names), names, path)
+    return read_matrix(spark, path)[0].select("a", "b", r("distance").alias("distance"))
+
+
+@query
+def distance_update_file(spark, sf):
+    records, config = short_items(spark, sf), assembly(QUERY_SKETCH)
+    sketches = materialize(K.build_sketches(records, config), "sketch")
+    meta = materialize(K.sketch_meta(sketches, K.sample_sizes(records), config).select("sample", F.crc32("sample").alias("c")), "meta")
+    older = F.col("c") % 2 == 0
+    old, new = meta.where(older).select("sample"), meta.where(~older).select("sample")
+    known = D.pairwise(sketches.join(old, "sample"), DistanceConfig(KMER), names=old).select("a", "b", "distance")
+    both = D.update(known, sketches.join(old, "sample"), sketches.join(new, "sample"), DistanceConfig(KMER), old, new)
+    names = materialize(W._ordered_names(meta), "names")
+    path = _scratch(spark, "matrix")
+    write_matrix(D.matrix_rows(both, names), names, path)
+    return read_matrix(spark, path)[0].select("a", "b", r("distance").alias("distance"))
+
+
+@query
+def query_reports_empty(spark, sf):
+    queries = short_items(spark, sf)
+    trimmed = C.trim(K.build_sketches(queries, assembly(QUERY_SKETCH)), DOC_SKETCH)
+    lca = C.kmer_lca(doc_sketch(spark, sf), document_tree(spark, sf))
+    e = C.explained(C.hits(trimmed, lca, queries.select("sample")))
+    return e.select("sample", "total", "found", r("explained").alias("explained"))
+
+
 def _pairs(sketch: DataFrame, jaccard: bool = False) -> DataFrame:
     p = D.pairwise(sketch, DistanceConfig(KMER, jaccard))
     return p.select("a", "b", "shared", "sketch_size", r("jaccard").alias("jaccard"), r("distance").alias("distance"))
@@ -530,6 +583,48 @@ def tree_metrics(spark, sf):
     return C.tree_metrics(C.kmer_lca(doc_sketch(spark, sf), tree), tree)
 
 
+def chain_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The deepest tree over all documents: node ``2g - 1`` has leaf ``g - 1`` on its left and everything after on its right."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("int").alias("i"))
+    last = docs.count() - 1
+    leaf = docs.select((2 * F.col("i")).alias("node_id"), F.least(2 * F.col("i") + 1, F.lit(2 * last - 1)).alias("parent_id"),
+                       F.lit(True).alias("is_leaf"), doc_name(F.col("i")).alias("name"), F.least(F.col("i") + 1, F.lit(last)).alias("depth"),
+                       (2 * F.col("i")).alias("lo"), (2 * F.col("i")).alias("hi"))
+    inner = docs.where("i > 0").select(
+        (2 * F.col("i") - 1).alias("node_id"), F.when(F.col("i") > 1, 2 * F.col("i") - 3).alias("parent_id"), F.lit(False).alias("is_leaf"),
+        F.lit(None).cast("string").alias("name"), (F.col("i") - 1).alias("depth"), (2 * F.col("i") - 2).alias("lo"), F.lit(2 * last).alias("hi"))
+    dist = F.when(F.col("node_id") == 1, F.lit(0.0)).otherwise((F.col("node_id") % 5 + 1) / 4.0)
+    return leaf.unionByName(inner).withColumn("dist", dist)
+
+
+@query
+def chain_postorder(spark, sf):
+    return T.post_order(chain_tree(spark, sf))
+
+
+@query
+def chain_root_distance(spark, sf):
+    return T.root_distance(chain_tree(spark, sf)).select("node_id", F.round("x", 6).alias("x"))
+
+
+@query
+def chain_largest_genome(spark, sf):
+    sizes = K.sample_sizes(by_doc(spark, sf)).select(F.col("sample").alias("name"), F.col("n_bases").alias("genome_size"))
+    return T.largest_genome(chain_tree(spark, sf), sizes)
+
+
+@query
+def chain_colour(spark, sf):
+    colours = table(spark, sf, "documents").select(doc_name(F.col("doc_id")).alias("name"), F.col("lang").alias("colour"))
+    return T.uniform_colour(chain_tree(spark, sf), colours)
+
+
+@query
+def chain_label_weights(spark, sf):
+    labels = table(spark, sf, "documents").select(doc_name(F.col("doc_id")).alias("leaf"), F.col("lang").alias("label"))
+    return C.node_label_weights(chain_tree(spark, sf), labels).select("node_id", "label", r("weight").alias("weight"))
+
+
 # --- queries -----------------------------------------------------------------
 
 @query
@@ -656,6 +751,44 @@ def fasta_records(spark, sf):
     return src.read_fasta(spark, [path]).select("seq")
 
 
+def _fasta_files(spark: SparkSession, sf: str) -> list[tuple[str, str]]:
+    """``(sample, path)`` of FASTA files, some per source, named as such files are."""
+    root = _scratch(spark, "samples")
+    by_source(spark, sf).select("sample", F.concat(F.lit(">doc"), F.col("doc_id"), F.lit("\n"), F.col("seq")).alias("value")) \
+        .write.partitionBy("sample").text(root)
+    hadoop, files = spark._jvm.org.apache.hadoop.fs, []
+    for uri in spark.read.text(root).inputFiles():
+        here, there = hadoop.Path(uri), hadoop.Path(uri.removesuffix(".txt") + ".fa")
+        here.getFileSystem(spark._jsc.hadoopConfiguration()).rename(here, there)
+        files.append((here.getParent().getName().removeprefix("sample="), there.toString()))
+    return files
+
+
+def _untidy(path: str, n: int) -> str:
+    """One of several spellings of the same path."""
+    folder, _, name = path.rpartition("/")
+    return (path, f"{folder}/./{name}", f"{folder}//{name}", f"{folder}/../{folder.rpartition('/')[2]}/{name}")[n % 4]
+
+
+@query
+def sample_files(spark, sf):
+    files = [(s, _untidy(p, i)) for i, (s, p) in enumerate(_fasta_files(spark, sf))]
+    manifest = _scratch(spark, "manifest")
+    spark.createDataFrame([("\t".join(x),) for x in files], "value string").write.text(manifest)
+    listed = src.library_files(src.read_libraries(spark, manifest))
+    found = src.sample_sequences(spark, [(x.sample, x.file) for x in listed.collect()])
+    return found.groupBy("sample").agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("seq")).alias("bases"))
+
+
+@query
+def path_list(spark, sf):
+    files = _fasta_files(spark, sf)
+    listing = _scratch(spark, "paths")
+    spark.createDataFrame([(_untidy(p, i),) for i, (_, p) in enumerate(files)], "value string").write.text(listing)
+    found = src.read_sequences(spark, [qualify(spark, x.path) for x in src.read_paths(spark, listing).collect()])
+    return found.agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("seq")).alias("bases"))
+
+
 @query
 def fastq_records(spark, sf):
     path = _scratch(spark, "fastq")

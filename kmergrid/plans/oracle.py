@@ -282,8 +282,20 @@ oracle("coverage_histogram", "SELECT sample, coverage, count(*) AS kmers FROM sr
 oracle("coverage_stats", """SELECT sample, count(*) AS n, round(avg(coverage), 6) AS mean,
     round(stddev_pop(coverage), 6) AS std_dev, median(coverage)::DOUBLE AS median FROM src_sk_reads GROUP BY sample""")
 
+oracle("coverage_stats_large", """SELECT sample, count(*) AS n, round(avg(coverage + 100000000::BIGINT), 3) AS mean,
+    round(stddev_pop(coverage), 4) AS std_dev, (median(coverage) + 100000000)::DOUBLE AS median FROM src_sk_reads GROUP BY sample""")
+
 # --- distances ---------------------------------------------------------------
 
+# passages of which every fifth has no k-mer; those are infinitely far from all others
+CTES["short_seq"] = f"""SELECT sample, CASE WHEN substr(sample, 5)::INTEGER % 5 = 0 THEN substr(seq, 1, {K - 1}) ELSE seq END AS seq FROM item_seq"""
+CTES["short_kmer"] = _kmers("short_seq")
+CTES["short_sk"] = _sketch("short_kmer", S_QUERY)
+CTES["short_pairs"] = f"""SELECT a, b, {_mash('j')} AS distance FROM (SELECT *, shared::DOUBLE / sketch_size AS j FROM ({_pairs('short_sk')}))"""
+for _q in ("distance_matrix_file", "distance_update_file"):
+    oracle(_q, """SELECT x.sample AS a, y.sample AS b, coalesce(round(p.distance, 9), 'Infinity'::DOUBLE) AS distance
+        FROM short_seq x JOIN short_seq y ON x.sample < y.sample LEFT JOIN short_pairs p ON p.a = x.sample AND p.b = y.sample""")
+
 for _q, _t in (("mash_distance", "src_pairs"), ("mash_distance_uneven", "conv_pairs")):
     oracle(_q, f"""SELECT a, b, shared, sketch_size, round(jaccard, 9) AS jaccard, round(distance, 9) AS distance FROM {_t}""")
 oracle("jaccard_distance", """SELECT a, b, shared, sketch_size, round(jaccard, 9) AS jaccard,
@@ -329,6 +341,24 @@ oracle("spanning_tree", """SELECT e.a, e.b, round(e.distance, 9) AS distance FRO
 
 # --- trees -------------------------------------------------------------------
 
+# the chain: node 2g - 1 is above leaf g - 1 and all later ones
+CTES["chain"] = """SELECT doc_id AS i, lang, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS bases, count(*) OVER () - 1 AS last FROM documents"""
+oracle("chain_postorder", "SELECT (last - i)::INTEGER AS position, (2 * i - 1)::INTEGER AS node_id FROM chain WHERE i > 0")
+CTES["chain_inner"] = """SELECT i, sum(CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE ((2 * i - 1) % 5 + 1) / 4.0::DOUBLE END) OVER (ORDER BY i) AS x
+    FROM chain WHERE i > 0"""
+oracle("chain_root_distance", """SELECT (2 * i - 1)::INTEGER AS node_id, round(x, 6) AS x FROM chain_inner UNION ALL
+    SELECT (2 * c.i)::INTEGER, round(n.x + ((2 * c.i) % 5 + 1) / 4.0::DOUBLE, 6) FROM chain c JOIN chain_inner n ON n.i = least(c.i + 1, c.last)""")
+oracle("chain_largest_genome", """SELECT (2 * i)::INTEGER AS node_id, bases::BIGINT AS largest FROM chain UNION ALL
+    SELECT (2 * i - 1)::INTEGER, max_after::BIGINT FROM
+      (SELECT i, max(bases) OVER (ORDER BY i ROWS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING) AS max_after FROM chain) WHERE i > 0""")
+oracle("chain_colour", """SELECT (2 * i)::INTEGER AS node_id, lang AS colour FROM chain UNION ALL
+    SELECT (2 * i - 1)::INTEGER, lo FROM (SELECT i, min(lang) OVER w AS lo, max(lang) OVER w AS hi FROM chain
+      WINDOW w AS (ORDER BY i ROWS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING)) WHERE i > 0 AND lo = hi""")
+oracle("chain_label_weights", """SELECT (2 * i)::INTEGER AS node_id, lang AS label, 1.0::DOUBLE AS weight FROM chain UNION ALL
+    SELECT (2 * i - 1)::INTEGER, l, round(k::DOUBLE / (last - i + 2), 9) FROM (SELECT c.i, c.last, g.lang AS l,
+      sum((c.lang = g.lang)::INTEGER) OVER (PARTITION BY g.lang ORDER BY c.i ROWS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING) AS k
+      FROM chain c, (SELECT DISTINCT lang FROM chain) g) WHERE i > 0 AND k > 0""")
+
 oracle("tree_nodes", "SELECT * FROM tree")
 oracle("tree_leaf_order", "SELECT (row_number() OVER (ORDER BY node_id) - 1)::INTEGER AS position, name FROM tree WHERE is_leaf")
 oracle("tree_postorder", """SELECT (row_number() OVER (ORDER BY hi, lo DESC) - 1)::INTEGER AS position, node_id
@@ -371,6 +401,12 @@ oracle("tree_metrics", """SELECT t.node_id AS id, coalesce(t.name, '') AS name,
 oracle("query_trim", "SELECT sample, hash FROM item_trim")
 oracle("query_node_counts", "SELECT sample, node_id, cnt FROM hit WHERE node_id IS NOT NULL")
 oracle("query_explained", "SELECT sample, total, found, round(found::DOUBLE / total, 9) AS explained FROM share")
+CTES["short_trim"] = (f"SELECT sample, hash FROM (SELECT sample, hash, row_number() OVER (PARTITION BY sample "
+                      f"ORDER BY hash) AS rn FROM short_sk) WHERE rn <= {S_DOC}")
+oracle("query_reports_empty", """SELECT q.sample, count(t.hash) AS total, count(l.hash) AS found,
+    round(CASE WHEN count(t.hash) = 0 THEN 0.0::DOUBLE ELSE count(l.hash)::DOUBLE / count(t.hash) END, 9) AS explained
+    FROM short_seq q LEFT JOIN short_trim t ON t.sample = q.sample LEFT JOIN (SELECT DISTINCT hash FROM doc_sk) l ON l.hash = t.hash
+    GROUP BY q.sample""")
 oracle("query_node_report", "SELECT sample, id, name, round(weight, 9) AS weight FROM report")
 oracle("query_pooled", """SELECT 'all' AS sample, t.node_id AS id, coalesce(t.name, '') AS name,
     round(coalesce(c.w, 0)::DOUBLE / (SELECT sum(total) FROM share), 9) AS weight FROM tree t LEFT JOIN
@@ -406,6 +442,8 @@ oracle("matrix_fade", "SELECT a, b, round(1.0::DOUBLE - least(distance, 1.0::DOU
 
 # --- files, manifests, text --------------------------------------------------
 
+oracle("sample_files", "SELECT sample, count(*) AS records, sum(length(seq))::BIGINT AS bases FROM src_seq GROUP BY sample")
+oracle("path_list", "SELECT count(*) AS records, sum(length(seq))::BIGINT AS bases FROM src_seq")
 oracle("fasta_records", "SELECT seq FROM src_seq WHERE length(seq) > 0")
 oracle("fastq_records", "SELECT seq FROM src_seq")
 oracle("path_parts", r"""SELECT page_id, base, regexp_extract(base, '^(.*)\.[^.]*$', 1) AS stem,
