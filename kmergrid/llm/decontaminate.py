@@ -19,8 +19,9 @@ _WORDS = re.compile(r"\w+")
 
 
 def normal(text: str | None) -> str:
-    """Lower-case words with one blank between them, none around."""
-    return " ".join(_WORDS.findall((text or "").lower()))
+    """Lower-case words, each between single blanks; nothing if there is none."""
+    words = _WORDS.findall((text or "").lower())
+    return f" {' '.join(words)} " if words else ""
 
 
 @dataclass(frozen=True)

@@ -94,7 +94,8 @@ class Encoder:
         """One entry per text; call it with about a million characters at a time."""
         get, heads, split, missing = self.new.get, set(), [], set()
         for text in texts:
-            even = len(text.split()) == text.count(" ") + text.count("\n") + 1
+            words, gaps = text.split(), text.count(" ") + text.count("\n")
+            even = len(words) == gaps + 1 and len("".join(words)) == len(text) - gaps  # all white space stands alone
             lines = [x.split(" ") for x in text.split("\n")] if even else [_LONE_BLANK.split(text)]
             ids = [list(map(get, line)) for line in lines]
             for line, found in zip(lines, ids, strict=True):

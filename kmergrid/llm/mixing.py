@@ -214,7 +214,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
         functools.partial(_slots, streams=streams, shard_blocks=shard_blocks, seed=seed),
         "_stream int, _block long, _lap int, _words int, slot long, shard long")
     high = F.least(F.col("_high"), F.col("_words"))
-    pieces = (parts.join(slots, ["_stream", "_block"]).where(high > F.col("_low"))
+    # the planner sizes the slots like the shard numbers they come from, and would broadcast them
+    pieces = (parts.join(slots.hint("merge"), ["_stream", "_block"]).where(high > F.col("_low"))
               .select("doc_id", (F.col("_low") + F.col("_at")).alias("_from"), (high + F.col("_at")).alias("_to"), "shard", "slot", "_lap"))
     return Mix(placed, pieces)
 
