@@ -206,12 +206,15 @@ def _beyond_hubs(apart: DataFrame, percent: int) -> DataFrame:
                .join(groups.select("hub", "rep", "n_hub", "n", "s", "linked"), ["hub", "rep"]))
     ordered = materialize(ordered, "differences")
     least = F.floor((F.col("s") + t * (F.col("n_hub") - F.col("n"))) / 2 - 1e-9) + 1
-    index = ordered.select("hub", F.col("rep").alias("b"), F.col("n").alias("n_b"),
-                           F.explode(F.slice("x", F.lit(1), F.greatest(F.lit(1), F.col("s") - least + 1).cast("int"))).alias("x"))
+    index = ordered.select("hub", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"),
+                           F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(1), F.col("s") - least + 1).cast("int"))).alias("at_b", "x"))
     reach = F.floor(t * F.col("n") * (1 + 100 / percent) + 1e-9) + 1
-    probe = ordered.where(~F.col("linked")).select("hub", F.col("rep").alias("a"), F.col("n").alias("n_a"),
-                                                   F.explode(F.slice("x", F.lit(1), reach.cast("int"))).alias("x"))
-    return probe.join(index, ["hub", "x"]).where("a <> b").select("a", "n_a", "b", "n_b")
+    probe = ordered.where(~F.col("linked")).select("hub", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"),
+                                                   F.posexplode(F.slice("x", F.lit(1), reach.cast("int"))).alias("at_a", "x"))
+    # at the first common place both must have as many more as the pair needs in common
+    needed = (F.col("s_a") + F.col("s_b") - t * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-9
+    left = F.least(F.col("s_a") - F.col("at_a"), F.col("s_b") - F.col("at_b"))
+    return probe.join(index, ["hub", "x"]).where((F.col("a") != F.col("b")) & (left >= needed)).select("a", "n_a", "b", "n_b")
 
 
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
