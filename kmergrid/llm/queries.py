@@ -68,6 +68,25 @@ def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
 
 
+ORACLE_SQL["op6_sharding"] = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+rows_ AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32,
+    ('0x' || substr(md5('shard:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents, crc),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY s ORDER BY u, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY s) AS fraction FROM rows_),
+placed AS (SELECT *, row_number() OVER (ORDER BY fraction, s, doc_id) - 1 AS p, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (p * 40 // n)::INTEGER AS shard,
+  (p - ((p * 40 // n) * n + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source
+FROM placed
+"""
+
+
 @query
 def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
@@ -103,6 +122,22 @@ def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return chat.read_back(materialize(chat.format_conversations(given, vocabulary()), "chat"), vocabulary())
 
 
+ORACLE_SQL["op8_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(role) + length(text) + 12 + CASE WHEN role = 'assistant' THEN 4 ELSE 7 END
+    + len(regexp_extract_all(role || chr(10) || text, '<\\*/?s>|\[\\*(?:/?INST|TEXT)\]')) AS chars
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(chars))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 @query
 def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     docs, apart = table(spark, sf, "documents"), held_out(F.col("doc_id"), 4, 2)
