@@ -1,3 +1,4 @@
+import re
 import random
 
 import pytest
@@ -147,3 +148,41 @@ def test_missing_sketch_keeps_leaf(spark, tree):
 def test_uniform_colour(spark, tree):
     colours = spark.createDataFrame([("A", "red"), ("B", "red"), ("C", "blue")], "name string, colour string")
     assert rows(T.uniform_colour(tree, colours)) == [(0, "blue"), (2, "red"), (3, "red"), (4, "red")]
+
+
+@pytest.mark.parametrize("seed,n", [(1, 2), (2, 9), (3, 23)])
+def test_ranges_over_several_spans(spark, monkeypatch, seed, n):
+    monkeypatch.setattr(T, "SPAN", 4)
+    monkeypatch.setattr(T, "BLOCK", 2)
+    rng = random.Random(seed)
+    names = [f"t{i}" for i in range(n)]
+    text = random_newick(rng, names)
+    nodes = {r[0]: r for r in tree_rows(text)}
+    tree = read_tree(spark, text)
+    span = {i: range(r.lo, r.hi + 1) for i, r in ((r.node_id, r) for r in tree.collect())}
+    counts = {(s, i): rng.randrange(1, 9) for s in "ab" for i in nodes if rng.random() < 0.6}
+    cdf = spark.createDataFrame([(s, i, c) for (s, i), c in counts.items()], "sample string, node_id int, cnt int")
+    groups = spark.createDataFrame([("a",), ("b",), ("c",)], "sample string")
+    assert rows(T.cumulative(cdf, tree, groups)) == sorted(
+        (s, i, float(sum(counts.get((s, d), 0) for d in span[i]))) for s in "abc" for i in nodes)
+    sizes = {nm: rng.randrange(1, 99) for nm in names if rng.random() < 0.8}
+    table = spark.createDataFrame(list(sizes.items()) or [("x", 0)], "name string, genome_size bigint")
+    leaf = {i: r[5] for i, r in nodes.items() if r[4]}
+    assert rows(T.largest_genome(tree, table)) == sorted(
+        (i, max(sizes.get(leaf[d], 0) for d in span[i] if d in leaf)) for i in nodes)
+    colour = {nm: rng.choice(["red", "blue"]) for nm in names}
+    found = rows(T.uniform_colour(tree, spark.createDataFrame(list(colour.items()), "name string, colour string")))
+    below = {i: {colour[leaf[d]] for d in span[i] if d in leaf} for i in nodes}
+    assert found == sorted((i, c) for i, (c, *more) in ((i, tuple(v)) for i, v in below.items()) if not more)
+    above = {i: [d for d in nodes if i in span[d]] for i in nodes}
+    dist = {r.node_id: r.dist for r in tree.collect()}
+    assert dict(rows(T.root_distance(tree))) == pytest.approx({i: sum(dist[d] for d in above[i]) for i in nodes})
+
+
+def test_running_totals_are_cut_inside_a_group(spark):
+    points = spark.createDataFrame([("a", 1, 1.0)], "sample string, pos int, val double")
+    asks = spark.createDataFrame([("a", 3)], "sample string, at int")
+    plan = T.running_totals(points, asks, ["sample"])._jdf.queryExecution().executedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\(([^,]+), ([^,]+),", plan)
+    # the only window over a whole group goes over its spans
+    assert windows and all("__span" in part or "__span" in order for part, order in windows)
