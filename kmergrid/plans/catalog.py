@@ -373,6 +373,14 @@ def mash_distance_uneven(spark, sf):
     return _pairs(conversation_sketch(spark, sf))
 
 
+@query
+def mash_distance_many_blocks(spark, sf):
+    # the grid of a large collection: many blocks, private hashes left behind
+    arrays = D.hash_arrays(source_sketch(spark, sf))
+    p = D.with_distance(D.shared_counts(arrays, D.THIN_FROM + 1), DistanceConfig(KMER))
+    return p.select("a", "b", "shared", "sketch_size", r("jaccard").alias("jaccard"), r("distance").alias("distance"))
+
+
 @query
 def bottom_union(spark, sf):
     # every document against the next one
@@ -571,6 +579,12 @@ def kmer_lca(spark, sf):
     return C.kmer_lca(doc_sketch(spark, sf), document_tree(spark, sf))
 
 
+@query
+def kmer_lca_shuffled(spark, sf):
+    # the window table of a tree that is too large to broadcast
+    return C.kmer_lca(doc_sketch(spark, sf), document_tree(spark, sf), nodes=1 << 40)
+
+
 @query
 def node_total_kmers(spark, sf):
     tree = document_tree(spark, sf)

@@ -296,7 +296,7 @@ for _q in ("distance_matrix_file", "distance_update_file"):
     oracle(_q, """SELECT x.sample AS a, y.sample AS b, coalesce(round(p.distance, 9), 'Infinity'::DOUBLE) AS distance
         FROM short_seq x JOIN short_seq y ON x.sample < y.sample LEFT JOIN short_pairs p ON p.a = x.sample AND p.b = y.sample""")
 
-for _q, _t in (("mash_distance", "src_pairs"), ("mash_distance_uneven", "conv_pairs")):
+for _q, _t in (("mash_distance", "src_pairs"), ("mash_distance_many_blocks", "src_pairs"), ("mash_distance_uneven", "conv_pairs")):
     oracle(_q, f"""SELECT a, b, shared, sketch_size, round(jaccard, 9) AS jaccard, round(distance, 9) AS distance FROM {_t}""")
 oracle("jaccard_distance", """SELECT a, b, shared, sketch_size, round(jaccard, 9) AS jaccard,
     round(1.0::DOUBLE - jaccard, 9) AS distance FROM src_pairs""")
@@ -391,6 +391,7 @@ oracle("lca_of_ranges", """SELECT p.doc_id, any_value(p.lo_id) AS lo_id, any_val
     arg_max(x.anc, t.depth) AS node_id FROM range_pair p JOIN anc x ON x.node_id = p.lo_id
     JOIN anc y ON y.node_id = p.hi_id AND y.anc = x.anc JOIN tree t ON t.node_id = x.anc GROUP BY p.doc_id""")
 oracle("kmer_lca", "SELECT hash, node_id FROM lca")
+oracle("kmer_lca_shuffled", ORACLE["kmer_lca"])
 oracle("node_total_kmers", "SELECT node_id, kmers FROM node_kmers")
 oracle("tree_metrics", """SELECT t.node_id AS id, coalesce(t.name, '') AS name,
     (CASE WHEN t.is_leaf THEN 1 ELSE 2 * l.leafs - 2 END)::INTEGER AS nodes, l.leafs::INTEGER AS leafs, k.kmers
