@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kmergrid.session import materialize
 
 #: samples of a fingerprint; the likeness of two is off by 1 / (2 * sqrt(SAMPLES)) at most, in standard deviations
-SAMPLES = 48
+SAMPLES = 32
 
 _BITS = 21
 
@@ -18,29 +18,33 @@ def _uniform(bits: Column, part: int) -> Column:
     return (F.shiftrightunsigned(bits, part * _BITS).bitwiseAND(F.lit((1 << _BITS) - 1)) + 0.5) / float(1 << _BITS)
 
 
-def samples(weights: DataFrame, names: list[str], count: int = SAMPLES) -> DataFrame:
-    """The samples of weighted terms: ``doc_id, k`` and one long for each column in ``names``.
+def samples(weights: DataFrame, count: int = SAMPLES) -> DataFrame:
+    """The samples of two sets of weighted terms per document: ``doc_id, k, own, edited``, a long for each set.
 
-    ``weights(doc_id, term, *names)`` has a weight for each term and name, 0 for none.  For every term and sample two
-    gamma(2, 1) numbers ``r`` and ``c`` and a uniform ``b`` come from hashes; with ``t = floor(ln w / r + b)`` the
+    ``weights(doc_id, term, own, edited)`` has a weight for each term and set, 0 for none.  For every term and sample
+    two gamma(2, 1) numbers ``r`` and ``c`` and a uniform ``b`` come from hashes; with ``t = floor(ln w / r + b)`` the
     term with the least ``ln c - r * (t - b) - r`` is drawn, together with ``t``.  Two sets of weights draw the same
     with the probability of their generalised Jaccard similarity, the sum of minima over the sum of maxima.
 
-    The drawn value is packed into a long, its order above and a hash of (term, t) below, so that a plain minimum finds it.
+    The drawn value is packed into a long, its order above and a hash of (term, k, t) below, so that a plain minimum
+    finds it.  A term that weighs the same in both sets is drawn once for both.
     """
-    drawn = (weights.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-             .withColumn("_h", F.xxhash64("term", "k", F.lit(1))).withColumn("_i", F.xxhash64("term", "k", F.lit(2)))
+    def entry(weight: str, own: bool, edited: bool) -> Column:
+        return F.struct(F.col(weight).alias("w"), F.lit(own).alias("in_own"), F.lit(edited).alias("in_edited"))
+
+    entries = F.when(F.col("own") == F.col("edited"), F.array(entry("own", True, True))).otherwise(
+        F.array(entry("own", True, False), entry("edited", False, True)))
+    drawn = (weights.select("doc_id", "term", F.explode(entries).alias("e")).select("doc_id", "term", "e.*").where("w > 0")
+             .withColumn("_log", F.log("w")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+             .withColumn("_h", F.xxhash64("term", "k")).withColumn("_i", F.xxhash64("_h"))
              .withColumn("_r", -F.log(_uniform(F.col("_h"), 0) * _uniform(F.col("_h"), 1)))
-             .withColumn("_c", F.log(-F.log(_uniform(F.col("_i"), 0) * _uniform(F.col("_i"), 1))))
-             .withColumn("_b", _uniform(F.col("_h"), 2)))
-    r, c, b = F.col("_r"), F.col("_c"), F.col("_b")
-    packed = []
-    for name in names:
-        t = F.floor(F.log(name) / r + b)
-        order = F.floor((c - r * (t - b) - r + 128.0) * float(1 << 23)).cast("long")
-        draw = F.shiftleft(order, 32).bitwiseOR(F.xxhash64("term", t).bitwiseAND(F.lit(0xFFFFFFFF)))
-        packed.append(F.min(F.when(F.col(name) > 0, draw)).alias(name))
-    return drawn.groupBy("doc_id", "k").agg(*packed)
+             .withColumn("_b", _uniform(F.col("_h"), 2)).withColumn("_t", F.floor(F.col("_log") / F.col("_r") + F.col("_b"))))
+    r, t = F.col("_r"), F.col("_t")
+    c = F.log(-F.log(_uniform(F.col("_i"), 0) * _uniform(F.col("_i"), 1)))
+    order = F.floor((c - r * (t - F.col("_b")) - r + 128.0) * float(1 << 23)).cast("long")
+    seal = F.col("_h").bitwiseXOR(t * 2654435769).bitwiseAND(F.lit(0xFFFFFFFF))
+    return (drawn.withColumn("_draw", F.shiftleft(order, 32).bitwiseOR(seal)).groupBy("doc_id", "k")
+            .agg(*(F.min(F.when(F.col(f"in_{x}"), F.col("_draw"))).alias(x) for x in ("own", "edited"))))
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -54,10 +58,9 @@ def neighbours(ids: DataFrame) -> DataFrame:
     one = F.struct("doc_id", "n")
     edges = dealt.groupBy("_part").agg(F.min(one).alias("low"), F.max(one).alias("high"))
     around = Window.orderBy(F.desc("_part"))
-    whole = edges.agg(F.min("low").alias("last"), F.max("high").alias("first"))
-    edges = (edges.crossJoin(F.broadcast(whole))  # one row
-             .select("_part", F.coalesce(F.lead("high").over(around), F.col("first")).alias("_next"),
-                     F.coalesce(F.lag("low").over(around), F.col("last")).alias("_before")))
+    ends = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = edges.select("_part", F.coalesce(F.lead("high").over(around), F.first("high").over(ends)).alias("_next"),
+                         F.coalesce(F.lag("low").over(around), F.last("low").over(ends)).alias("_before"))
     near = (dealt.withColumn("_up", F.lag(one).over(inside)).withColumn("_down", F.lead(one).over(inside))
             .join(edges, "_part"))
     after, before = F.coalesce("_down", "_next"), F.coalesce("_up", "_before")
@@ -94,7 +97,7 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
              .select("doc_id", "t.kind", F.explode(F.split(F.lower("t.text"), r"\s+")).alias("word")).where("word <> ''"))
     weights = (words.groupBy("doc_id", F.xxhash64("word").alias("term"))
                .agg(F.sum(1 - F.col("kind")).cast("double").alias("own"), F.sum("kind").cast("double").alias("edited")))
-    drawn = (samples(weights, ["own", "edited"], count).groupBy("doc_id")
+    drawn = (samples(weights, count).groupBy("doc_id")
              .agg(F.sort_array(F.collect_list(F.struct("k", "own", "edited"))).alias("s")))
     seal = both.select("doc_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
 
