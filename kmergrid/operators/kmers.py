@@ -35,17 +35,18 @@ def fragments(sequences: DataFrame, k: int, keep: Sequence[str] = ("sample",),
     return cut.select(*keep, F.substring("__run", F.col("__at"), F.lit(chunk + k - 1)).alias("frag"))
 
 
-def windows(sequences: DataFrame, k: int, keep: Sequence[str] = ("sample",)) -> DataFrame:
+def windows(sequences: DataFrame, k: int, keep: Sequence[str] = ("sample",), chunk: int = CHUNK_WINDOWS) -> DataFrame:
     """``keep..., pos, kmer``: every window as text with its 0-based position, unknown bases included.
 
-    The plain view of a sequence; :func:`kmers` is the fast path.
+    The plain view of a sequence; :func:`kmers` is the fast path.  Records are cut into overlapping chunks here, too.
     """
     keep = list(keep)
-    encoded = sequences.select(*keep, S.encode_sequence(F.col("seq")).cast("binary").alias("__b"))
-    at = encoded.where(F.length("__b") >= k).withColumn(
-        "__i", F.explode(F.sequence(F.lit(1), F.length("__b") - F.lit(k - 1))))
-    return at.select(*keep, (F.col("__i") - 1).alias("pos"),
-                     F.substring("__b", F.col("__i"), F.lit(k)).cast("string").alias("kmer"))
+    encoded = sequences.select(*keep, S.encode_sequence(F.col("seq")).cast("binary").alias("__b")).where(F.length("__b") >= k)
+    cut = encoded.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("__b") - F.lit(k - 1), F.lit(chunk))))
+    cut = cut.select(*keep, "__at", F.substring("__b", F.col("__at"), F.lit(chunk + k - 1)).alias("__c"))
+    at = cut.withColumn("__i", F.explode(F.sequence(F.lit(1), F.length("__c") - F.lit(k - 1))))
+    return at.select(*keep, (F.col("__at") + F.col("__i") - 2).alias("pos"),
+                     F.substring("__c", F.col("__i"), F.lit(k)).cast("string").alias("kmer"))
 
 
 def kmers(sequences: DataFrame, k: int, keep: Sequence[str] = ("sample",),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import materialize
+from ..session import BROADCAST_ROWS, materialize
 from ..validate import require
 from .paths import file_key, is_file, qualify, read_key
 
@@ -57,7 +57,9 @@ def read_fastq(spark: SparkSession, paths: list[str], rebalance: bool = False) -
     splits = materialize(splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))), "fastq")
     odd = splits.groupBy("file").agg(F.sum("n").alias("n")).where("n % 4 != 0").limit(10).collect()
     require(not odd, f"FASTQ files with an incomplete last record: {[r[0] for r in odd]}")
-    # the offsets table has one row per input split
+    # the offsets table has one row per input split; the reads must not be shuffled by file for it
+    if splits.count() <= BROADCAST_ROWS:
+        splits = F.broadcast(splits)
     records = lines.join(splits, ["file", "block"]).where(
         (F.col("offset") + F.col("id") - F.col("first")) % 4 == 1)
     if rebalance:
@@ -95,7 +97,8 @@ def sample_sequences(spark: SparkSession, files: list[tuple[str, str]]) -> DataF
     paths = [qualify(spark, p) for _, p in files]
     owner = spark.createDataFrame([(s, file_key(spark, p)) for s, p in files], "sample string, file string")
     # every record belongs to a listed file: the outer join keeps, and the check below refuses, any that does not
-    owned = read_sequences(spark, paths).join(owner.distinct(), "file", "left")
+    owner = F.broadcast(owner.distinct()) if len(files) <= BROADCAST_ROWS else owner.distinct()
+    owned = read_sequences(spark, paths).join(owner, "file", "left")
     sample = F.coalesce("sample", F.raise_error(F.concat(F.lit("records of a file that is not listed: "), F.col("file"))).cast("string"))
     return owned.select(sample.alias("sample"), "seq")
 

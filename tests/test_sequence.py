@@ -88,6 +88,7 @@ def test_windows_and_validity(spark):
     df = spark.createDataFrame([("s", "ACGNACG"), ("t", "AC")], "sample string, seq string")
     w = windows(df, 3)
     assert w.count() == 5
+    assert rows(windows(df, 3, chunk=2)) == rows(w)
     valid = w.where(S.is_valid(F.col("kmer"))).select("pos", "kmer", S.canonical(F.col("kmer")))
     assert rows(valid) == [(0, "ACG", "ACG"), (4, "ACG", "ACG")]
 
