@@ -33,7 +33,7 @@ class Encoder:
     tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, cache: int = 400_000, piece: int = 48):
+    def __init__(self, path: str, cache: int = 300_000, piece: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
