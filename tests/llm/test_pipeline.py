@@ -27,7 +27,7 @@ def test_stages_one_after_the_other(spark, tmp_path):
     item = prose("en", 30)
     rows = [(i, prose(("en", "xx")[i % 2], 60), ("en", "xx")[i % 2], f"s{i % 3}") for i in range(60)]
     copied = rows[4][1].split()
-    copied[10] = "changed"
+    copied[59] = "changed"
     rows += [(60, rows[4][1], "en", "s0"), (61, " ".join(copied), "en", "s1"), (62, "... 123", "en", "s0"), (63, f"{rows[6][1][:90]} {item} end", "en", "s2"), (64, None, None, None)]
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], SCHEMA)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
