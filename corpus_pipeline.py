@@ -9,6 +9,9 @@ from kmergrid.llm.common import table
 from kmergrid.llm.queries import folder, vocabulary
 from kmergrid.session import materialize
 
+#: the similarity in per cent of the sets of five-word shingles from which on two documents are near copies
+NEAR_PERCENT = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in a language that the stage learns from its own labelled rows."""
@@ -17,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies."""
-    return minhash.without_duplicates(docs)
+    return minhash.without_duplicates(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

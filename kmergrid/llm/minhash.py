@@ -18,7 +18,8 @@ from kmergrid.session import materialize
 #: words of a shingle, and the similarity of a link in per cent
 SHINGLE = 5
 PERCENT = 85
-#: a pair at the threshold shares no band with probability (1 - 0.85 ** 5) ** 32, about 7 in a billion
+#: a pair at the threshold shares no band with probability (1 - 0.85 ** 5) ** 32, about 7 in a billion, one at 0.8 with
+#: about 3 in a million
 BANDS, ROWS = 32, 5
 #: places that the two permutations act on
 PLACES = 1 << 22

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
+from kmergrid.llm import minhash  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,3 +62,17 @@ def test_stages_one_after_the_other(spark, tmp_path):
     want = {r["doc_id"]: [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 0] for r in mixed}
     assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {
         i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
+def test_near_copies_from_four_fifths_on_go(spark, tmp_path):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    copies = [list(b) for b in base]
+    copies[0][10] = "changed"                      # 51 of 61 shingles in common, 0.836
+    copies[1][49:55] = ["changed"] * 6             # 46 of 65, 0.708
+    copies[2][4] = "changed"                       # 51 of 61 again
+    rows = [" ".join(x) for x in (*base, *copies)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in enumerate(rows)], SCHEMA)
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 4}
+    assert {r["doc_id"] for r in minhash.without_duplicates(docs).collect()} == set(range(6))
