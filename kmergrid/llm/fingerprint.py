@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kmergrid.session import materialize
 
 #: samples of a fingerprint; the likeness of two is off by 1 / (2 * sqrt(SAMPLES)) at most, in standard deviations
-SAMPLES = 32
+SAMPLES = 48
 
 _BITS = 21
 
