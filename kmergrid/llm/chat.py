@@ -41,7 +41,7 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path)
+    enc = encoder(path, ordinary=True)
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role_ids", pa.binary()), ("text_ids", pa.binary()), ("learn", pa.bool_())])
     for batch in batches:
         conv, turn, roles, texts = (c.to_pylist() for c in batch.columns)
@@ -52,7 +52,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def _assemble(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Splice the reserved ids between the segments of all turns of a batch; running sums give places and masks."""
-    enc = encoder(path)
+    enc = encoder(path, ordinary=True)
     begin, end, open_, close, body = range(enc.vocabulary, enc.vocabulary + len(CONTROLS))
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.int8()))])
     current, offset, seen = None, 0, False
@@ -105,7 +105,7 @@ def format_conversations(conversations: DataFrame, path: str) -> DataFrame:
 
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path)
+    enc = encoder(path, ordinary=True)
     first = enc.vocabulary
     length = [len(c) for c in CONTROLS]
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),

@@ -29,16 +29,18 @@ class Encoder:
 
     The pre-tokenizer splits before every lone blank and around every lone line feed, so a text's ids are those of
     its blank-separated pieces, put together.  Pieces are looked up in a cache of bounded size; the missing ones of
-    many texts are encoded at once, words of Latin letters by the vocabulary's merges alone.  Strings of special
-    tokens in a text are ordinary text.
+    many texts are encoded at once, words of Latin letters by the vocabulary's merges alone.  A text that holds the
+    string of an added token goes through the library as a whole; with ``ordinary`` such strings are ordinary text.
     """
 
-    def __init__(self, path: str, cache: int = 300_000, piece: int = 48):
+    def __init__(self, path: str, cache: int = 300_000, piece: int = 48, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not (ordinary and t.special)]
         self.merges = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary < 65_000 else "<u4")
@@ -92,6 +94,14 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """One entry per text; call it with about a million characters at a time."""
+        apart = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not apart:
+            return self._pieces(texts)
+        whole = dict(zip(apart, self._plain([texts[i] for i in apart]), strict=True))
+        rest = iter(self._pieces([t for i, t in enumerate(texts) if i not in whole]))
+        return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
+
+    def _pieces(self, texts: Sequence[str]) -> list[bytes]:
         get, heads, split, missing = self.new.get, set(), [], set()
         for text in texts:
             words, gaps = text.split(), text.count(" ") + text.count("\n")
@@ -125,6 +135,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file; loading takes a second, so tasks share it."""
-    return Encoder(path)
+    return Encoder(path, ordinary=ordinary)

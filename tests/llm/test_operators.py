@@ -13,6 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kmergrid.llm import (chat, decontaminate, fingerprint, langid, minhash, mixing, pii, sharding, tokens, toxicity)
 from kmergrid.llm.encoder import Encoder
@@ -107,6 +108,16 @@ def test_encoder_is_the_library(encoder, texts):
     assert [encoder.ids(x).tolist() for x in encoder.encode(texts)] == want
 
 
+def test_encoder_knows_added_tokens(encoder):
+    library, rng, parts = Tokenizer.from_file(VOCABULARY), random.Random(7), ["<|endoftext|>", "<|endof", "text|>", "a", " ", "\n", "b,", "  "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(300)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [encoder.ids(x).tolist() for x in encoder.encode(texts)] == want
+    assert any(50256 in x for x in want)
+    plain = Encoder(VOCABULARY, ordinary=True)
+    assert all(50256 not in plain.ids(x) for x in plain.encode(texts))
+
+
 def test_sequences_round_trip(spark, odd, tmp_path, encoder):
     out = f"file://{tmp_path}/seq"
     files = tokens.write_sequences(odd.repartition(3), out, VOCABULARY, length=64, rows=8).collect()
