@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmergrid.llm import chat, decontaminate, fingerprint, langid, minhash, mixing, pii, sharding, tokens, toxicity
+from kmergrid.llm import (chat, decontaminate, fingerprint, langid, minhash, mixing, pii, prefix_trie, resampling, sharding, tokens,
+                          toxicity, warc)
 from kmergrid.llm.common import held_out, table
 from kmergrid.session import materialize, scratch_dir
 
@@ -148,3 +149,85 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.conversations(table(spark, sf, "conversations"))))
+
+
+@query
+def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_warc(spark: SparkSession, sf: str) -> DataFrame:
+    out = folder(spark, "archives")
+    warc.write_archives(table(spark, sf, "pages"), out)
+    return warc.catalog(spark, out)
+
+
+#: the steps of a byte's CRC-32 as a list of 256 numbers, and the checksum of a text's UTF-8 bytes by that list
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
+
+ORACLE_SQL["op11_prefix_trie"] = f"""
+WITH crc AS ({_CRC_TABLE}),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations),
+heads AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM conversations), crc),
+built AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1000000 + t.pos, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d, md5(length(role) || ':' || role || text) AS m, length(text) AS chars FROM built),
+prefixes AS (
+  SELECT conv_id, d, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d) AS p, chars FROM placed
+  UNION ALL SELECT conv_id, 0, '', 0 FROM heads),
+ends AS (SELECT p, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM
+  (SELECT conv_id, p FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM prefixes) WHERE d = last) GROUP BY p),
+nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM prefixes GROUP BY p, d),
+kids AS (SELECT left(p, 32 * (d - 1)) AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a.p, count(*) FILTER (k.k IS NULL) AS leaves, sum((b.n - 1) * b.chars)::BIGINT AS saved
+  FROM nodes b, range(0, b.d + 1) r(u) JOIN nodes a ON a.p = left(b.p, 32 * r.u::INTEGER) LEFT JOIN kids k ON k.p = b.p GROUP BY a.p)
+SELECT x.conv_id, x.d::BIGINT AS depth, u.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(k.k, 0)::BIGINT AS n_children, b.leaves AS n_leaves,
+  b.saved AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes x LEFT JOIN nodes u ON x.d > 0 AND u.p = left(x.p, 32 * (x.d - 1)) AND u.d = x.d - 1
+JOIN below b ON b.p = x.p LEFT JOIN kids k ON k.p = x.p LEFT JOIN ends e ON e.p = x.p
+"""
+
+ORACLE_SQL["op12_resampling"] = rf"""
+WITH crc AS ({_CRC_TABLE}),
+texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+words AS (SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+vocabulary AS (SELECT w, ({_crc("w")} % 10000)::INTEGER AS bucket FROM (SELECT DISTINCT w FROM words), crc),
+hashed AS (SELECT side, id, bucket FROM words JOIN vocabulary USING (w)),
+sums AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM hashed GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM sums),
+weights AS (SELECT id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM hashed JOIN gains USING (bucket) WHERE side = 0 GROUP BY id),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM documents LEFT JOIN weights ON id = doc_id),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM scored WHERE n >= 20)
+SELECT doc_id, n::BIGINT AS n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+ORACLE_SQL["op13_warc"] = """
+WITH sums AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS sha, coalesce(html, '') AS html FROM pages),
+firsts AS (SELECT html AS same, min(page_id) AS least FROM sums GROUP BY html)
+SELECT page_id, bytes::BIGINT AS payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(sha, 5 * (i // 4)::INTEGER + 1, 5))::BIGINT >> (5 * (3 - i % 4))::INTEGER) & 31) + 1)::INTEGER, 1)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM sums JOIN firsts ON html = same
+"""
