@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS
+from .contraction import midpoints
+from .intervals import interval_join
 
 TREE_SCHEMA = ("node_id int, parent_id int, left_id int, right_id int, is_leaf boolean, name string, "
                "dist double, depth int, lo int, hi int")
@@ -55,32 +57,35 @@ def subtree_size(tree: DataFrame) -> DataFrame:
 
 def descendants(tree: DataFrame) -> DataFrame:
     """``node_id, descendant_id``: everything below an internal node, a leaf itself."""
-    below = tree.select("node_id", "is_leaf", F.explode(F.sequence("lo", "hi")).alias("descendant_id"))
+    inside = tree.select("node_id", "is_leaf", "lo", "hi")
+    below = interval_join(tree.select(F.col("node_id").alias("pos")), inside).withColumnRenamed("pos", "descendant_id")
     return below.where(F.col("is_leaf") | (F.col("node_id") != F.col("descendant_id"))) \
         .select("node_id", "descendant_id")
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
     """``node_id, ancestor_id, ancestor_depth, ancestor_dist``: the path to the root, self included."""
-    return tree.select(
-        F.explode(F.sequence("lo", "hi")).alias("node_id"), F.col("node_id").alias("ancestor_id"),
-        F.col("depth").alias("ancestor_depth"), F.col("dist").alias("ancestor_dist"))
-
+    above = tree.select(F.col("node_id").alias("ancestor_id"), F.col("depth").alias("ancestor_depth"), F.col("dist").alias("ancestor_dist"), "lo", "hi")
+    return interval_join(tree.select(F.col("node_id").alias("pos")), above).select(
+        F.col("pos").alias("node_id"), "ancestor_id", "ancestor_depth", "ancestor_dist")
 
-def leaves_below(tree: DataFrame) -> DataFrame:
-    """``node_id, depth, leaf_id``: leaves of every subtree (leaves have the even ids).
 
-    The planner sizes an explode like its input, so it would gladly broadcast
-    this; the hint makes joins shuffle it instead.
-    """
-    below = tree.select("node_id", "depth", F.explode(F.sequence("lo", "hi", F.lit(2))).alias("leaf_id"))
-    return below.hint("merge")
+def leaf_names(tree: DataFrame) -> DataFrame:
+    """``node_id, name``: a row for every leaf under every node."""
+    inside = tree.select("node_id", "lo", "hi")
+    return interval_join(leaves(tree).withColumnRenamed("node_id", "pos"), inside).select("node_id", "name")
 
 
 def leaf_names_below(tree: DataFrame) -> DataFrame:
-    """``node_id, names``: sorted leaf names under every node."""
-    return leaves_below(tree).join(leaves(tree).withColumnRenamed("node_id", "leaf_id"), "leaf_id") \
-        .groupBy("node_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    """``node_id, names``: sorted leaf names under every node, for trees of which one row can hold all names."""
+    return leaf_names(tree).groupBy("node_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def with_children(tree: DataFrame) -> DataFrame:
+    """Add ``left_id`` and ``right_id`` from the parents; in-order ids put the left child first."""
+    children = tree.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(
+        F.min("node_id").alias("left_id"), F.max("node_id").alias("right_id"))
+    return tree.join(children, "node_id", "left")
 
 
 def largest_genome(tree: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -110,14 +115,10 @@ def coordinates(tree: DataFrame, height: float, width: float, leaf_count: int,
 
     ``x`` is the root distance (or the depth, for equal branch lengths) scaled so
     that the farthest node sits at ``width``.  A leaf's ``y`` is its position
-    times the line height; an internal node sits midway between its two
-    children, so each leaf below contributes with weight one half per level.
+    times the line height; an internal node sits midway between its two children.
     """
     step = height / leaf_count
-    by_leaf = leaves_below(tree).join(
-        tree.where("is_leaf").select(F.col("node_id").alias("leaf_id"), F.col("depth").alias("leaf_depth")), "leaf_id")
-    share = F.pow(F.lit(0.5), (F.col("leaf_depth") - F.col("depth")).cast("double"))
-    ys = by_leaf.groupBy("node_id").agg(F.sum((F.col("leaf_id") / 2) * F.lit(step) * share).alias("y"))
+    ys = midpoints(tree, tree.where("is_leaf").select("node_id", (F.col("node_id") / 2 * F.lit(step)).alias("val"))).withColumnRenamed("val", "y")
     xs = tree.select("node_id", F.col("depth").cast("double").alias("x")) if equal_dist else root_distance(tree)
     top = xs.agg(F.max("x")).first()[0] or 1.0
     return xs.join(ys, "node_id").select("node_id", (F.col("x") / F.lit(top) * F.lit(float(width))).alias("x"), "y")

@@ -25,10 +25,13 @@ from ..operators import label_matrix as L
 from ..operators import linkage
 from ..operators import sketch as K
 from ..operators import tree as T
+from ..operators.dendrogram import dendrogram, dendrogram_tree
 from ..operators.kmers import kmers, windows
+from ..operators.numbering import renumber
 from ..session import materialize, scratch_dir, spread
 from ..sinks.drawing import branches
 from ..sinks.tables import write_matrix
+from ..sources import newick_table
 from ..sources import sequences as src
 from ..sources.paths import qualify
 from ..sources.tables import read_matrix
@@ -492,6 +495,26 @@ def spanning_tree(spark, sf):
     return linkage.spanning_tree(d).select("a", "b", r("distance").alias("distance"))
 
 
+@query
+def dendrogram_nodes(spark, sf):
+    d = D.pairwise(source_sketch(spark, sf), DistanceConfig(KMER))
+    return dendrogram(linkage.spanning_tree(d)).withColumn("height", r("height"))
+
+
+@query
+def dendrogram_conversations(spark, sf):
+    # merged in pieces of at most 48 edges, as a spanning tree is that no task can hold
+    d = D.pairwise(conversation_sketch(spark, sf), DistanceConfig(KMER))
+    return dendrogram(linkage.spanning_tree(d), 48).withColumn("height", r("height"))
+
+
+@query
+def dendrogram_tree_nodes(spark, sf):
+    d = D.pairwise(source_sketch(spark, sf), DistanceConfig(KMER))
+    return dendrogram_tree(linkage.spanning_tree(d)).select(
+        "node_id", "parent_id", "is_leaf", "name", r("dist").alias("dist"), "depth", "lo", "hi")
+
+
 # --- trees -------------------------------------------------------------------
 
 @query
@@ -535,6 +558,11 @@ def tree_leaf_names(spark, sf):
     return names.select("node_id", F.size("names").alias("n"), F.md5(F.array_join("names", ",")).alias("names_md5"))
 
 
+@query
+def tree_leaf_name_rows(spark, sf):
+    return T.leaf_names(document_tree(spark, sf))
+
+
 @query
 def tree_largest_genome(spark, sf):
     sizes = K.sample_sizes(by_doc(spark, sf)).select(F.col("sample").alias("name"), F.col("n_bases").alias("genome_size"))
@@ -621,6 +649,51 @@ def chain_root_distance(spark, sf):
     return T.root_distance(chain_tree(spark, sf)).select("node_id", F.round("x", 6).alias("x"))
 
 
+@query
+def chain_coordinates(spark, sf):
+    tree = T.with_children(chain_tree(spark, sf))
+    c = T.coordinates(tree, 1000, 1000, tree.where("is_leaf").count())
+    return c.select("node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query
+def renumbered_tree(spark, sf):
+    # both trees known by shuffled names and parents alone
+    def links(tree: DataFrame, label: str) -> DataFrame:
+        below = tree.where("parent_id is not null")
+        side = (F.col("node_id") > F.col("parent_id")).cast("int")
+        key = [F.md5(F.col(c).cast("string")).alias(k) for c, k in (("parent_id", "parent"), ("node_id", "child"))]
+        return below.select(F.lit(label).alias("tree"), *key, side.alias("side"), "name", "dist")
+
+    both = links(document_tree(spark, sf), "balanced").unionByName(links(chain_tree(spark, sf), "chain"))
+    return renumber(both).select("tree", "key", "node_id", "parent_id", "is_leaf", "name", "depth", "lo", "hi")
+
+
+def newick_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A Newick line per document: its lines as the leaves of a chain, as long as they have characters; some are damaged."""
+    docs = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    pieces = F.transform("l", lambda x, j: F.concat(
+        F.when(j > 0, F.lit(",")).otherwise(F.lit("")), F.lit("l"), j.cast("string"), F.lit(":"), F.length(x).cast("string"),
+        F.when(j > 0, F.lit(")")).otherwise(F.lit("")),
+        F.when((j > 0) & (j < F.size("l") - 1), F.concat(F.lit(":"), (j % 5).cast("string"))).otherwise(F.lit(""))))
+    text = F.concat(F.repeat(F.lit("("), F.size("l") - 1), F.array_join(pieces, ""), F.lit(";"))
+    kind = F.col("doc_id") % 11
+    damaged = F.when(kind == 3, F.expr("substring(text, 1, length(text) - 1)")).when(kind == 5, F.concat(F.lit("("), "text")) \
+        .when(kind == 7, F.regexp_replace("text", "l0:[0-9]+", "l0")).when(kind == 9, F.regexp_replace("text", "^([(]+)l0:", "$1l1:")).otherwise(F.col("text"))
+    return docs.withColumn("text", text).select(F.col("doc_id").alias("tree"), damaged.alias("text"))
+
+
+@query
+def newick_nodes(spark, sf):
+    return newick_table.read_trees(newick_lines(spark, sf)).select(
+        "tree", "node_id", "parent_id", "left_id", "right_id", "is_leaf", "name", "dist", "depth", "lo", "hi")
+
+
+@query
+def newick_problems(spark, sf):
+    return newick_table.parse_lines(newick_lines(spark, sf))[1]
+
+
 @query
 def chain_largest_genome(spark, sf):
     sizes = K.sample_sizes(by_doc(spark, sf)).select(F.col("sample").alias("name"), F.col("n_bases").alias("genome_size"))

@@ -164,7 +164,7 @@ CTES["anc"] = """
     SELECT t.node_id, t.node_id AS anc, t.parent_id AS next FROM tree t
     UNION ALL
     SELECT a.node_id, t.node_id, t.parent_id FROM anc a JOIN tree t ON a.next = t.node_id"""
-RECURSIVE = {"anc", "linked"}
+RECURSIVE = {"anc", "linked", "conv_linked", "src_reach", "conv_reach", "src_walk", "chain_y"}
 # an edge belongs to the spanning tree unless shorter edges already connect its ends
 CTES["edge"] = "SELECT a, b, distance, row_number() OVER (ORDER BY distance, a, b) AS rk FROM src_pairs"
 CTES["edge_both"] = "SELECT a, b, rk FROM edge UNION ALL SELECT b, a, rk FROM edge"
@@ -339,6 +339,43 @@ oracle("pair_count", "SELECT lang, (count(*) * (count(*) - 1) // 2)::BIGINT AS p
 oracle("spanning_tree", """SELECT e.a, e.b, round(e.distance, 9) AS distance FROM edge e
     WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.rk = e.rk AND l.node = e.b)""")
 
+# merges of single linkage: the clusters that the shorter edges of the spanning tree form at the two ends of each
+CTES["conv_edge"] = "SELECT a, b, distance, row_number() OVER (ORDER BY distance, a, b) AS rk FROM conv_pairs"
+CTES["conv_edge_both"] = "SELECT a, b, rk FROM conv_edge UNION ALL SELECT b, a, rk FROM conv_edge"
+CTES["conv_linked"] = """
+    SELECT rk, a AS node FROM conv_edge
+    UNION
+    SELECT l.rk, e.b FROM conv_linked l JOIN conv_edge_both e ON e.a = l.node AND e.rk < l.rk"""
+for _t, _e, _l in (("src", "edge", "linked"), ("conv", "conv_edge", "conv_linked")):
+    CTES[f"{_t}_mst"] = f"""SELECT a, b, distance, row_number() OVER (ORDER BY distance, a, b) - 1 AS merge FROM {_e} e
+        WHERE NOT EXISTS (SELECT 1 FROM {_l} l WHERE l.rk = e.rk AND l.node = e.b)"""
+    CTES[f"{_t}_mst_both"] = f"SELECT a, b, merge FROM {_t}_mst UNION ALL SELECT b, a, merge FROM {_t}_mst"
+    CTES[f"{_t}_reach"] = f"""
+        SELECT merge, s AS side, CASE WHEN s = 0 THEN a ELSE b END AS node FROM {_t}_mst, range(0, 2) r(s)
+        UNION
+        SELECT r.merge, r.side, e.b FROM {_t}_reach r JOIN {_t}_mst_both e ON e.a = r.node AND e.merge < r.merge"""
+    CTES[f"{_t}_side"] = f"SELECT merge, side, min(node) AS name, count(*) AS n FROM {_t}_reach GROUP BY merge, side"
+    CTES[f"{_t}_next"] = f"SELECT m.merge, min(r.merge) AS parent FROM {_t}_mst m JOIN {_t}_reach r ON r.node = m.a AND r.merge > m.merge GROUP BY m.merge"
+    CTES[f"{_t}_merges"] = f"""SELECT m.merge, m.distance AS height, p.parent, least(x.name, y.name) AS left_name, greatest(x.name, y.name) AS right_name,
+        (CASE WHEN x.name < y.name THEN x.n ELSE y.n END)::BIGINT AS left_n, (x.n + y.n)::BIGINT AS members
+        FROM {_t}_mst m JOIN {_t}_side x ON x.merge = m.merge AND x.side = 0 JOIN {_t}_side y ON y.merge = m.merge AND y.side = 1
+        LEFT JOIN {_t}_next p ON p.merge = m.merge"""
+for _q, _t in (("dendrogram_nodes", "src"), ("dendrogram_conversations", "conv")):
+    oracle(_q, f"SELECT merge, round(height, 9) AS height, parent, left_name, right_name, members FROM {_t}_merges")
+# from the last merge down: the left cluster's ids, the node's own, the right cluster's
+CTES["src_walk"] = """
+    SELECT merge, 0::BIGINT AS off, 0 AS depth, NULL::BIGINT AS parent_id, 0.0::DOUBLE AS dist FROM src_merges WHERE parent IS NULL
+    UNION ALL
+    SELECT c.merge, w.off + CASE WHEN c.left_name = p.left_name THEN 0 ELSE 2 * p.left_n END, w.depth + 1, w.off + 2 * p.left_n - 1, p.height
+    FROM src_walk w JOIN src_merges p ON p.merge = w.merge JOIN src_merges c ON c.parent = w.merge"""
+oracle("dendrogram_tree_nodes", """
+    SELECT (off + 2 * left_n - 1)::INTEGER AS node_id, parent_id::INTEGER AS parent_id, false AS is_leaf, NULL AS name, round(dist, 9) AS dist, depth::INTEGER AS depth,
+      off::INTEGER AS lo, (off + 2 * members - 2)::INTEGER AS hi FROM src_walk JOIN src_merges USING (merge)
+    UNION ALL
+    SELECT id::INTEGER, up::INTEGER, true, name, round(height, 9), depth + 1, id::INTEGER, id::INTEGER FROM (
+      SELECT off AS id, off + 1 AS up, left_name AS name, height, depth FROM src_walk JOIN src_merges USING (merge) WHERE left_n = 1
+      UNION ALL SELECT off + 2 * left_n, off + 2 * left_n - 1, right_name, height, depth FROM src_walk JOIN src_merges USING (merge) WHERE members - left_n = 1)""")
+
 # --- trees -------------------------------------------------------------------
 
 # the chain: node 2g - 1 is above leaf g - 1 and all later ones
@@ -348,6 +385,34 @@ CTES["chain_inner"] = """SELECT i, sum(CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE ((2
     FROM chain WHERE i > 0"""
 oracle("chain_root_distance", """SELECT (2 * i - 1)::INTEGER AS node_id, round(x, 6) AS x FROM chain_inner UNION ALL
     SELECT (2 * c.i)::INTEGER, round(n.x + ((2 * c.i) % 5 + 1) / 4.0::DOUBLE, 6) FROM chain c JOIN chain_inner n ON n.i = least(c.i + 1, c.last)""")
+CTES["chain_y"] = """
+    SELECT max(last)::BIGINT AS i, max(last) - 0.5::DOUBLE AS y FROM chain
+    UNION ALL
+    SELECT i - 1, (i - 2 + y) / 2 FROM chain_y WHERE i > 1"""
+CTES["chain_x"] = """SELECT 2 * i - 1 AS node_id, x FROM chain_inner UNION ALL
+    SELECT 2 * c.i, n.x + ((2 * c.i) % 5 + 1) / 4.0::DOUBLE FROM chain c JOIN chain_inner n ON n.i = least(c.i + 1, c.last)"""
+oracle("chain_coordinates", """SELECT x.node_id::INTEGER AS node_id, round(x.x / (SELECT max(x) FROM chain_x) * 1000.0::DOUBLE, 6) AS x,
+    round(coalesce(y.y, x.node_id / 2.0::DOUBLE) * (1000.0::DOUBLE / (SELECT count(*) FROM chain)), 6) AS y
+    FROM chain_x x LEFT JOIN chain_y y ON x.node_id = 2 * y.i - 1""")
+oracle("renumbered_tree", """SELECT 'balanced' AS tree, md5(node_id::VARCHAR) AS key, node_id, parent_id, is_leaf, name, depth, lo, hi FROM tree UNION ALL
+    SELECT 'chain', md5((2 * i)::VARCHAR), 2 * i, least(2 * i + 1, 2 * last - 1), true, 'doc' || i, least(i + 1, last), 2 * i, 2 * i FROM chain UNION ALL
+    SELECT 'chain', md5((2 * i - 1)::VARCHAR), 2 * i - 1, CASE WHEN i > 1 THEN 2 * i - 3 END, false, NULL, i - 1, 2 * i - 2, 2 * last FROM chain WHERE i > 0""")
+# Newick lines: leaf j of a document's m lines is the left child of inner node j, which has all before it on its right
+CTES["newick"] = "SELECT doc_id AS tree, doc_id % 11 AS kind, string_split(text, chr(10)) AS l FROM documents"
+CTES["newick_line"] = "SELECT tree, kind, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS j, len(l) AS m FROM newick"
+CTES["newick_good"] = "SELECT * FROM newick_line WHERE m > 1 AND kind NOT IN (3, 5, 7, 9)"
+oracle("newick_nodes", """
+    SELECT tree, (2 * (m - 1 - j))::INTEGER AS node_id, (CASE WHEN j = 0 THEN 2 * (m - 2) + 1 ELSE 2 * (m - 1 - j) + 1 END)::INTEGER AS parent_id,
+      NULL::INTEGER AS left_id, NULL::INTEGER AS right_id, true AS is_leaf, 'l' || j AS name, length(line)::DOUBLE AS dist, (CASE WHEN j = 0 THEN m - 1 ELSE m - j END)::INTEGER AS depth,
+      (2 * (m - 1 - j))::INTEGER AS lo, (2 * (m - 1 - j))::INTEGER AS hi FROM newick_good
+    UNION ALL
+    SELECT tree, (2 * (m - 1 - j) + 1)::INTEGER, (CASE WHEN j < m - 1 THEN 2 * (m - 2 - j) + 1 END)::INTEGER, (2 * (m - 1 - j))::INTEGER,
+      (CASE WHEN j = 1 THEN 2 * (m - 1) ELSE 2 * (m - j) + 1 END)::INTEGER, false, NULL, CASE WHEN j < m - 1 THEN (j % 5)::DOUBLE ELSE 0.0::DOUBLE END,
+      (m - 1 - j)::INTEGER, (2 * (m - 1 - j))::INTEGER, (2 * (m - 1))::INTEGER FROM newick_good WHERE j > 0""")
+oracle("newick_problems", """SELECT tree, CASE WHEN len(l) < 2 AND kind <> 5 OR kind = 3 THEN 'a tree must read ''(...);'' without a root label'
+    WHEN kind = 5 AND len(l) < 2 THEN 'a tree must read ''(...);'' without a root label' WHEN kind = 5 THEN 'unbalanced parentheses'
+    WHEN kind = 7 THEN 'branch without a length' ELSE 'leaf names must be unique' END AS problem
+    FROM newick WHERE len(l) < 2 OR kind IN (3, 5, 7, 9)""")
 oracle("chain_largest_genome", """SELECT (2 * i)::INTEGER AS node_id, bases::BIGINT AS largest FROM chain UNION ALL
     SELECT (2 * i - 1)::INTEGER, max_after::BIGINT FROM
       (SELECT i, max(bases) OVER (ORDER BY i ROWS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING) AS max_after FROM chain) WHERE i > 0""")
@@ -374,6 +439,7 @@ oracle("tree_descendants", """SELECT a.anc AS node_id, a.node_id AS descendant_i
     WHERE t.is_leaf OR a.node_id <> a.anc""")
 oracle("tree_leaf_names", """SELECT node_id, count(*)::INTEGER AS n, md5(string_agg(name, ',' ORDER BY name)) AS names_md5
     FROM sub_leaf GROUP BY node_id""")
+oracle("tree_leaf_name_rows", "SELECT node_id, name FROM sub_leaf")
 oracle("tree_largest_genome", """SELECT l.node_id, max(d.n)::BIGINT AS largest FROM sub_leaf l
     JOIN doc_size d ON d.sample = l.name GROUP BY l.node_id""")
 CTES["root_x"] = "SELECT a.node_id, sum(t.dist) AS x FROM anc a JOIN tree t ON t.node_id = a.anc GROUP BY a.node_id"

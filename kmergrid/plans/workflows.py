@@ -15,6 +15,7 @@ from ..operators import distance as D
 from ..operators import label_matrix as L
 from ..operators import linkage, sketch as K
 from ..operators import tree as T
+from ..operators.dendrogram import dendrogram_tree
 from ..session import materialize
 from ..sinks import drawing, tables as out
 from ..sources import newick, paths as P, sequences as src, tables
@@ -112,8 +113,7 @@ def population_tree(spark: SparkSession, matrix: str, sketches: list[str] | None
     if sketches:
         _, meta = tables.read_sketches(spark, sketches)
         V.require(V.sketch_set(meta)[2] == len(names), "not every matrix column has a sketch")
-    edges = [(r.a, r.b, r.distance) for r in linkage.spanning_tree(distances).collect()]
-    _store_tree(spark, newick.read_tree(spark, linkage.to_newick(edges)), sketches, output)
+    _store_tree(spark, materialize(dendrogram_tree(linkage.spanning_tree(distances)), "tree"), sketches, output)
 
 
 def _store_tree(spark: SparkSession, tree: DataFrame, sketches: list[str] | None, output: str) -> None:
