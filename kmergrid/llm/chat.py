@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmergrid.llm.common import groups_of
-from kmergrid.llm.encoder import encoder
+from kmergrid.llm.common import frugal, groups_of
+from kmergrid.llm.encoder import encoder, forget
 
 #: fixed values: the control strings of the template, in the order of their reserved ids behind the vocabulary
 BEGIN, END, OPEN, CLOSE, BODY = CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[TEXT]")
@@ -40,6 +40,7 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+@frugal(forget)
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(path, ordinary=True)
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role_ids", pa.binary()), ("text_ids", pa.binary()), ("learn", pa.bool_())])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,28 @@ def running(df: DataFrame, group: str, position: str, ties: Sequence[str], size:
             .drop("_b", "_row0", "_before0"))
 
 
+def frugal(*caches: Callable[[], None]) -> Callable:
+    """Make a task function give back its worker's memory when its rows are through.
+
+    Spark reuses workers for other stages, and what each has held would add up: the caches are emptied by the functions
+    given, and freed memory goes back to the system.
+    """
+    def wrap(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+        @functools.wraps(task)
+        def run(*args, **options) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from task(*args, **options)
+            finally:
+                for empty in caches:
+                    empty()
+                pa.default_memory_pool().release_unused()
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+                if trim:
+                    trim(0)
+        return run
+    return wrap
+
+
 def groups_of(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of texts whose lengths add up to about ``chars``; a longer text stands alone."""
     start, held = 0, 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import math
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmergrid.llm.common import groups_of
+from kmergrid.llm.common import frugal, groups_of
 from kmergrid.session import materialize
 
 #: characters of a gram
@@ -27,6 +29,7 @@ BITS = 12
 
 #: characters of one pass over the text
 CHUNK = 1 << 19
+_GAP = re.compile(r"[\W\d_]")
 
 
 @functools.lru_cache(maxsize=1)
@@ -73,10 +76,18 @@ def grams(texts: Sequence[str], n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(text: str) -> list[str]:
-    """A text in parts of bounded length."""
-    return [text[i:i + CHUNK] for i in range(0, len(text), CHUNK)] or [""]
-
-
+    """A text in parts of bounded length, cut at the next gap, across which no gram reaches."""
+    out, at = [], 0
+    while len(text) - at > CHUNK:
+        gap = _GAP.search(text, at + CHUNK)
+        if not gap:
+            break
+        out.append(text[at:gap.start()])
+        at = gap.end()
+    return [*out, text[at:]]
+
+
+@frugal()
 def _count(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Counts of grams per language, summed up in the task before they leave it."""
     kind = pa.schema([("_lang", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -192,11 +203,13 @@ def learn(docs: DataFrame) -> Filters:
     return Filters.build(languages, members)
 
 
-#: documents whose score is lower are in no known language
-LEAST = 0.2
+#: documents whose score is surely lower are in no known language: lower even at the upper end of an interval of so many
+#: standard deviations, which widens as a text gets shorter
+LEAST, SURE = 0.2, 3.0
 
 
-def _decided(filters: Filters, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
+def _decided(filters: Filters, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores and numbers of grams."""
     owners, parts = [], []
     for i, t in enumerate(texts):
         own = pieces(t or "")
@@ -207,25 +220,32 @@ def _decided(filters: Filters, texts: Sequence[str | None]) -> tuple[list[str],
         n, h = filters.counts(parts[a:b])
         np.add.at(total, owners[a:b], n)
         np.add.at(hits, owners[a:b], h)
-    return filters.decide(total, hits)
+    return *filters.decide(total, hits), total
+
+
+def _at_most(share: float, n: int) -> float:
+    """The upper end of Wilson's interval for a share seen in ``n`` grams."""
+    z = SURE * SURE / n
+    return (share + z / 2 + SURE * math.sqrt(share * (1 - share) / n + z / (4 * n))) / (1 + z)
 
 
 def accepted(docs: DataFrame, filters: Filters, least: float = LEAST) -> DataFrame:
-    """The documents in one of the known languages, as they are; ``und`` and unclear texts go."""
+    """The documents in one of the known languages, as they are; ``und`` and texts that are surely unclear go."""
     model = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        names, score = _decided(model.value, list(texts))
-        return pd.Series([n != "und" and s >= least for n, s in zip(names, score, strict=True)], dtype=bool)
+        names, score, total = _decided(model.value, list(texts))
+        return pd.Series([n != "und" and _at_most(s, k) >= least for n, s, k in zip(names, score, total.tolist(), strict=True)], dtype=bool)
 
     return docs.where(known("text"))
 
 
+@frugal()
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     filters: Filters = model.value
     for batch in batches:
-        names, score = _decided(filters, batch.column(1).to_pylist())
+        names, score, _ = _decided(filters, batch.column(1).to_pylist())
         yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())],
                               names=["doc_id", "lang_pred", "score"])
 

@@ -9,10 +9,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmergrid.llm.common import groups_of, small
+from kmergrid.llm.common import frugal, groups_of, small
 from kmergrid.session import materialize
 
 #: words of a shingle, and the similarity of a link in per cent
@@ -106,22 +106,29 @@ def bands(found: np.ndarray) -> np.ndarray:
     return key
 
 
-_FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+_FEATURES = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
 
 
+def _forget() -> None:
+    _powers.cache_clear()
+    permutations.cache_clear()
+
+
+@frugal(_forget)
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+        ids, marks, texts = batch.column(0), batch.column(1), [t or "" for t in batch.column(2).to_pylist()]
         for a, b in groups_of(texts):
             sets = shingles(texts[a:b])
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             cut = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
-            yield pa.record_batch([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
+            yield pa.record_batch([ids.slice(a, b - a), marks.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
                                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(cut), pa.int64()))],
-                                  names=["doc_id", "n_shingles", "set_key", "bands"])
+                                  names=["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
 
+@frugal(_forget)
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose full sets are similar; a hub's rows mostly come together, so its set is kept for the next row."""
     text, other = None, None
@@ -171,6 +178,7 @@ def _follow(pointers: DataFrame, further: DataFrame) -> DataFrame:
     return pointers.join(ahead, pointers["to"] == F.col("_at"), "left").select("a", F.coalesce("_to", "to").alias("to"))
 
 
+@frugal(_forget)
 def _differences(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For a hub and a member of its bucket: whether they are linked, and the shingles that only one of them has."""
     kind = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n_hub", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
@@ -238,17 +246,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     copies is not compared pair by pair.
 
     A null or blank text has no shingles and is linked with nothing; one of fewer than five words has its whole
-    sequence.  Rows that share an id count as one node; rows
-    without one stand for themselves, with a null ``component_id``, and are kept.  An empty table gives an empty result.
+    sequence.  Rows that share an id are told apart by their texts: each belongs to its own text's component.  Rows
+    without an id stand for themselves, with a null ``component_id``, and are kept.  An empty table gives an empty result.
     """
-    features = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_features, _FEATURES), "minhash")
-    classes = materialize(features.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    leaders = features.join(classes, "set_key").where("doc_id = rep")
+    labelled = _labelled(docs, percent)
+    return labelled.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _text_key() -> Column:
+    """Tells apart the texts of rows that share an id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """:func:`near_duplicates` with ``text_key``.  Nodes are the classes of equal sets, by numbers of their own."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), "text")
+    features = materialize(given.mapInArrow(_features, _FEATURES), "minhash")
+    first = F.min(F.struct("doc_id", "text_key")).alias("o")
+    classes = features.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(first)
+    classes = materialize(classes.select("set_key", F.col("o.doc_id").alias("first_id"), F.col("o.text_key").alias("first_key"), F.monotonically_increasing_id().alias("rep")), "classes")
+    leaders = features.join(classes, "set_key").where("doc_id = first_id and text_key = first_key").dropDuplicates(["rep"])
     rows = leaders.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     members = materialize(rows.join(shared.select("bucket", "size"), "bucket"), "members")
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").where(F.col("text").isNotNull()), "texts")
+    ids = members.select("rep").distinct().join(classes, "rep").select("rep", F.col("first_id").alias("doc_id"), F.col("first_key").alias("text_key"))
+    texts = given.where(F.col("text").isNotNull()).join(ids, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    texts = materialize(texts.select(F.col("rep").alias("doc_id"), "text"), "texts")
 
     one = members.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), "size")
     few = one.where(F.col("size") <= SMALL_BUCKET).join(members.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b")), "bucket").where("a < b")
@@ -268,16 +291,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = _candidates(few.select("a", "n_a", "b", "n_b"), percent).unionByName(_candidates(_beyond_hubs(apart, percent), percent)).distinct()
     links = materialize(beside(near, "a", "b").mapInArrow(verify, "a long, b long"), "links")
     links = links.unionByName(apart.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    labels = components(links)
-    placed = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    return (placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep"))
-                    .otherwise(F.col("doc_id")).alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    labels = materialize(components(links).join(classes.select(F.col("rep").alias("node"), "first_id"), "node"), "labels")
+    least = labels.groupBy("component").agg(F.min("first_id").alias("least"))
+    named = labels.join(least, "component").select(F.col("node").alias("rep"), "least")
+    placed = features.select("doc_id", "text_key", "n_shingles", "set_key").join(classes, "set_key", "left").join(named, "rep", "left")
+    mine = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("least", "first_id")).otherwise(F.col("doc_id"))
+    return placed.select("doc_id", "text_key", "n_shingles", mine.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents of which one of each group is kept, as they are; rows without an id all stay."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents of which one of each group is kept, as they are; rows without an id all stay.
+
+    Of rows that share an id each goes or stays by its own text; rows that share both id and text do so together.
+    """
+    gone = _labelled(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct()
+    met = (docs["doc_id"].cast("long") == F.col("__gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key"))
+    return docs.join(gone, met, "left_anti").select(*docs.columns)

@@ -13,8 +13,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmergrid.llm.common import groups_of
-from kmergrid.llm.encoder import encoder
+from kmergrid.llm.common import frugal, groups_of
+from kmergrid.llm.encoder import PART, encoder, forget
 
 #: ids of a sequence, and sequences of a record batch
 LENGTH = 2048
@@ -28,6 +28,9 @@ def _target(path: str) -> tuple[pafs.FileSystem, str]:
 class SequenceWriter:
     """Packs a stream of ids into rows of ``length``; the last row is filled with zeros that the mask leaves out.
 
+    A row's mask is as many ones as it has ids, then zeros, so the file keeps that number; a mask of bytes beside ids of
+    two bytes would make the file half as large again.
+
     The file is written under a name of its own and gets its final name when it is complete, so a task that is
     repeated, or runs twice, leaves one whole file.
     """
@@ -37,7 +40,7 @@ class SequenceWriter:
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.draft = f"{self.path}.{uuid.uuid4().hex}"
         self.length, self.rows, self.dtype = length, batch, dtype
-        kinds = {"ids": pa.list_(pa.from_numpy_dtype(dtype), length), "mask": pa.list_(pa.bool_(), length)}
+        kinds = {"ids": pa.list_(pa.from_numpy_dtype(dtype), length), "valid": pa.int32()}
         self.schema = pa.schema([pa.field(k, v, False) for k, v in kinds.items()])
         self.sink = self.fs.open_output_stream(self.draft)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
@@ -58,10 +61,10 @@ class SequenceWriter:
             ids = np.frombuffer(data[at:at + step], self.dtype)
             at += step
             n = -(-len(ids) // self.length) * self.length
-            mask = np.arange(n) < len(ids)
+            valid = np.clip(len(ids) - np.arange(0, n, self.length), 0, self.length).astype(np.int32)
             ids = np.concatenate([ids, np.zeros(n - len(ids), self.dtype)])
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), type=f.type) for v, f in zip((ids, mask), self.schema, strict=True)]
-            self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(ids), type=self.schema.field("ids").type)
+            self.writer.write_batch(pa.record_batch([rows, pa.array(valid)], schema=self.schema))
         self.held, self.size = [data[at:]], max(0, len(data) - at)
 
     def close(self) -> None:
@@ -72,7 +75,10 @@ class SequenceWriter:
 
 
 class Shard:
-    """Random access to the sequences of one file; local files are mapped, so the arrays point into them."""
+    """Random access to the sequences of one file; local files are mapped, so the ids point into them.
+
+    All masks are windows of one array of ones and zeros: none is unpacked or copied.
+    """
 
     def __init__(self, path: str):
         fs, name = _target(path)
@@ -80,6 +86,7 @@ class Shard:
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
+        self.ramp = np.arange(2 * self.length) < self.length
 
     def flat(self, batch: int) -> np.ndarray:
         """All ids of a record batch in order, without a copy where the file is mapped."""
@@ -88,9 +95,8 @@ class Shard:
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         b, r = divmod(i, self.rows)
         batch = self.file.get_batch(b)
-        ids, mask = batch.column("ids"), batch.column("mask")
-        part = slice(r * self.length, (r + 1) * self.length)
-        return ids.values.to_numpy(zero_copy_only=True)[part], mask.values.to_numpy(zero_copy_only=False)[part]
+        ids, masked = batch.column("ids").values.to_numpy(zero_copy_only=True), self.length - batch.column("valid")[r].as_py()
+        return ids[r * self.length:(r + 1) * self.length], self.ramp[masked:masked + self.length]
 
     def stream(self, start: int, count: int) -> Iterator[np.ndarray]:
         """The ids from position ``start`` of the file on, in pieces."""
@@ -102,6 +108,7 @@ class Shard:
             start, count = start + len(part), count - len(part)
 
 
+@frugal(forget)
 def _write(batches: Iterator[pa.RecordBatch], out: str, path: str, end: int, length: int, rows: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -114,7 +121,7 @@ def _write(batches: Iterator[pa.RecordBatch], out: str, path: str, end: int, len
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         starts, counts = [], []
-        for a, b in groups_of(texts_ := [t or "" for t in texts.to_pylist()]):
+        for a, b in groups_of(texts_ := [t or "" for t in texts.to_pylist()], PART):
             for data in enc.encode(texts_[a:b]):
                 if writer is None:
                     writer = SequenceWriter(name, enc.dtype, length, rows)
@@ -161,6 +168,7 @@ def write_sequences(docs: DataFrame, out: str, path: str, end: int = 0, length:
     return spark.read.parquet(f"{out}/files")
 
 
+@frugal()
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

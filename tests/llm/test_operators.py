@@ -108,6 +108,34 @@ def test_encoder_is_the_library(encoder, texts):
     assert [encoder.ids(x).tolist() for x in encoder.encode(texts)] == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab. \n\x01é\u2003ñ,", max_size=60), max_size=4))
+def test_encoder_works_off_long_texts_in_parts(encoder, texts):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("kmergrid.llm.encoder.PART", 7)
+        got = [encoder.ids(x).tolist() for x in encoder.encode(texts)]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_near_duplicates_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(9)
+    x, y, z = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    docs = documents(spark, [(3, x, "en", "a"), (7, x, "en", "a"), (7, y, "en", "a"), (7, z, "en", "b"), (9, z + " more", "en", "a"), (9, z + " more", "en", "a")])
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert found == [(3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (9, 7, False), (9, 7, False)]
+    kept = minhash.without_duplicates(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(3, x), (7, y), (7, z)])
+
+
+def test_short_clean_texts_keep_their_language(spark):
+    rng = random.Random(2)
+    words = {"en": "all rights reserved the house of lantern and river", "de": "alle rechte vorbehalten das haus der laterne und fluss"}
+    rows = [(i, " ".join(rng.choice(words[x].split()) for _ in range(50)), x, "a") for i, x in enumerate(["en", "de"] * 60)]
+    docs = documents(spark, [*rows, (500, "A.\nAll rights reserved.", "en", "a"), (501, "qxzv " * 200, None, "a"), (502, "12 ?", None, "a")])
+    kept = {r["doc_id"] for r in langid.accepted(docs, langid.learn(docs)).collect()}
+    assert kept == set(range(120)) | {500}
+
+
 def test_encoder_knows_added_tokens(encoder):
     library, rng, parts = Tokenizer.from_file(VOCABULARY), random.Random(7), ["<|endoftext|>", "<|endof", "text|>", "a", " ", "\n", "b,", "  "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(300)]
