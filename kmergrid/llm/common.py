@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,22 +79,44 @@ def frugal(*caches: Callable[[], None]) -> Callable:
     Spark reuses workers for other stages, and what each has held would add up: the caches are emptied by the functions
     given, and freed memory goes back to the system.
     """
-    def wrap(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    def wrap(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
         @functools.wraps(task)
-        def run(*args, **options) -> Iterator[pa.RecordBatch]:
+        def run(*args, **options) -> Iterator:
+            _give_back()
             try:
                 yield from task(*args, **options)
             finally:
                 for empty in caches:
                     empty()
-                pa.default_memory_pool().release_unused()
-                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
-                if trim:
-                    trim(0)
+                _give_back()
         return run
     return wrap
 
 
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def slices_of(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts in ``column`` have about ``size`` bytes; a longer text stands alone.
+
+    A batch of Spark may hold ten thousand texts; what is made of them in Python is kept small by this.
+    """
+    lengths = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).tolist()
+    start, held = 0, 0
+    for i, n in enumerate(lengths):
+        if i > start and held + n > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(lengths):
+        yield batch.slice(start)
+
+
 def groups_of(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of texts whose lengths add up to about ``chars``; a longer text stands alone."""
     start, held = 0, 0

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmergrid.llm.common import frugal, groups_of
+from kmergrid.llm.common import frugal, groups_of, slices_of
 from kmergrid.session import materialize
 
 #: characters of a gram
@@ -102,7 +102,7 @@ def _count(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.R
         codes, n = merged(held.pop(lang))
         return pa.record_batch([pa.array(np.full(len(codes), lang, np.int32)), pa.array(codes.view(np.int64)), pa.array(n)], schema=kind)
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices_of(whole, 1, 1 << 23)):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         order = sorted(range(len(langs)), key=lambda i: langs[i])
         parts = [(place[langs[i]], p) for i in order for p in pieces(texts[i])]

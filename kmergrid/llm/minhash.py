@@ -12,7 +12,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmergrid.llm.common import frugal, groups_of, small
+from kmergrid.llm.common import frugal, groups_of, slices_of, small
 from kmergrid.session import materialize
 
 #: words of a shingle, and the similarity of a link in per cent
@@ -116,16 +116,14 @@ def _forget() -> None:
 
 @frugal(_forget)
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, marks, texts = batch.column(0), batch.column(1), [t or "" for t in batch.column(2).to_pylist()]
-        for a, b in groups_of(texts):
-            sets = shingles(texts[a:b])
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            cut = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
-            yield pa.record_batch([ids.slice(a, b - a), marks.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                                   pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(cut), pa.int64()))],
-                                  names=["doc_id", "text_key", "n_shingles", "set_key", "bands"])
+    for batch in (part for whole in batches for part in slices_of(whole, 2)):
+        sets = shingles([t or "" for t in batch.column(2).to_pylist()])
+        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        cut = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+        offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
+                               pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(cut), pa.int64()))],
+                              names=["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
 
 @frugal(_forget)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmergrid.llm.common import WORD, running, unit_hash
+from kmergrid.llm.common import WORD, frugal, running, unit_hash
 from kmergrid.session import materialize
 
 #: weights of the sources in code point order, repeated as often as needed
@@ -145,6 +145,7 @@ def shard_counts(counts: tuple[int, ...], shard_blocks: int, seed: int, shard: i
     return before, inside
 
 
+@frugal()
 def _slots(batches: Iterator[pd.DataFrame], streams: list[Stream], shard_blocks: int, seed: int) -> Iterator[pd.DataFrame]:
     counts = tuple(s.slots for s in streams)
     for batch in batches:

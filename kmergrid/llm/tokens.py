@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmergrid.llm.common import frugal, groups_of
+from kmergrid.llm.common import frugal, slices_of
 from kmergrid.llm.encoder import PART, encoder, forget
 
 #: ids of a sequence, and sequences of a record batch
@@ -118,21 +118,18 @@ def _write(batches: Iterator[pa.RecordBatch], out: str, path: str, end: int, len
     index_kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
     stop = np.array([end], enc.dtype).tobytes()
     index = None
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        starts, counts = [], []
-        for a, b in groups_of(texts_ := [t or "" for t in texts.to_pylist()], PART):
-            for data in enc.encode(texts_[a:b]):
-                if writer is None:
-                    writer = SequenceWriter(name, enc.dtype, length, rows)
-                    index = (sink := writer.fs.open_output_stream(f"{writer.draft}.index")), pa.ipc.new_file(sink, index_kind)
-                starts.append(writer.total)
-                writer.add(data)
-                writer.add(stop)
-                counts.append(writer.total - starts[-1])
-        if ids:
-            first, docs = (ids[0] if docs == 0 else first), docs + len(ids)
-            index[1].write_batch(pa.record_batch([pa.array(x, pa.int64()) for x in (ids, starts, counts)], schema=index_kind))
+    for batch in (part_of for whole in batches for part_of in slices_of(whole, 1, PART)):
+        ids, starts, counts = batch.column(0).to_pylist(), [], []
+        for data in enc.encode([t or "" for t in batch.column(1).to_pylist()]):
+            if writer is None:
+                writer = SequenceWriter(name, enc.dtype, length, rows)
+                index = (sink := writer.fs.open_output_stream(f"{writer.draft}.index")), pa.ipc.new_file(sink, index_kind)
+            starts.append(writer.total)
+            writer.add(data)
+            writer.add(stop)
+            counts.append(writer.total - starts[-1])
+        first, docs = (ids[0] if docs == 0 else first), docs + len(ids)
+        index[1].write_batch(pa.record_batch([pa.array(x, pa.int64()) for x in (ids, starts, counts)], schema=index_kind))
     if writer is not None:
         index[1].close()
         index[0].close()
