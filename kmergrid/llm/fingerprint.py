@@ -47,15 +47,22 @@ def samples(weights: DataFrame, count: int = SAMPLES) -> DataFrame:
             .agg(*(F.min(F.when(F.col(f"in_{x}"), F.col("_draw"))).alias(x) for x in ("own", "edited"))))
 
 
-def neighbours(ids: DataFrame) -> DataFrame:
-    """``doc_id, n, next_id, before_id, before_n``: the documents in descending order of id as a ring.
+#: tells texts apart: whether the row has an id, the id (0 for none) and a hash of the text
+_KEY = ["known", "id", "text_key"]
 
-    Ids are dealt by ranges; inside a range a window finds the neighbours, and the ranges' edges, a row for each
-    range, are linked in the same way.
+
+def neighbours(texts: DataFrame) -> DataFrame:
+    """The ``texts(known, id, text_key, n, ...)`` in descending order of their key as a ring, so those without an id come last.
+
+    Adds ``node``, a number of its own for each, and ``next`` and ``before``, structs of the neighbours' key, ``n`` and
+    ``node``.  Keys are dealt by ranges; inside a range a window finds the neighbours, and the ranges' edges, a row for
+    each range, are linked in the same way.
     """
-    dealt = materialize(ids.repartitionByRange("doc_id").withColumn("_part", F.spark_partition_id()), "ring")
-    inside = Window.partitionBy("_part").orderBy(F.desc("doc_id"))
-    one = F.struct("doc_id", "n")
+    dealt = materialize(texts.repartitionByRange(*_KEY).withColumn("_part", F.spark_partition_id())
+                        .withColumn("node", F.monotonically_increasing_id()), "ring")
+    downwards = [F.desc(c) for c in _KEY]
+    inside = Window.partitionBy("_part").orderBy(*downwards)
+    one = F.struct(*_KEY, "n", "node")
     edges = dealt.groupBy("_part").agg(F.min(one).alias("low"), F.max(one).alias("high"))
     around = Window.orderBy(F.desc("_part"))
     ends = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -63,8 +70,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
                          F.coalesce(F.lag("low").over(around), F.last("low").over(ends)).alias("_before"))
     near = (dealt.withColumn("_up", F.lag(one).over(inside)).withColumn("_down", F.lead(one).over(inside))
             .join(edges, "_part"))
-    after, before = F.coalesce("_down", "_next"), F.coalesce("_up", "_before")
-    return near.select("doc_id", "n", after["doc_id"].alias("next_id"), before["doc_id"].alias("before_id"), before["n"].alias("before_n"))
+    return near.select(*dealt.columns, F.coalesce("_down", "_next").alias("next"), F.coalesce("_up", "_before").alias("before")).drop("_part")
 
 
 def _hex(sample: Column) -> Column:
@@ -80,18 +86,19 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     near_next``; likeness is the share of equal samples.
 
     Equal texts have equal fingerprints.  A null text is an empty one; a text without words has the fingerprint of
-    zeros, which is like itself (1) and nothing else (0).  Rows that share an id count as one document, the one with
-    the longest text, ties by hash; null ids are left out, since they have no place in the order.  A single document is its own next.
+    zeros, which is like itself (1) and nothing else (0).  Every row has its row in the result.  Rows that share an id
+    are ordered by a hash of their texts and rows without an id come after all others; rows that share id and text
+    have one place in the order.  A single document is its own next.
     """
-    body = F.coalesce("text", F.lit(""))
-    given = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
-    ids = given.groupBy("doc_id").agg(F.max(F.length("text")).cast("long").alias("n"))
+    given = docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+                        F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    ids = given.groupBy(*_KEY).agg(F.max(F.length("text")).cast("long").alias("n"), F.count(F.lit(1)).alias("rows"))
     ring = materialize(neighbours(ids), "ring")
-    texts = given.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), F.xxhash64("text"))).alias("text"))
-    whole = texts.join(ring, "doc_id")
-    heads = whole.select(F.col("before_id").alias("doc_id"), F.expr("substring(text, 1, cast(before_n div 3 as int))").alias("head"))
-    both = (whole.select("doc_id", "text", "n").join(heads, "doc_id")
-            .select("doc_id", "text", F.concat(F.expr("substring(text, 1, cast(n - n div 3 as int))"), "head").alias("edited")))
+    texts = given.groupBy(*_KEY).agg(F.min("text").alias("text"))
+    whole = texts.join(ring, _KEY)
+    heads = whole.select(*(F.col(f"before.{c}").alias(c) for c in _KEY), F.expr("substring(text, 1, cast(before.n div 3 as int))").alias("head"))
+    both = (whole.select(*_KEY, "node", "text", "n").join(heads, _KEY)
+            .select(F.col("node").alias("doc_id"), "text", F.concat(F.expr("substring(text, 1, cast(n - n div 3 as int))"), "head").alias("edited")))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"))))
     words = (both.select("doc_id", kinds.alias("t"))
              .select("doc_id", "t.kind", F.explode(F.split(F.lower("t.text"), r"\s+")).alias("word")).where("word <> ''"))
@@ -104,12 +111,14 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     def of(name: str) -> Column:
         return F.when(F.col("s").isNotNull(), F.array_join(F.transform("s", lambda x: _hex(F.coalesce(x[name], F.lit(0)))), "")).otherwise("0" * 8 * count)
 
-    made = materialize(ring.join(seal, "doc_id").join(drawn, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_chars"), "next_id", "edited_sha256", of("own").alias("fingerprint"), of("edited").alias("edited_fingerprint")), "fingerprints")
+    places = ring.select(F.col("node").alias("doc_id"), F.when(F.col("known"), F.col("id")).alias("given_id"), "n", "rows", F.col("next.node").alias("next_id"))
+    made = materialize(places.join(seal, "doc_id").join(drawn, "doc_id", "left").select(
+        "doc_id", "given_id", F.col("n").alias("n_chars"), "rows", "next_id", "edited_sha256", of("own").alias("fingerprint"), of("edited").alias("edited_fingerprint")), "fingerprints")
     following = made.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("_next"))
-    return made.join(following, "next_id").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    found = made.join(following, "next_id").select(
+        F.col("given_id").alias("doc_id"), "rows", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint", count).alias("near_edited"), likeness("fingerprint", "_next", count).alias("near_next"))
+    return found.withColumn("rows", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows")
 
 
 def likeness(a: str, b: str, count: int = SAMPLES) -> Column:

@@ -25,6 +25,8 @@ BANDS, ROWS = 32, 5
 PLACES = 1 << 22
 #: buckets of at most so many members have all their pairs compared at once
 SMALL_BUCKET = 8
+#: a hub to which at least this share of its members is linked leaves the others to a new hub of their own
+STAR = 1 / 16
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = 0x9E3779B97F4A7C15
@@ -196,25 +198,33 @@ def _differences(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 
 
 def _beyond_hubs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of members of a hub that may be linked although one of them is not linked to the hub.
+    """Pairs ``a, b`` of members of a hub that may be linked although ``a`` is not linked to the hub.
 
     With D the shingles in which a member differs from the hub, two members are linked if their D differ in at most
     ``t * (n_i + n_j)`` places, t = (100 - percent) / (100 + percent).  If ``i`` is not linked to the hub, D_i is larger
     than ``t * (n_i + n_hub)``, so more than ``(|D_j| + t * (n_hub - n_j)) / 2`` of D_j must lie in D_i, and, as D_j
     cannot be much smaller, all of D_i but ``t * (n_i + n_j)``.  The first common member in any order is then among
     the first few of both.  Rare shingles come first, so that pairs with nothing but the hub's text in common do not meet.
+
+    A hub marked ``goes_on`` leaves pairs of two unlinked members to a later hub; only linked members are indexed for
+    it, and nobody asks whose D is larger than any of theirs can explain.
     """
     t = (100 - percent) / (100 + percent)
-    alone = apart.where(~F.col("linked")).select("hub").distinct()
-    groups = apart.join(alone, "hub", "left_semi").withColumn("s", F.size("apart"))
+    sized = apart.withColumn("s", F.size("apart")).withColumn("indexed", F.col("linked") | ~F.col("goes_on"))
+    most, least_of = F.max(F.when(F.col("indexed"), F.col("s") + t * F.col("n"))), F.min(F.when(~F.col("linked"), F.col("s") - t * F.col("n")))
+    bounds = sized.groupBy("hub").agg(most.alias("most"), least_of.alias("least"))
+    met = sized.join(bounds.where("most >= least - 1e-6"), "hub")
+    groups = met.where((F.col("indexed") & (F.col("s") + t * F.col("n") >= F.col("least") - 1e-6))
+                       | (~F.col("linked") & (F.col("s") - t * F.col("n") <= F.col("most") + 1e-6))).drop("most", "least")
     places = groups.select("hub", "rep", F.explode("apart").alias("x"))
     often = places.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("f"))
     ordered = (places.join(often, ["hub", "x"]).groupBy("hub", "rep").agg(F.sort_array(F.collect_list(F.struct("f", "x")))["x"].alias("x"))
-               .join(groups.select("hub", "rep", "n_hub", "n", "s", "linked"), ["hub", "rep"]))
+               .join(groups.select("hub", "rep", "n_hub", "n", "s", "linked", "indexed"), ["hub", "rep"]))
     ordered = materialize(ordered, "differences")
     least = F.floor((F.col("s") + t * (F.col("n_hub") - F.col("n"))) / 2 - 1e-9) + 1
-    index = ordered.select("hub", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"),
-                           F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(1), F.col("s") - least + 1).cast("int"))).alias("at_b", "x"))
+    index = ordered.where("indexed").select(
+        "hub", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"),
+        F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(1), F.col("s") - least + 1).cast("int"))).alias("at_b", "x"))
     reach = F.floor(t * F.col("n") * (1 + 100 / percent) + 1e-9) + 1
     probe = ordered.where(~F.col("linked")).select("hub", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"),
                                                    F.posexplode(F.slice("x", F.lit(1), reach.cast("int"))).alias("at_a", "x"))
@@ -230,6 +240,47 @@ def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
             .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("_")).select("a", "b"))
 
 
+def _links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: confirmed links that hold together whatever is linked among the ``members`` of common buckets.
+
+    Every round takes the pairs of small buckets, and for a large bucket the member that shares most buckets as its hub.
+    Members linked to a hub are done with each other; pairs of a linked and an unlinked one, or all further pairs where
+    hardly anybody is linked, come from :func:`_beyond_hubs`.  The unlinked members of the other hubs are the next
+    round's buckets, smaller by a sixteenth at least, so that each family of near copies gets a hub of its own.
+    """
+    def beside(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        for c in (a, b):
+            pairs = pairs.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)
+        return pairs.select(a, b, f"text_{a}", f"text_{b}")
+
+    near, stars = [], []
+    while True:
+        few = members.where(F.col("size") <= SMALL_BUCKET)
+        one = few.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"))
+        other = few.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"))
+        near.append(_candidates(one.join(other, "bucket").where("a < b").select("a", "n_a", "b", "n_b"), percent))
+        large = members.where(F.col("size") > SMALL_BUCKET)
+        central = large.groupBy("rep").agg(F.sum("size").alias("score"))
+        hubs = large.join(central, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("score", "rep")).alias("hub"))
+        beside_hub = materialize(large.join(hubs, "bucket").where("rep <> hub"), "beside_hub")
+        spokes = beside_hub.select("hub", "rep").distinct()
+        apart = materialize(beside(spokes, "rep", "hub").select("hub", "rep", "text_hub", "text_rep").mapInArrow(
+            functools.partial(_differences, percent=percent), "hub long, rep long, n_hub long, n long, linked boolean, apart array<long>"), "spokes")
+        told = beside_hub.drop("size").join(apart.select("hub", "rep", "linked"), ["hub", "rep"])
+        share = materialize(told.groupBy("hub").agg((F.avg(F.col("linked").cast("int")) >= STAR).alias("goes_on")), "shares")
+        apart = apart.join(small(share), "hub")
+        stars.append(apart.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        near.append(_candidates(_beyond_hubs(apart, percent), percent))
+        rest = told.where(~F.col("linked")).join(small(share.where("goes_on")), "hub").select("bucket", "rep", "n")
+        sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        members = materialize(rest.join(sizes, "bucket"), "members")
+        if members.isEmpty():
+            break
+    pairs = functools.reduce(DataFrame.unionByName, near).distinct()
+    links = materialize(beside(pairs, "a", "b").mapInArrow(functools.partial(_verify, percent=percent), "a long, b long"), "links")
+    return functools.reduce(DataFrame.unionByName, stars, links)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -239,9 +290,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Documents with equal sets form a class, of which the smallest id goes on alone.  Its signature (two permutations, the
     second shifted along) is cut into bands.  Pairs in a common bucket are candidates, and links are confirmed on full
     sets.  All pairs of a small bucket are compared; in a larger one everybody with a hub, the member that shares most
-    buckets with others.  Members linked to the hub are in one component.  For the others :func:`_beyond_hubs` finds every
-    member that can still be linked to them, so no link between components is lost and a large group of near
-    copies is not compared pair by pair.
+    buckets with others.  Members linked to the hub are in one component; the others get hubs of their own in further
+    rounds (:func:`_links`), and :func:`_beyond_hubs` finds every member that can still be linked to them, so no link
+    between components is lost and no family of near copies is compared pair by pair.
 
     A null or blank text has no shingles and is linked with nothing; one of fewer than five words has its whole
     sequence.  Rows that share an id are told apart by their texts: each belongs to its own text's component.  Rows
@@ -271,24 +322,7 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     texts = given.where(F.col("text").isNotNull()).join(ids, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     texts = materialize(texts.select(F.col("rep").alias("doc_id"), "text"), "texts")
 
-    one = members.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), "size")
-    few = one.where(F.col("size") <= SMALL_BUCKET).join(members.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b")), "bucket").where("a < b")
-    large = members.where(F.col("size") > SMALL_BUCKET)
-    central = large.groupBy("rep").agg(F.sum("size").alias("score"))
-    hubs = large.join(central, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("score", "rep")).alias("hub"))
-    spokes = large.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct()
-
-    def beside(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        for c in (a, b):
-            pairs = pairs.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)
-        return pairs.select(a, b, f"text_{a}", f"text_{b}")
-
-    verify = functools.partial(_verify, percent=percent)
-    apart = materialize(beside(spokes, "rep", "hub").select("hub", "rep", "text_hub", "text_rep").mapInArrow(
-        functools.partial(_differences, percent=percent), "hub long, rep long, n_hub long, n long, linked boolean, apart array<long>"), "spokes")
-    near = _candidates(few.select("a", "n_a", "b", "n_b"), percent).unionByName(_candidates(_beyond_hubs(apart, percent), percent)).distinct()
-    links = materialize(beside(near, "a", "b").mapInArrow(verify, "a long, b long"), "links")
-    links = links.unionByName(apart.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    links = _links(members, texts, percent)
     labels = materialize(components(links).join(classes.select(F.col("rep").alias("node"), "first_id"), "node"), "labels")
     least = labels.groupBy("component").agg(F.min("first_id").alias("least"))
     named = labels.join(least, "component").select(F.col("node").alias("rep"), "least")

@@ -373,6 +373,39 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
 
 
+def families(seed, members):
+    """Two families of near copies: bases alike by about 0.73, members of one family by about 0.9."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    second = [f"v{w}" if i % 33 == 5 else w for i, w in enumerate(base)]
+    out = []
+    for of in (base, second):
+        for _ in range(members):
+            copy = list(of)
+            copy[rng.randrange(200)] = f"z{rng.randrange(10 ** 6)}"
+            out.append(" ".join(copy))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_related_families_do_not_meet_pair_by_pair(spark, monkeypatch):
+    plain, asked = minhash._candidates, []
+
+    def counted(pairs, percent):
+        asked.append(pairs.count())
+        return plain(pairs, percent)
+
+    monkeypatch.setattr(minhash, "_candidates", counted)
+    for members in (30, 90):
+        rows = families(members, members)
+        asked.clear()
+        df = documents(spark, [(i, t, "en", "a") for i, t in rows])
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
+        assert got == brute_components(rows)
+        assert len({c for _, c in got.values()}) == 2
+        assert sum(asked) <= 20 * members  # a family alone has members ** 2 / 2 pairs, 4,050 of the larger ones
+
+
 def test_near_duplicates_of_odd_tables(odd, empty):
     got = {r["doc_id"]: r for r in minhash.near_duplicates(odd).collect()}
     assert {i: r["component_id"] for i, r in got.items()} == {i: i if i not in (7, 8) else 6 for i in range(1, 13)}
@@ -492,7 +525,20 @@ def test_likeness_at_the_production_count(spark):
 
 
 def test_fingerprints_of_odd_tables(odd, empty):
-    got = {r["doc_id"]: r for r in fingerprint.fingerprints(odd, 8).collect()}
-    assert set(got) == set(range(1, 13)) and got[1]["fingerprint"] == got[2]["fingerprint"] == "0" * 64
+    made = fingerprint.fingerprints(odd, 8).collect()
+    got = {r["doc_id"]: r for r in made}
+    assert len(made) == 13 and set(got) == set(range(1, 13)) and got[1]["fingerprint"] == got[2]["fingerprint"] == "0" * 64
     assert got[6]["fingerprint"] == got[7]["fingerprint"] and got[2]["near_next"] == 1.0 and got[4]["near_next"] == 0.0
     assert fingerprint.fingerprints(empty, 8).collect() == []
+
+
+def test_fingerprints_keep_every_row(spark):
+    texts = [(1, "a b c d e f"), (1, "other words of one id"), (1, "a b c d e f"), (None, "no id at all"), (None, None), (2, "last of the ids")]
+    df = documents(spark, [(i, t, "en", "a") for i, t in texts])
+    made = fingerprint.fingerprints(df, 8).collect()
+    size = collections.Counter((i, len(t or "")) for i, t in texts)
+    assert collections.Counter((r["doc_id"], r["n_chars"]) for r in made) == size
+    second = next(r for r in made if r["doc_id"] == 2)
+    heads = {hashlib.sha256(("last of th" + t[:5]).encode()).hexdigest() for t in ("a b c d e f", "other words of one id")}
+    assert second["edited_sha256"] in heads  # the next one has id 1
+    assert len({r["fingerprint"] for r in made if r["n_chars"] == 11}) == 1
