@@ -24,6 +24,7 @@ from ..operators import distance as D
 from ..operators import label_matrix as L
 from ..operators import linkage
 from ..operators import sketch as K
+from ..operators import store
 from ..operators import tree as T
 from ..operators.dendrogram import dendrogram, dendrogram_tree
 from ..operators.kmers import kmers, windows
@@ -271,6 +272,27 @@ def sketch_conversations(spark, sf):
     return conversation_sketch(spark, sf)
 
 
+def _store(spark: SparkSession, sf: str, config: SketchConfig) -> str:
+    """A store to which the documents of each language, and those without one, came one after the other."""
+    path = _scratch(spark, "store")
+    for part in (F.col("lang") == "en", F.col("lang") != "en", F.col("lang").isNull()):
+        docs = spread(table(spark, sf, "documents").where(part).select("doc_id", "source", "text"), "doc_id")
+        store.append(path, *store.summarize(docs.select(F.col("source").alias("sample"), dna(F.col("text")).alias("seq")), config))
+    return path
+
+
+@query
+def sketch_merged(spark, sf):
+    return store.stored_sketch(spark, _store(spark, sf, reads(SOURCE_SKETCH, 2, True)), reads(SOURCE_SKETCH, 2, True))
+
+
+@query
+def sketch_merged_assembly(spark, sf):
+    path, target, config = _store(spark, sf, assembly(SOURCE_SKETCH)), _scratch(spark, "compact"), assembly(SOURCE_SKETCH)
+    store.compact(spark, path, target, config)
+    return store.stored_sketch(spark, target, config)
+
+
 @query
 def sketch_meta(spark, sf):
     seqs = by_source(spark, sf)

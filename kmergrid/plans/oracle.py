@@ -263,6 +263,8 @@ oracle("sketch_one_pass", "SELECT * FROM src_sk")
 oracle("sketch_reads_mincov1", "SELECT * FROM src_sk_reads")
 oracle("sketch_reads_mincov2", _sketch("src_kmer", S_SOURCE, 2))
 oracle("sketch_reads_mincov3", _sketch("src_kmer", S_SOURCE, 3))
+oracle("sketch_merged", "SELECT * FROM src_sk_reads")
+oracle("sketch_merged_assembly", "SELECT * FROM src_sk")
 oracle("sketch_track_cov", _sketch("src_kmer", S_SOURCE, 1, "cnt + 1"))
 oracle("sketch_documents", "SELECT * FROM doc_sk")
 oracle("sketch_conversations", "SELECT * FROM conv_sk")
