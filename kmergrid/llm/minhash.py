@@ -27,6 +27,8 @@ PLACES = 1 << 22
 SMALL_BUCKET = 8
 #: a hub to which at least this share of its members is linked leaves the others to a new hub of their own
 STAR = 1 / 16
+#: fewer unlinked members than this stay with their hub: each of them meets no more others than that
+FAMILY = 64
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = 0x9E3779B97F4A7C15
@@ -201,9 +203,9 @@ def _beyond_hubs(apart: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of members of a hub that may be linked although ``a`` is not linked to the hub.
 
     With D the shingles in which a member differs from the hub, two members are linked if their D differ in at most
-    ``t * (n_i + n_j)`` places, t = (100 - percent) / (100 + percent).  If ``i`` is not linked to the hub, D_i is larger
-    than ``t * (n_i + n_hub)``, so more than ``(|D_j| + t * (n_hub - n_j)) / 2`` of D_j must lie in D_i, and, as D_j
-    cannot be much smaller, all of D_i but ``t * (n_i + n_j)``.  The first common member in any order is then among
+    ``t * (n_i + n_j)`` places, t = (100 - percent) / (100 + percent).  With m the least ``|D_i| - t * n_i`` of all ``i`` that are
+    not linked to the hub (more than ``t * n_hub``), at least ``(|D_j| - t * n_j + m) / 2`` of D_j must lie in D_i, and, as
+    D_j cannot be much smaller, all of D_i but ``t * (n_i + n_j)``.  The first common member in any order is then among
     the first few of both.  Rare shingles come first, so that pairs with nothing but the hub's text in common do not meet.
 
     A hub marked ``goes_on`` leaves pairs of two unlinked members to a later hub; only linked members are indexed for
@@ -213,15 +215,15 @@ def _beyond_hubs(apart: DataFrame, percent: int) -> DataFrame:
     sized = apart.withColumn("s", F.size("apart")).withColumn("indexed", F.col("linked") | ~F.col("goes_on"))
     most, least_of = F.max(F.when(F.col("indexed"), F.col("s") + t * F.col("n"))), F.min(F.when(~F.col("linked"), F.col("s") - t * F.col("n")))
     bounds = sized.groupBy("hub").agg(most.alias("most"), least_of.alias("least"))
-    met = sized.join(bounds.where("most >= least - 1e-6"), "hub")
+    met = sized.join(small(materialize(bounds.where("most >= least - 1e-6"), "bounds")), "hub")
     groups = met.where((F.col("indexed") & (F.col("s") + t * F.col("n") >= F.col("least") - 1e-6))
-                       | (~F.col("linked") & (F.col("s") - t * F.col("n") <= F.col("most") + 1e-6))).drop("most", "least")
+                       | (~F.col("linked") & (F.col("s") - t * F.col("n") <= F.col("most") + 1e-6))).drop("most")
     places = groups.select("hub", "rep", F.explode("apart").alias("x"))
     often = places.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("f"))
     ordered = (places.join(often, ["hub", "x"]).groupBy("hub", "rep").agg(F.sort_array(F.collect_list(F.struct("f", "x")))["x"].alias("x"))
-               .join(groups.select("hub", "rep", "n_hub", "n", "s", "linked", "indexed"), ["hub", "rep"]))
+               .join(groups.select("hub", "rep", "n", "s", "linked", "indexed", F.col("least").alias("m")), ["hub", "rep"]))
     ordered = materialize(ordered, "differences")
-    least = F.floor((F.col("s") + t * (F.col("n_hub") - F.col("n"))) / 2 - 1e-9) + 1
+    least = F.ceil((F.col("s") - t * F.col("n") + F.col("m")) / 2 - 1e-6)
     index = ordered.where("indexed").select(
         "hub", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"),
         F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(1), F.col("s") - least + 1).cast("int"))).alias("at_b", "x"))
@@ -267,7 +269,7 @@ def _links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         apart = materialize(beside(spokes, "rep", "hub").select("hub", "rep", "text_hub", "text_rep").mapInArrow(
             functools.partial(_differences, percent=percent), "hub long, rep long, n_hub long, n long, linked boolean, apart array<long>"), "spokes")
         told = beside_hub.drop("size").join(apart.select("hub", "rep", "linked"), ["hub", "rep"])
-        share = materialize(told.groupBy("hub").agg((F.avg(F.col("linked").cast("int")) >= STAR).alias("goes_on")), "shares")
+        share = materialize(told.groupBy("hub").agg(((F.avg(F.col("linked").cast("int")) >= STAR) & (F.countDistinct(F.when(~F.col("linked"), F.col("rep"))) >= FAMILY)).alias("goes_on")), "shares")
         apart = apart.join(small(share), "hub")
         stars.append(apart.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
         near.append(_candidates(_beyond_hubs(apart, percent), percent))

@@ -396,6 +396,7 @@ def test_related_families_do_not_meet_pair_by_pair(spark, monkeypatch):
         return plain(pairs, percent)
 
     monkeypatch.setattr(minhash, "_candidates", counted)
+    monkeypatch.setattr(minhash, "FAMILY", 4)  # as small beside these families as the real one beside families of a thousand
     for members in (30, 90):
         rows = families(members, members)
         asked.clear()
