@@ -20,9 +20,8 @@ WEIGHTS = (3, 1, 2)
 #: words of a block, and blocks of an output shard
 BLOCK = 256
 SHARD_BLOCKS = 1024
-
-#: numpy draws hypergeometric numbers for fewer balls than this
-EXACT_DRAW = 1_000_000_000
+#: slots that are drawn one after the other at the end of a draw
+DRAWN_SINGLY = 32
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = 2.0) -> list[float]:
@@ -112,17 +111,23 @@ class Stream:
 
 
 def _draw(counts: np.ndarray, some: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of ``some`` slots fall to each source, drawn without replacement from ``counts``."""
-    if counts.sum() < EXACT_DRAW:
-        return rng.multivariate_hypergeometric(counts, some, method="marginals")
-    left, out = int(counts.sum()), np.zeros_like(counts)
-    for i, c in enumerate(map(int, counts)):  # normal law, clipped to what keeps the rest possible
-        left -= c
-        p = c / max(c + left, 1)
-        spread = (max(some, 0) * p * (1 - p) * max(c + left - some, 0) / max(c + left - 1, 1)) ** 0.5
-        out[i] = min(c, some, max(some - left, 0, round(some * p + spread * rng.standard_normal())))
-        some -= int(out[i])
-    return out
+    """How many of ``some`` slots fall to each source, drawn without replacement from ``counts``.
+
+    Every slot is taken with the same chance, which makes a binomial number of each source.  All sets of as many slots are
+    equally likely then, so that what is too much is drawn from those taken and what is missing from those left, in the
+    same way; each time about the square root of the number is open.  The last few are drawn one by one.
+    """
+    counts = counts.astype(np.int64)
+    left, total = int(some), int(counts.sum())
+    if left <= DRAWN_SINGLY:
+        out = np.zeros_like(counts)
+        for k in range(left):
+            i = int(np.searchsorted(np.cumsum(counts - out), rng.integers(total - k), side="right"))
+            out[i] += 1
+        return out
+    out = rng.binomial(counts, left / total)
+    over = int(out.sum()) - left
+    return out - _draw(out, over, rng) if over > 0 else out + _draw(counts - out, -over, rng)
 
 
 def shard_counts(counts: tuple[int, ...], shard_blocks: int, seed: int, shard: int) -> tuple[np.ndarray, np.ndarray]:

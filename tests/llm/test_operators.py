@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -85,6 +86,19 @@ def test_toxicity_learns_held_out_texts(spark):
     assert all(bool(r["passages"]) == (r["doc_id"] % 4 == 0) for r in found)
 
 
+def test_more_word_scores_than_are_broadcast(spark, odd, monkeypatch):
+    words = spark.createDataFrame([("three", 1.5), ("lantern", 0.75), ("日本語", 2.0), ("quiet", -1.0)], "word string, score double")
+    stems = spark.createDataFrame([("lant", 0.25), ("wor", 9.0), ("word", 1.0), ("ston", 0.5)], "stem string, score double")
+
+    def found():
+        rows = toxicity.segments(odd, words, stems).collect()
+        return sorted((r["doc_id"], r["tokens"], tuple(tuple(s) for s in r["segments"])) for r in rows)
+    broadcast = found()
+    monkeypatch.setattr(toxicity, "BROADCAST_FEATURES", 7)
+    joined = found()
+    assert joined == broadcast and len(joined) == 13 and (5, 1, ((0, 4, 1.0),)) in joined
+
+
 def test_toxicity_of_odd_tables(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.score(odd, none, F.lit(True)).collect()
@@ -290,6 +304,30 @@ def test_shard_counts_add_up(counts, size):
     assert before.tolist() == counts
 
 
+def test_draws_follow_the_hypergeometric_law():
+    counts, some, n = np.array([30, 0, 50, 20]), 40, 4000
+    drawn = np.array([mixing._draw(counts, some, np.random.default_rng([1, k])) for k in range(n)])
+    assert (drawn.sum(axis=1) == some).all() and (drawn <= counts).all() and (drawn >= 0).all()
+    total = counts.sum()
+    ways = [math.comb(30, k) * math.comb(total - 30, some - k) / math.comb(total, some) for k in range(31)]
+    seen, hoped = np.bincount(drawn[:, 0], minlength=31), np.array(ways) * n
+    common = hoped >= 5
+    assert ((seen - hoped)[common] ** 2 / hoped[common]).sum() < common.sum() + 5 * (2 * common.sum()) ** 0.5
+
+
+def test_draws_of_any_size():
+    counts = np.array([3 * 10**12, 7, 10**12, 0])
+    some, total = 2 * 10**12, 4 * 10**12 + 7
+    drawn = np.array([mixing._draw(counts, some, np.random.default_rng([2, k])) for k in range(400)])
+    assert (drawn.sum(axis=1) == some).all() and (drawn <= counts).all() and (drawn >= 0).all()
+    p = counts[0] / total
+    spread = (some * p * (1 - p) * (total - some) / (total - 1)) ** 0.5
+    strays = (drawn[:, 0] - some * p) / spread
+    assert abs(strays.mean()) < 0.25 and 0.8 < strays.std() < 1.2
+    assert mixing._draw(counts, total, np.random.default_rng(3)).tolist() == counts.tolist()
+    assert mixing._draw(counts, 0, np.random.default_rng(3)).tolist() == [0, 0, 0, 0]
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([10, 100, 0], [3, 1, 2], 90) == [20, 70, 0]
     assert sum(mixing.targets([10, 20, 30], [3, 1, 2], 90)) == pytest.approx(90)
