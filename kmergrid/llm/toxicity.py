@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,8 +25,8 @@ PRIOR = 2.0
 SIGNIFICANT = 3.0
 #: taken off every token's log-odds, so that segments end when nothing toxic follows
 DRIFT = 0.5
-#: size of the model: the words and stems with the surest log-odds
-FEATURES = 200_000
+#: up to so many words and stems with significant log-odds are broadcast; more are joined with the texts' words
+BROADCAST_FEATURES = 400_000
 #: a passage is significant if so few of its score are expected by chance in a clean text of the length
 EXPECTED = 0.01
 
@@ -142,22 +142,65 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 _SCANNED = "doc_id long, tokens long, segments array<struct<begin:long,end:long,score:double>>"
 
 
+def _segments(text: str | None, scores: dict[str, float]) -> tuple[int, list[dict]]:
+    """The number of tokens and the maximal segments in characters; ``scores`` has or makes up one for every word."""
+    low = (text or "").lower()
+    words = _WORDS.findall(low)
+    found = maximal_segments(np.fromiter(map(scores.__getitem__, words), np.float64, len(words)))
+    spans = [m.span() for m in _WORDS.finditer(low)] if found else []
+    return len(words), [{"begin": spans[b][0], "end": spans[e - 1][1], "score": s} for b, e, s in found]
+
+
+def _scanned(ids: pa.Array, rows: Sequence[tuple[int, list[dict]]]) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    return pa.record_batch([ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind)], names=["doc_id", "tokens", "segments"])
+
+
 def _scan(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     scores = _Lookup(model.value)
-    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     for batch in batches:
-        tokens, segments = [], []
-        for text in batch.column(1).to_pylist():
-            low = (text or "").lower()
-            words = _WORDS.findall(low)
-            row = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
-            found = maximal_segments(row)
-            if found:
-                spans = [m.span() for m in _WORDS.finditer(low)]
-                found = [{"begin": spans[b][0], "end": spans[e - 1][1], "score": s} for b, e, s in found]
-            tokens.append(len(words))
-            segments.append(found)
-        yield pa.record_batch([batch.column(0), pa.array(tokens, pa.int64()), pa.array(segments, kind)], names=["doc_id", "tokens", "segments"])
+        yield _scanned(batch.column(0), [_segments(t, scores) for t in batch.column(1).to_pylist()])
+
+
+def _scan_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Like :func:`_scan`, for rows that carry the scores of their words; a word without one is neutral."""
+    for batch in batches:
+        ids, texts, words, scores = (batch.column(k) for k in range(4))
+        rows = []
+        for text, w, s in zip(texts.to_pylist(), words.to_pylist(), scores.to_pylist(), strict=True):
+            rows.append(_segments(text, defaultdict(lambda: -DRIFT, zip(w or [], s or [], strict=True))))
+        yield _scanned(ids, rows)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each text, a text at a time."""
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = list(set(_WORDS.findall(text.lower())))
+            yield pa.record_batch([pa.array([key] * len(own), pa.string()), pa.array(own, pa.string())], names=["_text", "word"])
+
+
+def segments(docs: DataFrame, words: DataFrame, stems: DataFrame) -> DataFrame:
+    """``doc_id, tokens, segments`` of ``docs(doc_id, text)`` under ``words(word, score)`` and ``stems(stem, score)``.
+
+    A word has its own score, else its stem's, else that of a neutral one.  As many scores as a count shows to fit are
+    broadcast.  Beyond that the distinct words of each distinct text meet their scores in joins, and each text is
+    scanned beside the scores of its own words; the segments are the same.
+    """
+    spark: SparkSession = docs.sparkSession
+    bound = BROADCAST_FEATURES + 1
+    if words.limit(bound).count() + stems.limit(bound).count() < bound:
+        model = spark.sparkContext.broadcast(Scores(*({r[0]: r[1] for r in side.collect()} for side in (words, stems)), 1.0))
+        return docs.select("doc_id", "text").mapInArrow(functools.partial(_scan, model=model), _SCANNED)
+    keyed = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("_text"))
+    apart = (keyed.where("text is not null").select("_text", "text").dropDuplicates(["_text"])
+             .mapInArrow(_words, "_text string, word string").withColumn("stem", F.substring("word", 1, STEM)))
+    own = words.withColumnRenamed("score", "_own")
+    known = (apart.join(own, "word", "left").join(stems.withColumnRenamed("score", "_back"), "stem", "left")
+             .select("_text", "word", F.coalesce("_own", "_back").alias("_score")).where("_score is not null"))
+    sets = known.groupBy("_text").agg(F.collect_list(F.struct("word", "_score")).alias("_w"))
+    return (keyed.join(sets, "_text", "left").select("doc_id", "text", F.col("_w.word").alias("_words"), F.col("_w._score").alias("_scores"))
+            .mapInArrow(_scan_beside, _SCANNED))
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -199,8 +242,8 @@ def _curve(x: np.ndarray, hits: np.ndarray, misses: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def learn_words(labelled: DataFrame) -> tuple[Scores, int]:
-    """Token scores from ``labelled(text, toxic)``, and the number of toxic tokens.
+def learn_words(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """``words(word, score)``, ``stems(stem, score)`` and the rate of the extreme-value law from ``labelled(text, toxic)``.
 
     Counts are of the different texts with a word, over all rows: words that one text repeats, or that come in copies
     of one text, are no evidence of their own.
@@ -213,22 +256,23 @@ def learn_words(labelled: DataFrame) -> tuple[Scores, int]:
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     hits, misses = total["t"] or 0, total["c"] or 0
     if not hits or not misses:
-        return Scores({}, {}, 1.0), hits
+        spark = labelled.sparkSession
+        return spark.createDataFrame([], "word string, score double"), spark.createDataFrame([], "stem string, score double"), 1.0
     base = hits / (hits + misses)
     stem = F.substring("word", 1, STEM)
     stems = counts.groupBy(stem.alias("stem")).agg(F.sum("toxic").alias("_t"), F.sum("clean").alias("_c"))
     odds, error = _log_odds(F.col("_t"), F.col("_c"), F.lit(base), base)
     stems = materialize(stems.select("stem", ((F.col("_t") + PRIOR * base) / (F.col("_t") + F.col("_c") + PRIOR)).alias("_share"),
-                                     F.when(F.abs(odds / error) >= SIGNIFICANT, odds).otherwise(0.0).alias("_odds"), F.abs(odds / error).alias("_z")), "toxic-stems")
+                                     F.when(F.abs(odds / error) >= SIGNIFICANT, odds).otherwise(0.0).alias("_odds")), "toxic-stems")
     odds, error = _log_odds(F.col("toxic"), F.col("clean"), F.col("_share"), base)
     words = materialize(counts.withColumn("stem", stem).join(stems, "stem").select(
-        "word", "toxic", "clean", "_odds", F.abs(odds / error).alias("z"),
+        "word", "toxic", "clean", "_odds",
         F.when(F.abs(odds / error) >= SIGNIFICANT, odds).otherwise(F.col("_odds")).alias("odds")), "toxic-odds")
-    own = words.where("odds <> _odds").orderBy(F.desc("z"), "word").limit(FEATURES).select("word", "odds").collect()
-    back = stems.where("_odds <> 0").orderBy(F.desc("_z"), "stem").limit(FEATURES).select("stem", "_odds").collect()
+    own = words.where("odds <> _odds").select("word", (F.col("odds") - DRIFT).alias("score"))
+    back = stems.where("_odds <> 0").select("stem", (F.col("_odds") - DRIFT).alias("score"))
     bins = words.groupBy(F.round("odds", 2).alias("odds")).agg(F.sum("clean").alias("n")).where("n > 0").toPandas()
     rate = _rate(bins["n"].to_numpy(float), bins["odds"].to_numpy(float) - DRIFT)
-    return Scores({r[0]: r[1] - DRIFT for r in own}, {r[0]: r[1] - DRIFT for r in back}, rate), hits
+    return own, back, rate
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
@@ -247,14 +291,13 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("_learn"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    plain, _ = learn_words(beside(slim.where("_learn").select("doc_id", "text"), marks, ["doc_id"]))
-    model = spark.sparkContext.broadcast(plain)
-    scanned = materialize(slim.select("doc_id", "text").mapInArrow(functools.partial(_scan, model=model), _SCANNED), "toxic-segments")
+    words, stems, rate = learn_words(beside(slim.where("_learn").select("doc_id", "text"), marks, ["doc_id"]))
+    scanned = materialize(segments(slim, words, stems), "toxic-segments")
     trained = beside(scanned.join(slim.where("_learn").select("doc_id").distinct(), "doc_id", "left_semi"), marks, ["doc_id"])
     top = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
-    law = trained.where("toxic = 0 and tokens > 0").agg(F.avg(plain.rate * top - F.log("tokens")).alias("m")).first()["m"]
-    fitted = Scores(plain.words, plain.stems, plain.rate, (law if law is not None else 0.0) - 0.5772156649)
-    evidence = functools.partial(_evidence, model=spark.sparkContext.broadcast(Scores({}, {}, fitted.rate, fitted.scale)))
+    law = trained.where("toxic = 0 and tokens > 0").agg(F.avg(rate * top - F.log("tokens")).alias("m")).first()["m"]
+    fitted = Scores({}, {}, rate, (law if law is not None else 0.0) - 0.5772156649)
+    evidence = functools.partial(_evidence, model=spark.sparkContext.broadcast(fitted))
     kind = "doc_id long, evidence double, score double, passages array<struct<begin:long,end:long,evalue:double>>"
     bins = (trained.select("doc_id", "tokens", "segments", "toxic").select("doc_id", "tokens", "segments").mapInArrow(evidence, kind)
             .select("doc_id", F.round(F.col("evidence") * 4).alias("bin")).distinct()
