@@ -31,11 +31,11 @@ from ..operators.kmers import kmers, windows
 from ..operators.numbering import renumber
 from ..session import materialize, scratch_dir, spread
 from ..sinks.drawing import branches
-from ..sinks.tables import write_matrix
+from ..sinks.tables import write_bucketed_lca, write_matrix
 from ..sources import newick_table
 from ..sources import sequences as src
 from ..sources.paths import qualify
-from ..sources.tables import read_matrix
+from ..sources.tables import read_bucketed_lca, read_matrix
 from . import workflows as W
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +47,7 @@ KMER = 21
 SOURCE_SKETCH = 1000
 DOC_SKETCH = 64
 QUERY_SKETCH = 200
+TREE_BUCKETS = 32
 DIGITS = 9
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -746,6 +747,16 @@ def query_node_counts(spark, sf):
     return C.node_counts(item_hits(spark, sf, document_tree(spark, sf)))
 
 
+@query
+def query_bucketed(spark, sf):
+    # the tree's hashes stay in their buckets; only the queries are shuffled
+    tree = document_tree(spark, sf)
+    path = f"{scratch_dir(spark).rstrip('/')}/bucketed-{uuid.uuid4().hex}"
+    write_bucketed_lca(C.kmer_lca(doc_sketch(spark, sf), tree), path, TREE_BUCKETS)
+    queries = C.trim(K.build_sketches(items(spark, sf), assembly(QUERY_SKETCH)), DOC_SKETCH)
+    return C.node_counts(C.hits(queries, read_bucketed_lca(spark, path, TREE_BUCKETS)))
+
+
 @query
 def query_explained(spark, sf):
     e = C.explained(item_hits(spark, sf, document_tree(spark, sf)))

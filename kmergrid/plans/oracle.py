@@ -469,6 +469,7 @@ oracle("tree_metrics", """SELECT t.node_id AS id, coalesce(t.name, '') AS name,
 
 oracle("query_trim", "SELECT sample, hash FROM item_trim")
 oracle("query_node_counts", "SELECT sample, node_id, cnt FROM hit WHERE node_id IS NOT NULL")
+oracle("query_bucketed", "SELECT sample, node_id, cnt FROM hit WHERE node_id IS NOT NULL")
 oracle("query_explained", "SELECT sample, total, found, round(found::DOUBLE / total, 9) AS explained FROM share")
 CTES["short_trim"] = (f"SELECT sample, hash FROM (SELECT sample, hash, row_number() OVER (PARTITION BY sample "
                       f"ORDER BY hash) AS rn FROM short_sk) WHERE rn <= {S_DOC}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,17 @@ def write_kmer_tree(tree: DataFrame, lca: DataFrame, meta: DataFrame, path: str,
     meta.write.mode(mode).parquet(f"{root}/tree_meta")
 
 
+def write_bucketed_lca(lca: DataFrame, path: str, buckets: int) -> None:
+    """The hash table of a k-mer tree in ``buckets`` files by hash, each sorted, for :func:`~.sources.tables.read_bucketed_lca`.
+
+    Queries then come to the tree: a join by hash shuffles the query sketches alone.  A bucket is one task of that
+    join, so their number should leave some hundred MB to each.
+    """
+    spark, name = lca.sparkSession, f"kmer_lca_{uuid.uuid4().hex}"
+    lca.repartition(buckets, "hash").write.bucketBy(buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files of an external table stay
+
+
 def write_report(df: DataFrame, path: str, *order, header: bool = True, by: str | None = None,
                  mode: str = "errorifexists") -> None:
     """A TSV report in the given order; ``by`` puts each of its values in a folder of its own."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +123,18 @@ def read_kmer_tree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return tuple(spark.read.parquet(f"{root}/{part}") for part in ("tree", "kmer_lca", "tree_meta"))
 
 
+def read_bucketed_lca(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """``hash, node_id`` of files that were written with the same number of buckets.
+
+    Spark knows buckets from its catalog only, so the folder is entered there under a name of its own.  The hint keeps
+    the planner from broadcasting or hashing a small tree; a merge join takes the buckets as they lie.
+    """
+    name = f"kmer_lca_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (hash INT, node_id INT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) "
+              f"INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name).hint("merge")
+
+
 def sketch_map(paths: DataFrame) -> DataFrame:
     """``stem, path``: stored sketches by file stem, which must be unique."""
     from ..functions.text import file_stem
