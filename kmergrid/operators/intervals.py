@@ -20,12 +20,12 @@ def _range(start: Column, stop: Column, level: int) -> Column:
     return F.transform(listed, lambda x: F.struct(F.lit(level).alias("level"), x.alias("block")))
 
 
-def _blocks(lo: Column, hi: Column) -> Column:
+def _blocks(lo: Column, hi: Column, sizes: int) -> Column:
     parts: list[Column] = []
-    for level in range(SIZES + 1):
+    for level in range(sizes + 1):
         size = RADIX ** level
         start, stop = F.ceil(lo / size).cast("long"), F.floor((hi + 1) / size).cast("long")
-        if level == SIZES:
+        if level == sizes:
             parts.append(_range(start, stop, level))
             continue
         # what the next size covers is left to it
@@ -36,15 +36,16 @@ def _blocks(lo: Column, hi: Column) -> Column:
     return F.concat(*parts)
 
 
-def interval_join(positions: DataFrame, intervals: DataFrame) -> DataFrame:
+def interval_join(positions: DataFrame, intervals: DataFrame, sizes: int = SIZES, few: bool = False) -> DataFrame:
     """All pairs of ``positions(pos, ...)`` and ``intervals(lo, hi, ...)`` with ``lo <= pos <= hi``, for numbers from 0 on.
 
-    Columns are those of both without ``lo`` and ``hi``; the two sides may share no other name.
+    Columns are those of both without ``lo`` and ``hi``; the two sides may share no other name.  ``few`` says that the
+    positions were checked to fit a broadcast; then nothing is shuffled and blocks may be larger, ``sizes`` of them.
     """
     own = [c for c in intervals.columns if c not in ("lo", "hi")]
-    cut = intervals.select(*own, F.explode(_blocks(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("__b")) \
+    cut = intervals.select(*own, F.explode(_blocks(F.col("lo").cast("long"), F.col("hi").cast("long"), sizes)).alias("__b")) \
         .select(*own, F.col("__b.level").alias("__level"), F.col("__b.block").alias("__block"))
-    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("pos") / RADIX ** k).cast("long").alias("block")) for k in range(SIZES + 1)))
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("pos") / RADIX ** k).cast("long").alias("block")) for k in range(sizes + 1)))
     placed = positions.select("*", F.explode(levels).alias("__b")).select(*positions.columns, F.col("__b.level").alias("__level"), F.col("__b.block").alias("__block"))
     # the planner takes an exploded side for as small as its input and would broadcast it
-    return placed.hint("merge").join(cut, ["__level", "__block"]).drop("__level", "__block")
+    return placed.hint("broadcast" if few else "merge").join(cut, ["__level", "__block"]).drop("__level", "__block")

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS
+from ..session import BROADCAST_ROWS, materialize
 from .contraction import midpoints
-from .intervals import interval_join
+from .intervals import SIZES, interval_join
 
 TREE_SCHEMA = ("node_id int, parent_id int, left_id int, right_id int, is_leaf boolean, name string, "
                "dist double, depth int, lo int, hi int")
@@ -252,6 +252,22 @@ def cumulative(counts: DataFrame, tree: DataFrame, groups: DataFrame, group: str
     return interval_sums(points, every.join(spans, "__s").drop("__s"), [group])
 
 
+#: sizes of blocks beyond single ids that hold any int
+ALL_SIZES = 7
+
+
+def sums_below(counts: DataFrame, tree: DataFrame, group: str = "sample") -> DataFrame:
+    """``group, node_id, total``: own count plus all counts below, for the nodes that have a count in their subtree.
+
+    The same totals as :func:`cumulative` without its zeros: every count is handed to its ancestors, so the work is that
+    of the rows returned and of one look at each node, not groups times nodes.
+    """
+    points = materialize(counts.select(group, F.col("node_id").cast("long").alias("pos"), "cnt"), "points")
+    few = points.count() * (ALL_SIZES + 1) <= BROADCAST_ROWS
+    above = interval_join(points, tree.select("node_id", "lo", "hi"), ALL_SIZES if few else SIZES, few)
+    return above.groupBy(group, "node_id").agg(F.sum("cnt").cast("double").alias("total"))
+
+
 def range_maximum(values: DataFrame, ranges: DataFrame, positions: int) -> DataFrame:
     """``id, val``: the largest ``values(pos, val)`` inside each of ``ranges(id, lo, hi)``, for positions from 0 on.
 

@@ -98,7 +98,7 @@ def test_pooled_query_counts_each_sketch(spark, lca):
 
 
 @pytest.mark.parametrize("seed,n", [(1, 2), (2, 9), (3, 24)])
-def test_random_trees_against_recursion(spark, seed, n):
+def test_random_trees_against_recursion(spark, monkeypatch, seed, n):
     rng = random.Random(seed)
     names = [f"t{i}" for i in range(n)]
     text = random_newick(rng, names)
@@ -135,6 +135,26 @@ def test_random_trees_against_recursion(spark, seed, n):
     groups = spark.createDataFrame([("q",), ("r",), ("none",)], "sample string")
     want = sorted((s, i, float(sum(counts.get((s, d), 0) for d in below(i)))) for s in ("q", "r", "none") for i in nodes)
     assert rows(T.cumulative(cdf, tree, groups)) == want
+    # the sums without zeros, by broadcast and by shuffle, and the report that lists the zeros again
+    sparse = [w for w in want if w[2] > 0]
+    assert [r for r in rows(T.sums_below(cdf, tree)) if r[2] > 0] == sparse
+    monkeypatch.setattr(T, "BROADCAST_ROWS", 0)
+    assert [r for r in rows(T.sums_below(cdf, tree)) if r[2] > 0] == sparse
+    monkeypatch.setattr(C, "REPORT_BLOCK", 2)
+    hit = cdf.selectExpr("sample", "node_id", "cast(cnt as bigint) cnt").unionByName(
+        spark.createDataFrame([("none", None, 0), ("q", None, 4)], "sample string, node_id int, cnt bigint"))
+    whole = {s: sum(c for (x, _), c in counts.items() if x == s) + 4 * (s == "q") for s in ("q", "r", "none")}
+    share = sorted((s, i, t / whole[s] if whole[s] else 0.0) for s, i, t in want)
+    assert rows(C.node_report(hit, tree).select("sample", "id", "weight")) == share
+    assert rows(C.largest_shares(hit, tree)) == sorted((i, max(w for _, j, w in share if j == i)) for i in nodes)
+    assert C.largest_shares(hit.limit(0), tree).count() == 0
+
+
+def test_report_shuffles_nodes_not_rows(spark, tree, lca):
+    """Queries times nodes rows must not be made before the last shuffle."""
+    hit = C.hits(sketch(spark, {"Q": {1, 2, 4, 9}, "R": {1}}), lca)
+    plan = C.node_report(hit, tree)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.index("explode(__samples") < plan.index("Exchange")
 
 
 def test_missing_sketch_keeps_leaf(spark, tree):
