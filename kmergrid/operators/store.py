@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import SketchConfig
 from ..functions import murmur
 from ..session import BROADCAST_ROWS, materialize
-from .kmers import kmers
+from .kmers import kmer_counts
 from .sketch import INT_MAX, bottom, build_sketches, hash_counts, sample_sizes, to_sketch, well_covered
 
 #: settings that summaries must share to be merged
@@ -56,8 +56,7 @@ def summarize(sequences: DataFrame, config: SketchConfig) -> tuple[DataFrame, Da
     bound = F.when(F.col("__n") == config.sketch_size, F.col("__top")).otherwise(F.lit(INT_MAX))
     bounds = materialize(sizes.join(full, "sample", "left").select(
         "sample", bound.alias("bound"), "n_bases", *(F.lit(v).alias(k) for k, v in _settings(config).items())), "bounds")
-    hashed = kmers(_bounded(sequences.select("sample", "seq"), bounds), config.kmer_size, keep=("sample", "bound"))
-    counts = hash_counts(hashed.where(F.col("hash") <= F.col("bound")))
+    counts = hash_counts(kmer_counts(_bounded(sequences.select("sample", "seq"), bounds), config.kmer_size, "bound"))
     return materialize(counts.select("sample", "hash", "cnt", "km"), "counts"), bounds
 
 

@@ -78,6 +78,39 @@ def test_hash_filter_plans_quickly(spark):
     assert out.count() == sum(h <= 0 for _, h in brute("ACGT" * 30, 21))
 
 
+def test_counts_of_pieces_add_up(spark, monkeypatch):
+    """Counts, smallest k-mers and the smallest hashes of a sample, whatever pieces its records are read in."""
+    from kmergrid.functions import hashing
+    from kmergrid.operators.kmers import kmer_counts
+    monkeypatch.setattr(hashing, "SLICE", 64)
+    rng = random.Random(5)
+    seqs = [("ab"[i % 2], "".join(rng.choices("ACGTN", weights=[9, 9, 9, 9, 1], k=rng.randrange(60)))) for i in range(40)] + [(None, "ACGTACC"), ("c", None), ("c", "")]
+    df = spark.createDataFrame(seqs, "sample string, seq string")
+    want = {}
+    for sample, seq in seqs:
+        for text, h in brute(seq or "", 4):
+            n, least = want.get((sample, h), (0, text))
+            want[sample, h] = n + 1, min(least, text)
+
+    def added(counts):
+        got = counts.groupBy("sample", "hash").agg(F.sum("cnt").alias("n"), F.min("km").alias("km")).select("sample", "hash", "n", S.unpack(F.col("km"), 4))
+        return {(r[0], r[1]): (r[2], r[3]) for r in got.collect()}
+
+    assert added(kmer_counts(df, 4)) == want
+    low = {s: sorted(h for x, h in want if x == s)[:7] for s in {s for s, _ in want}}
+    least = added(kmer_counts(df, 4, least=7))
+    assert all(least[s, h] == want[s, h] for s in low for h in low[s])
+    small = added(kmer_counts(df.withColumn("top", F.lit(0)), 4, "top"))
+    assert small == {k: v for k, v in want.items() if k[1] <= 0}
+
+
+def test_hashing_plan_has_no_text_functions_by_window(spark):
+    """Windows are hashed in the task that reads the text: no row per window is made before."""
+    df = spark.createDataFrame([("s", "ACGT" * 30)], "sample string, seq string")
+    plan = kmers(df, 21, bound=None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") <= 1 and "conv(" not in plan
+
+
 def test_encode_and_reverse_complement(spark):
     df = spark.createDataFrame([("acgtn",), ("RYK",), ("AACGN",)], "s string")
     got = df.select(S.encode_sequence(F.col("s")), S.reverse_complement(S.encode_sequence(F.col("s")))).collect()
