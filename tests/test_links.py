@@ -137,3 +137,18 @@ def test_dendrogram_is_the_one_that_union_find_gives(spark, kind, n, block):
         nodes = sorted(D.dendrogram(table, block).collect())
         assert [r["height"] for r in nodes] == sorted(e[2] for e in edges) and nodes[-1]["members"] == n
         assert all(r["left_name"] < r["right_name"] for r in nodes) and [r["parent"] for r in nodes].count(None) == 1
+
+
+@pytest.mark.parametrize("seed,jaccard", [(1, False), (2, True), (3, False), (4, False)])
+def test_spanning_tree_of_sketches_is_that_of_all_pairs(spark, seed, jaccard):
+    """Copies, sketches that begin alike, sketches that share nothing; by join and by grid."""
+    from kmergrid.config import DistanceConfig
+    from kmergrid.operators import distance
+    rng = random.Random(seed)
+    pool = [sorted(rng.sample(range(60 if seed < 4 else 12), rng.randrange(1, 7))) for _ in range(7)]
+    pool += [pool[0][:2], [*pool[1], 70]]
+    sketches = {f"s{i}": rng.choice(pool) for i in range(16)}
+    table = spark.createDataFrame([(n, h) for n, s in sketches.items() for h in s], "sample string, hash int")
+    config = DistanceConfig(5, jaccard)
+    want = rows(linkage.spanning_tree(distance.pairwise(table, config)))
+    assert len(want) == 15 and rows(linkage.sketch_spanning_tree(table, config)) == want
