@@ -10,6 +10,10 @@ from kmergrid.session import materialize
 #: samples of a fingerprint; the likeness of two is off by 1 / (2 * sqrt(SAMPLES)) at most, in standard deviations
 SAMPLES = 48
 
+#: samples that one row works out, so that a hash table is asked once for all of them; the JVM does not compile methods of
+#: more than 8,000 bytes, which eight at once would take
+_AT_ONCE = 4
+
 _BITS = 21
 
 
@@ -18,10 +22,14 @@ def _uniform(bits: Column, part: int) -> Column:
     return (F.shiftrightunsigned(bits, part * _BITS).bitwiseAND(F.lit((1 << _BITS) - 1)) + 0.5) / float(1 << _BITS)
 
 
+#: tells texts apart: whether the row has an id, the id (0 for none) and a hash of the text
+_KEY = ["known", "id", "text_key"]
+
+
 def samples(weights: DataFrame, count: int = SAMPLES) -> DataFrame:
-    """The samples of two sets of weighted terms per document: ``doc_id, k, own, edited``, a long for each set.
+    """The samples of two sets of weighted terms per document: its key, ``own, edited``, ``count`` longs for each set.
 
-    ``weights(doc_id, term, own, edited)`` has a weight for each term and set, 0 for none.  For every term and sample
+    ``weights(known, id, text_key, term, own, edited)`` has a weight for each term and set, 0 for none.  For every term and sample
     two gamma(2, 1) numbers ``r`` and ``c`` and a uniform ``b`` come from hashes; with ``t = floor(ln w / r + b)`` the
     term with the least ``ln c - r * (t - b) - r`` is drawn, together with ``t``.  Two sets of weights draw the same
     with the probability of their generalised Jaccard similarity, the sum of minima over the sum of maxima.
@@ -34,21 +42,27 @@ def samples(weights: DataFrame, count: int = SAMPLES) -> DataFrame:
 
     entries = F.when(F.col("own") == F.col("edited"), F.array(entry("own", True, True))).otherwise(
         F.array(entry("own", True, False), entry("edited", False, True)))
-    drawn = (weights.select("doc_id", "term", F.explode(entries).alias("e")).select("doc_id", "term", "e.*").where("w > 0")
-             .withColumn("_log", F.log("w")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-             .withColumn("_h", F.xxhash64("term", "k")).withColumn("_i", F.xxhash64("_h"))
-             .withColumn("_r", -F.log(_uniform(F.col("_h"), 0) * _uniform(F.col("_h"), 1)))
-             .withColumn("_b", _uniform(F.col("_h"), 2)).withColumn("_t", F.floor(F.col("_log") / F.col("_r") + F.col("_b"))))
-    r, t = F.col("_r"), F.col("_t")
-    c = F.log(-F.log(_uniform(F.col("_i"), 0) * _uniform(F.col("_i"), 1)))
-    order = F.floor((c - r * (t - F.col("_b")) - r + 128.0) * float(1 << 23)).cast("long")
-    seal = F.col("_h").bitwiseXOR(t * 2654435769).bitwiseAND(F.lit(0xFFFFFFFF))
-    return (drawn.withColumn("_draw", F.shiftleft(order, 32).bitwiseOR(seal)).groupBy("doc_id", "k")
-            .agg(*(F.min(F.when(F.col(f"in_{x}"), F.col("_draw"))).alias(x) for x in ("own", "edited"))))
-
-
-#: tells texts apart: whether the row has an id, the id (0 for none) and a hash of the text
-_KEY = ["known", "id", "text_key"]
+    runs = range(_AT_ONCE)
+    drawn = (weights.select(*_KEY, "term", F.explode(entries).alias("e")).select(*_KEY, "term", "e.*").where("w > 0")
+             .withColumn("_log", F.log("w")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit((count - 1) // _AT_ONCE))))
+             .withColumns({f"_h{j}": F.xxhash64("term", F.col("g") * _AT_ONCE + j) for j in runs})
+             .withColumns({f"_i{j}": F.xxhash64(f"_h{j}") for j in runs})
+             .withColumns({f"_r{j}": -F.log(_uniform(F.col(f"_h{j}"), 0) * _uniform(F.col(f"_h{j}"), 1)) for j in runs})
+             .withColumns({f"_b{j}": _uniform(F.col(f"_h{j}"), 2) for j in runs})
+             .withColumns({f"_t{j}": F.floor(F.col("_log") / F.col(f"_r{j}") + F.col(f"_b{j}")) for j in runs}))
+
+    def draw(j: int) -> Column:
+        h, i, r, b, t = (F.col(f"_{x}{j}") for x in "hirbt")
+        c = F.log(-F.log(_uniform(i, 0) * _uniform(i, 1)))
+        order = F.floor((c - r * (t - b) - r + 128.0) * float(1 << 23)).cast("long")
+        seal = h.bitwiseXOR(t * 2654435769).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftleft(order, 32).bitwiseOR(seal)
+
+    least = (drawn.withColumns({f"_draw{j}": draw(j) for j in runs}).groupBy(*_KEY, "g")
+             .agg(*(F.min(F.when(F.col(f"in_{x}"), F.col(f"_draw{j}"))).alias(f"{x}{j}") for x in ("own", "edited") for j in runs)))
+    parts = F.sort_array(F.collect_list(F.struct("g", *(F.array(*(f"{x}{j}" for j in runs)).alias(x) for x in ("own", "edited")))))
+    return least.groupBy(*_KEY).agg(parts.alias("s")).select(
+        *_KEY, *(F.slice(F.flatten(f"s.{x}"), 1, count).alias(x) for x in ("own", "edited")))
 
 
 def neighbours(texts: DataFrame) -> DataFrame:
@@ -97,22 +111,22 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     texts = given.groupBy(*_KEY).agg(F.min("text").alias("text"))
     whole = texts.join(ring, _KEY)
     heads = whole.select(*(F.col(f"before.{c}").alias(c) for c in _KEY), F.expr("substring(text, 1, cast(before.n div 3 as int))").alias("head"))
-    both = (whole.select(*_KEY, "node", "text", "n").join(heads, _KEY)
-            .select(F.col("node").alias("doc_id"), "text", F.concat(F.expr("substring(text, 1, cast(n - n div 3 as int))"), "head").alias("edited")))
+    # dealt by their keys once, the texts' words, weights and samples stay where the texts are
+    both = (whole.select(*_KEY, "text", "n").join(heads, _KEY)
+            .select(*_KEY, "text", F.concat(F.expr("substring(text, 1, cast(n - n div 3 as int))"), "head").alias("edited")))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"))))
-    words = (both.select("doc_id", kinds.alias("t"))
-             .select("doc_id", "t.kind", F.explode(F.split(F.lower("t.text"), r"\s+")).alias("word")).where("word <> ''"))
-    weights = (words.groupBy("doc_id", F.xxhash64("word").alias("term"))
+    words = (both.select(*_KEY, kinds.alias("t"))
+             .select(*_KEY, "t.kind", F.explode(F.split(F.lower("t.text"), r"\s+")).alias("word")).where("word <> ''"))
+    weights = (words.groupBy(*_KEY, F.xxhash64("word").alias("term"))
                .agg(F.sum(1 - F.col("kind")).cast("double").alias("own"), F.sum("kind").cast("double").alias("edited")))
-    drawn = (samples(weights, count).groupBy("doc_id")
-             .agg(F.sort_array(F.collect_list(F.struct("k", "own", "edited"))).alias("s")))
-    seal = both.select("doc_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    drawn = samples(weights, count)
+    seal = both.select(*_KEY, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
 
     def of(name: str) -> Column:
-        return F.when(F.col("s").isNotNull(), F.array_join(F.transform("s", lambda x: _hex(F.coalesce(x[name], F.lit(0)))), "")).otherwise("0" * 8 * count)
+        return F.when(F.col(name).isNotNull(), F.array_join(F.transform(name, lambda x: _hex(F.coalesce(x, F.lit(0)))), "")).otherwise("0" * 8 * count)
 
-    places = ring.select(F.col("node").alias("doc_id"), F.when(F.col("known"), F.col("id")).alias("given_id"), "n", "rows", F.col("next.node").alias("next_id"))
-    made = materialize(places.join(seal, "doc_id").join(drawn, "doc_id", "left").select(
+    places = ring.select(*_KEY, F.col("node").alias("doc_id"), F.when(F.col("known"), F.col("id")).alias("given_id"), "n", "rows", F.col("next.node").alias("next_id"))
+    made = materialize(places.join(seal, _KEY).join(drawn, _KEY, "left").select(
         "doc_id", "given_id", F.col("n").alias("n_chars"), "rows", "next_id", "edited_sha256", of("own").alias("fingerprint"), of("edited").alias("edited_fingerprint")), "fingerprints")
     following = made.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("_next"))
     found = made.join(following, "next_id").select(

@@ -581,3 +581,20 @@ def test_fingerprints_keep_every_row(spark):
     heads = {hashlib.sha256(("last of th" + t[:5]).encode()).hexdigest() for t in ("a b c d e f", "other words of one id")}
     assert second["edited_sha256"] in heads  # the next one has id 1
     assert len({r["fingerprint"] for r in made if r["n_chars"] == 11}) == 1
+
+
+def test_words_and_samples_stay_where_their_text_is(spark, monkeypatch):
+    plain, plans = fingerprint.materialize, []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(fingerprint, "materialize", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fingerprint.fingerprints(documents(spark, [(i, f"a b c d{i}", "en", "a") for i in range(20)]), 8).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"Exchange hashpartitioning\((.*)\)", plans[-1])
+    assert dealt and not [by for by in dealt if re.search(r"\b(term|g|k|word|_groupingexpression)#", by)]
