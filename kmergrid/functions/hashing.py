@@ -97,8 +97,8 @@ def kmer_hashes(pieces: list[np.ndarray], k: int) -> np.ndarray:
     return h.view(np.int32)
 
 
-def window_hashes(frags: pa.Array, k: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """``row, pieces, hash`` of every window without a byte other than ``ACGT``, canonical k-mers in packed pieces.
+def canonical_windows(frags: pa.Array, k: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """``row, pieces, forward`` of every window without a byte other than ``ACGT``: canonical k-mers in packed pieces, and whether the window is its own.
 
     Every fragment ends in another byte, so no window reaches into the next one.
     """
@@ -106,7 +106,7 @@ def window_hashes(frags: pa.Array, k: int) -> tuple[np.ndarray, list[np.ndarray]
     raw = _CODES[np.frombuffer(frags.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]]]
     lengths = piece_lengths(k)
     if len(raw) < k:
-        return np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in lengths], np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in lengths], np.zeros(0, bool)
     strange = np.concatenate([[0], np.cumsum(raw > 3, dtype=np.int32)])
     valid = np.flatnonzero(strange[k:] == strange[:-k])
     codes = (raw & 3).astype(np.uint64)
@@ -115,17 +115,41 @@ def window_hashes(frags: pa.Array, k: int) -> tuple[np.ndarray, list[np.ndarray]
     forward = [fwd[n][valid + s] for n, s in zip(lengths, starts)]
     backward = [rev[n][valid + (k - s - n)] for n, s in zip(lengths, starts)]
     if len(lengths) == 1:
-        pieces = [np.minimum(forward[0], backward[0])]
+        pieces, own = [np.minimum(forward[0], backward[0])], forward[0] <= backward[0]
     else:
         smaller, same = np.zeros(len(valid), bool), np.ones(len(valid), bool)
         for f, b in zip(forward, backward):
             smaller |= same & (f < b)
             same &= f == b
-        pieces = [np.where(smaller, f, b) for f, b in zip(forward, backward)]
+        pieces, own = [np.where(smaller, f, b) for f, b in zip(forward, backward)], smaller | same
     row = np.searchsorted(offsets - offsets[0], valid, side="right") - 1
+    return row, pieces, own
+
+
+def window_hashes(frags: pa.Array, k: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """``row, pieces, hash`` of the windows of :func:`canonical_windows`."""
+    row, pieces, _ = canonical_windows(frags, k)
     return row, pieces, kmer_hashes(pieces, k)
 
 
+def first_and_last(row: np.ndarray, pieces: list[np.ndarray], starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The smallest and the largest of the packed k-mers of each run of equal ``row`` that begins at one of ``starts``."""
+    if len(pieces) == 1:
+        return [np.minimum.reduceat(pieces[0], starts)], [np.maximum.reduceat(pieces[0], starts)]
+    order = np.lexsort([*reversed(pieces), row])
+    ends = np.append(starts[1:], len(row)) - 1
+    return [p[order[starts]] for p in pieces], [p[order[ends]] for p in pieces]
+
+
+def largest_window(data: np.ndarray, k: int) -> bytes:
+    """The window of ``k`` bytes that comes last in their order."""
+    at = np.arange(len(data) - k + 1)
+    for i in range(k):
+        letters = data[at + i]
+        at = at[letters == letters.max()]
+    return data[at[0]:at[0] + k].tobytes()
+
+
 def texts(pieces: list[np.ndarray], k: int) -> pa.Array:
     """Packed pieces back to text."""
     shifts = [np.arange(2 * n - 2, -1, -2, dtype=np.uint64) for n in piece_lengths(k)]

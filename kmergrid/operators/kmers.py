@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import murmur
 from ..functions import sequence as S
-from ..functions.hashing import counted, slices, texts, window_hashes
+from ..functions.hashing import canonical_windows, counted, first_and_last, largest_window, slices, texts, window_hashes
 
 #: windows per chunk; a chunk carries ``k - 1`` extra bases of overlap
 CHUNK_WINDOWS = 8192
@@ -45,14 +45,70 @@ def windows(sequences: DataFrame, k: int, keep: Sequence[str] = ("sample",), chu
     The plain view of a sequence; :func:`kmers` is the fast path.  Records are cut into overlapping chunks here, too.
     """
     keep = list(keep)
-    encoded = sequences.select(*keep, S.encode_sequence(F.col("seq")).cast("binary").alias("__b")).where(F.length("__b") >= k)
-    cut = encoded.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("__b") - F.lit(k - 1), F.lit(chunk))))
-    cut = cut.select(*keep, "__at", F.substring("__b", F.col("__at"), F.lit(chunk + k - 1)).alias("__c"))
+    cut = _encoded_chunks(sequences, k, keep, chunk)
     at = cut.withColumn("__i", F.explode(F.sequence(F.lit(1), F.length("__c") - F.lit(k - 1))))
     return at.select(*keep, (F.col("__at") + F.col("__i") - 2).alias("pos"),
                      F.substring("__c", F.col("__i"), F.lit(k)).cast("string").alias("kmer"))
 
 
+def _encoded_chunks(sequences: DataFrame, k: int, keep: Sequence[str], chunk: int) -> DataFrame:
+    """``keep..., __at, __c``: overlapping chunks of encoded sequences as bytes, with their 1-based position."""
+    encoded = sequences.select(*keep, S.encode_sequence(F.col("seq")).cast("binary").alias("__b")).where(F.length("__b") >= k)
+    cut = encoded.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("__b") - F.lit(k - 1), F.lit(chunk))))
+    return cut.select(*keep, "__at", F.substring("__b", F.col("__at"), F.lit(chunk + k - 1)).alias("__c"))
+
+
+def window_summary(sequences: DataFrame, k: int, by: str, chunk: int = CHUNK_WINDOWS) -> DataFrame:
+    """``by, n_windows, n_valid, pos_sum, last_kmer`` over the rows of :func:`windows`, which are summed up chunk by chunk in the task.
+
+    Counted are all windows and those without an unknown base, of which the positions are added up; ``last_kmer`` is
+    the last of all as text.
+    """
+    cut = _encoded_chunks(sequences, k, [by], chunk)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, valids, sums, last = [], [], [], []
+            for at, part in zip(batch.column("__at").to_pylist(), batch.column("__c").to_pylist(), strict=True):
+                data = np.frombuffer(part, np.uint8)
+                unknown = np.concatenate([[0], np.cumsum(data == ord("N"))])
+                valid = np.flatnonzero(unknown[k:] == unknown[:-k])
+                counts.append(len(data) - k + 1)
+                valids.append(len(valid))
+                sums.append(int(valid.sum()) + (at - 1) * len(valid) if len(valid) else None)
+                last.append(largest_window(data, k).decode())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(by), pa.array(counts, pa.int64()), pa.array(valids, pa.int64()), pa.array(sums, pa.int64()), pa.array(last, pa.string())],
+                names=[by, "n", "v", "p", "kmer"])
+
+    kind = cut.schema[by].dataType.simpleString()
+    parts = cut.mapInArrow(summed, f"`{by}` {kind}, n bigint, v bigint, p bigint, kmer string")
+    return parts.groupBy(by).agg(F.sum("n").alias("n_windows"), F.sum("v").alias("n_valid"), F.sum("p").alias("pos_sum"), F.max("kmer").alias("last_kmer"))
+
+
+def canonical_summary(sequences: DataFrame, k: int, by: str, chunk: int = CHUNK_WINDOWS) -> DataFrame:
+    """``by, n_forward, first_kmer, last_kmer`` over the canonical k-mers of all valid windows, summed up chunk by chunk in the task.
+
+    ``n_forward`` counts the windows that are their own canonical k-mer.
+    """
+    cut = _encoded_chunks(sequences, k, [by], chunk).select(by, F.concat("__c", F.lit(b"N")).alias("frag"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "frag"):
+                row, pieces, own = canonical_windows(part.column("frag"), k)
+                if len(row):
+                    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    first, last = first_and_last(row, pieces, starts)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(by).take(pa.array(row[starts])), pa.array(np.add.reduceat(own.astype(np.int64), starts)), texts(first, k), texts(last, k)],
+                        names=[by, "n", "first", "last"])
+
+    kind = cut.schema[by].dataType.simpleString()
+    parts = cut.mapInArrow(summed, f"`{by}` {kind}, n bigint, first string, last string")
+    return parts.groupBy(by).agg(F.sum("n").alias("n_forward"), F.min("first").alias("first_kmer"), F.max("last").alias("last_kmer"))
+
+
 def _chunks(sequences: DataFrame, k: int, keep: Sequence[str], chunk: int) -> DataFrame:
     """``keep..., frag``: overlapping chunks as bytes; one that is no base ends each, so that those of a batch can be read as one text."""
     bytes_ = sequences.select(*keep, F.upper("seq").cast("binary").alias("__b"))

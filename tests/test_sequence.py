@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from kmergrid.functions import sequence as S
-from kmergrid.operators.kmers import fragments, kmers, windows
+from kmergrid.operators.kmers import canonical_summary, fragments, kmers, window_summary, windows
+from kmergrid.plans import catalog
 
 # golden values: canonical k-mer and signed hash
 GOLDEN = [
@@ -133,3 +134,20 @@ def test_fragments_cover_each_window_once(spark):
     text = "ACGT", "ACGTACGTACGTAC"
     want = sorted(t[i:i + 4] for t in text for i in range(len(t) - 3))
     assert [g.translate(str.maketrans("0123", "ACGT")) for g in got] == want
+
+
+def test_windows_are_summed_up_where_they_are_read(spark):
+    texts = [(1, "ACGNACGTTGCA"), (1, "TTTTNNACG"), (2, "AC"), (3, "NNNN"), (None, "GATTACA"), (4, "ACGTTGCAACGGTACCATGGCATTGCACGTACGTTGACCATG")]
+    df = spark.createDataFrame(texts, "id long, seq string")
+    for k in (3, 35):
+        w = windows(df, k, ("id",))
+        valid = S.is_valid(F.col("kmer"))
+        plain = w.groupBy("id").agg(F.count("*"), F.count(F.when(valid, 1)), F.sum(F.when(valid, F.col("pos").cast("bigint"))), F.max("kmer"))
+        c = w.where(valid).select("id", "kmer", S.canonical(F.col("kmer")).alias("c"))
+        own = c.groupBy("id").agg(F.count(F.when(F.col("kmer") == F.col("c"), 1)), F.min("c"), F.max("c"))
+        for chunk in (2, 8192):
+            for got, want in ((window_summary(df, k, "id", chunk), plain), (canonical_summary(df, k, "id", chunk), own)):
+                assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    for name in ("kmer_windows", "canonical_kmers"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate") <= 1  # one for chunks, none for windows
