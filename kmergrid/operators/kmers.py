@@ -146,6 +146,26 @@ def kmers(sequences: DataFrame, k: int, keep: Sequence[str] = ("sample",),
     return frags.mapInArrow(hashed, schema)
 
 
+def hash_summary(sequences: DataFrame, k: int, chunk: int = CHUNK_WINDOWS) -> DataFrame:
+    """``sample, n, hash_sum, hash_min, hash_max`` over the hashes of all valid windows, summed up in the task that reads them."""
+    frags = _chunks(sequences, k, ["sample"], chunk)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "frag"):
+                row, _, hash_ = window_hashes(part.column("frag"), k)
+                if len(row):
+                    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    found = pa.table({"sample": part.column("sample").take(pa.array(row[starts])), "n": np.diff(np.append(starts, len(row))),
+                                      "s": np.add.reduceat(hash_, starts, dtype=np.int64), "low": np.minimum.reduceat(hash_, starts),
+                                      "high": np.maximum.reduceat(hash_, starts)})
+                    per = found.group_by("sample").aggregate([("n", "sum"), ("s", "sum"), ("low", "min"), ("high", "max")])
+                    yield from per.select(["sample", "n_sum", "s_sum", "low_min", "high_max"]).rename_columns(["sample", "n", "s", "low", "high"]).to_batches()
+
+    parts = frags.mapInArrow(summed, "sample string, n bigint, s bigint, low int, high int")
+    return parts.groupBy("sample").agg(F.sum("n").alias("n"), F.sum("s").alias("hash_sum"), F.min("low").alias("hash_min"), F.max("high").alias("hash_max"))
+
+
 def kmer_counts(sequences: DataFrame, k: int, bound: str | None = None, least: int | None = None) -> DataFrame:
     """``sample, km, hash, cnt``: occurrences of each hash with the smallest k-mer, added up as far as a task reads them together.
 

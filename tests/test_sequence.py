@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from kmergrid.functions import sequence as S
-from kmergrid.operators.kmers import canonical_summary, fragments, kmers, window_summary, windows
+from kmergrid.operators.kmers import canonical_summary, fragments, hash_summary, kmers, window_summary, windows
 from kmergrid.plans import catalog
 
 # golden values: canonical k-mer and signed hash
@@ -151,3 +151,12 @@ def test_windows_are_summed_up_where_they_are_read(spark):
     for name in ("kmer_windows", "canonical_kmers"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Generate") <= 1  # one for chunks, none for windows
+
+
+def test_hashes_are_summed_up_in_the_task(spark):
+    seqs = spark.createDataFrame([("a", "ACGTNACGGATTACAGATTACA"), ("b", "NNNN"), (None, "ACGTAACCGGTT" * 5), ("a", "GATTACA" * 9), ("c", None)], "sample string, seq string")
+    for k in (5, 35):
+        want = kmers(seqs, k, hash_only=True, chunk=7).groupBy("sample").agg(F.count(F.lit(1)), F.sum("hash"), F.min("hash"), F.max("hash"))
+        got = hash_summary(seqs, k, chunk=7)
+        assert sorted(map(str, got.collect())) == sorted(str(x) for x in want.toDF(*got.columns).collect())
+        assert got.columns == ["sample", "n", "hash_sum", "hash_min", "hash_max"]
