@@ -172,11 +172,13 @@ def lowest_common_ancestor(pairs: DataFrame, tree: DataFrame, small: bool = True
     """Add ``node_id``, the lowest common ancestor of all ids between ``lo_id`` and ``hi_id``.
 
     Two overlapping windows cover the range, so this is two equi-joins with the
-    window table.  ``small`` says the table was checked to fit a broadcast.
+    window table.  A range of one id is its own ancestor and joins nothing.
+    ``small`` says the table was checked to fit a broadcast.
     """
     table = range_minimum(tree)
     level = _level(F.col("hi_id") - F.col("lo_id") + 1)
-    keyed = pairs.withColumn("level", level)
+    alone = pairs.where("lo_id = hi_id").select(*pairs.columns, F.col("lo_id").alias("node_id"))
+    keyed = pairs.where("lo_id <> hi_id").withColumn("level", level)
     how = "broadcast" if small else "merge"
     left = table.select("level", F.col("start").alias("lo_id"), F.col("node_id").alias("__n1"),
                         F.col("depth").alias("__d1")).hint(how)
@@ -185,7 +187,7 @@ def lowest_common_ancestor(pairs: DataFrame, tree: DataFrame, small: bool = True
     keyed = keyed.withColumn("__s2", F.col("hi_id") - _power(F.col("level")) + 1)
     found = keyed.join(left, ["level", "lo_id"]).join(right, ["level", "__s2"])
     best = F.when(F.col("__d1") <= F.col("__d2"), F.col("__n1")).otherwise(F.col("__n2"))
-    return found.select(*pairs.columns, best.alias("node_id"))
+    return found.select(*pairs.columns, best.alias("node_id")).unionByName(alone)
 
 
 # --- sums and maxima over ranges of ids ---------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from kmergrid.config import SketchConfig
 from kmergrid.operators import sketch as K
+from kmergrid.operators.kmers import least_hashes
 from kmergrid.session import GROUP_LIMIT
 from test_sequence import brute
 
@@ -89,6 +90,17 @@ def test_both_plans_match_brute_force(spark, monkeypatch, config):
     assert rows(K.sketch_plan(df, config)) == want
 
 
+def test_sketches_of_small_samples_in_one_pass(spark):
+    # the hot sample has fewer hashes than its many windows promise, so it is counted in full
+    for config in (SketchConfig(11, 50, assembly=True, track_cov=True), SketchConfig(35, 30, assembly=True)):
+        seqs = make_sequences(config.kmer_size, hot=True)
+        df = spark.createDataFrame(seqs, "sample string, seq string").repartition(4)
+        want = expected(seqs, config)
+        assert rows(K.record_sketches(df, config)) == want
+        listed = least_hashes(df, config.kmer_size, config.sketch_size)
+        assert rows(listed) == sorted((s, [r[1] for r in want if r[0] == s]) for s in {r[0] for r in want})
+
+
 def test_bottom_is_pruned_before_each_shuffle(spark):
     before = spark.conf.get(GROUP_LIMIT, "1000")
     config = SketchConfig(21, 5000, assembly=True)

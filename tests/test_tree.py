@@ -206,3 +206,13 @@ def test_running_totals_are_cut_inside_a_group(spark):
     windows = re.findall(r"windowspecdefinition\(([^,]+), ([^,]+),", plan)
     # the only window over a whole group goes over its spans
     assert windows and all("__span" in part or "__span" in order for part, order in windows)
+
+
+def test_lists_of_hashes_have_the_ancestors_of_their_rows(spark):
+    tree = read_tree(spark, "((a:0.1,b:0.1):0.1,(c:0.1,d:0.1):0.1);")
+    table = sketch(spark, {"a": {1, 2, 3}, "b": {2, 3}, "c": {3, 4}, "d": {4, 5}})
+    listed = table.groupBy("sample").agg(C.F.collect_list("hash").alias("hashes"))
+    got = dict(rows(C.kmer_lca(listed, tree)))
+    at = {r.name: r.node_id for r in tree.collect()}
+    want = {1: at["a"], 2: (at["a"] + at["b"]) // 2, 3: 3, 4: (at["c"] + at["d"]) // 2, 5: at["d"]}
+    assert got == dict(rows(C.kmer_lca(table, tree))) == want
