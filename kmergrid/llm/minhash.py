@@ -236,6 +236,23 @@ def _beyond_hubs(apart: DataFrame, percent: int) -> DataFrame:
     return probe.join(index, ["hub", "x"]).where((F.col("a") != F.col("b")) & (left >= needed)).select("a", "n_a", "b", "n_b")
 
 
+def _common_hubs(spokes: DataFrame) -> DataFrame:
+    """``hub, to``: for hubs of which half the members at least also lie under a larger hub ``to``, that one.
+
+    Any text can stand for a hub in :func:`_beyond_hubs`, so members of several hubs need their differences from one only.
+    A larger hub has at most twice the shingles, as what it has and the members don't is in their differences too.  Pointers are
+    followed for one step; a hub that is still not at an end keeps its members.
+    """
+    sized = spokes.join(small(spokes.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"))), "hub").select("hub", "rep", "n_hub", "rows")
+    top = sized.groupBy("rep").agg(F.max(F.struct("rows", "hub", "n_hub")).alias("top"))
+    met = sized.join(top, "rep").where("hub <> top.hub and top.n_hub <= 2 * n_hub")
+    best = (met.groupBy("hub", "rows", F.col("top.hub").alias("to")).agg(F.count(F.lit(1)).alias("both")).where("2 * both >= rows")
+            .groupBy("hub").agg(F.max_by("to", F.struct("both", "to")).alias("to")))
+    best = materialize(best, "common_hubs").withColumnRenamed("hub", "a")
+    ends = _follow(best, small(best)).join(small(best.select(F.col("a").alias("to"))), "to", "left_anti")
+    return ends.select(F.col("a").alias("hub"), "to")
+
+
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
     """Each pair once, without those whose sizes differ too much for a link."""
     return (pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -247,7 +264,8 @@ def _links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     Every round takes the pairs of small buckets, and for a large bucket the member that shares most buckets as its hub.
     Members linked to a hub are done with each other; pairs of a linked and an unlinked one, or all further pairs where
-    hardly anybody is linked, come from :func:`_beyond_hubs`.  The unlinked members of the other hubs are the next
+    hardly anybody is linked, come from :func:`_beyond_hubs`; hubs of the latter kind that share members do so by one of
+    them (:func:`_common_hubs`).  The unlinked members of the other hubs are the next
     round's buckets, smaller by a sixteenth at least, so that each family of near copies gets a hub of its own.
     """
     def beside(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -255,6 +273,10 @@ def _links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             pairs = pairs.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)
         return pairs.select(a, b, f"text_{a}", f"text_{b}")
 
+    def compared(spokes: DataFrame) -> DataFrame:
+        return materialize(beside(spokes, "rep", "hub").select("hub", "rep", "text_hub", "text_rep").mapInArrow(
+            functools.partial(_differences, percent=percent), "hub long, rep long, n_hub long, n long, linked boolean, apart array<long>"), "spokes")
+
     near, stars = [], []
     while True:
         few = members.where(F.col("size") <= SMALL_BUCKET)
@@ -266,12 +288,19 @@ def _links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         hubs = large.join(central, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("score", "rep")).alias("hub"))
         beside_hub = materialize(large.join(hubs, "bucket").where("rep <> hub"), "beside_hub")
         spokes = beside_hub.select("hub", "rep").distinct()
-        apart = materialize(beside(spokes, "rep", "hub").select("hub", "rep", "text_hub", "text_rep").mapInArrow(
-            functools.partial(_differences, percent=percent), "hub long, rep long, n_hub long, n long, linked boolean, apart array<long>"), "spokes")
+        apart = compared(spokes)
         told = beside_hub.drop("size").join(apart.select("hub", "rep", "linked"), ["hub", "rep"])
-        share = materialize(told.groupBy("hub").agg(((F.avg(F.col("linked").cast("int")) >= STAR) & (F.countDistinct(F.when(~F.col("linked"), F.col("rep"))) >= FAMILY)).alias("goes_on")), "shares")
+        star, left = F.avg(F.col("linked").cast("int")) >= STAR, F.countDistinct(F.when(~F.col("linked"), F.col("rep"))) >= FAMILY
+        share = materialize(told.groupBy("hub").agg((star & left).alias("goes_on"), (~star).alias("lone")), "shares")
         apart = apart.join(small(share), "hub")
         stars.append(apart.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        moves = _common_hubs(apart.where("lone"))
+        if not moves.isEmpty():
+            moved = apart.join(small(moves), "hub").select(F.col("to").alias("hub"), "rep").where("hub <> rep").distinct()
+            more = compared(moved.join(apart.select("hub", "rep"), ["hub", "rep"], "left_anti"))
+            stars.append(more.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+            stay = apart.join(small(moves), "hub", "left_anti").drop("lone")
+            apart = stay.unionByName(more.withColumn("goes_on", F.lit(False)))
         near.append(_candidates(_beyond_hubs(apart, percent), percent))
         rest = told.where(~F.col("linked")).join(small(share.where("goes_on")), "hub").select("bucket", "rep", "n")
         sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

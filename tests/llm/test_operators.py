@@ -445,6 +445,31 @@ def test_related_families_do_not_meet_pair_by_pair(spark, monkeypatch):
         assert sum(asked) <= 20 * members  # a family alone has members ** 2 / 2 pairs, 4,050 of the larger ones
 
 
+def test_hubs_without_links_share_their_members(spark, monkeypatch):
+    rng, plain, rows = random.Random(12), minhash._beyond_hubs, []
+
+    def counted(apart, percent):
+        rows.append(apart.count())
+        return plain(apart, percent)
+
+    monkeypatch.setattr(minhash, "_beyond_hubs", counted)
+    texts = []
+    for i in range(120):  # pairs are alike by about 0.66, so many meet in buckets, and only each tenth has a near copy
+        copy = [f"w{k}" for k in range(200)]
+        for k in range(4):
+            copy[rng.randrange(200)] = f"z{i}x{k}"
+        texts.append(" ".join(copy))
+        if i % 10 == 0:
+            copy[rng.randrange(200)] = f"y{i}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    given = list(enumerate(texts))
+    df = documents(spark, [(i, t, "en", "a") for i, t in given])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute_components(given) and sum(i != c for i, (_, c) in got.items()) >= 12
+    assert sum(rows) <= 2 * len(given)
+
+
 def test_near_duplicates_of_odd_tables(odd, empty):
     got = {r["doc_id"]: r for r in minhash.near_duplicates(odd).collect()}
     assert {i: r["component_id"] for i, r in got.items()} == {i: i if i not in (7, 8) else 6 for i in range(1, 13)}
