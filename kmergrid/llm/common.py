@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -22,6 +23,9 @@ BUCKET_ROWS = 8192
 #: a side of at most so many rows of a few fixed-width columns is broadcast (some tens of MB)
 SMALL_ROWS = 200_000
 
+#: bytes of an Arrow batch inside :func:`small_batches`
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -101,6 +105,24 @@ def _give_back() -> None:
         trim(0)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Spark hands its Python tasks Arrow batches of at most :data:`BATCH_BYTES` (a longer row stands alone) in what runs inside.
+
+    By default a batch has up to 10,000 texts, and the task, its worker and the executor all hold it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def slices_of(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive rows whose texts in ``column`` have about ``size`` bytes; a longer text stands alone.
 

@@ -13,8 +13,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmergrid.llm.common import frugal, slices_of
-from kmergrid.llm.encoder import PART, encoder, forget
+from kmergrid.llm.common import frugal, slices_of, small_batches
+from kmergrid.llm.encoder import encoder, forget
 
 #: ids of a sequence, and sequences of a record batch
 LENGTH = 2048
@@ -118,7 +118,7 @@ def _write(batches: Iterator[pa.RecordBatch], out: str, path: str, end: int, len
     index_kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
     stop = np.array([end], enc.dtype).tobytes()
     index = None
-    for batch in (part_of for whole in batches for part_of in slices_of(whole, 1, PART)):
+    for batch in (part_of for whole in batches for part_of in slices_of(whole, 1)):
         ids, starts, counts = batch.column(0).to_pylist(), [], []
         for data in enc.encode([t or "" for t in batch.column(1).to_pylist()]):
             if writer is None:
@@ -154,8 +154,9 @@ def write_sequences(docs: DataFrame, out: str, path: str, end: int = 0, length:
     body = F.coalesce(F.col("text"), F.lit(""))
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
                .repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
-    written = ordered.mapInArrow(functools.partial(_write, out=out, path=path, end=end, length=length, rows=rows),
-                                 "part long, file string, docs long, tokens long").collect()
+    with small_batches(spark):
+        written = ordered.mapInArrow(functools.partial(_write, out=out, path=path, end=end, length=length, rows=rows),
+                                     "part long, file string, docs long, tokens long").collect()
     base, listed = 0, []
     for r in sorted(written, key=lambda r: r["part"]):
         listed.append((r["file"], r["docs"], r["tokens"], base))

@@ -160,6 +160,22 @@ def test_encoder_knows_added_tokens(encoder):
     assert all(50256 not in plain.ids(x) for x in plain.encode(texts))
 
 
+def test_encoding_tasks_get_small_batches(spark, tmp_path, monkeypatch):
+    def sizes(batches, **_):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"part": [0], "file": [""], "docs": [batch.nbytes], "tokens": [batch.num_rows]})
+
+    monkeypatch.setattr(tokens, "_write", sizes)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(9000, numPartitions=1).selectExpr("id as doc_id", "repeat('some text ', 200) as text")
+    seen = tokens.write_sequences(docs, f"file://{tmp_path}/seq", VOCABULARY).collect()
+    assert sum(r["tokens"] for r in seen) == 9000 and max(r["docs"] for r in seen) < 5 << 20
+    assert spark.conf.get(key) == before
+
+
 def test_sequences_round_trip(spark, odd, tmp_path, encoder):
     out = f"file://{tmp_path}/seq"
     files = tokens.write_sequences(odd.repartition(3), out, VOCABULARY, length=64, rows=8).collect()
