@@ -189,3 +189,30 @@ def _counted(group: np.ndarray, km: np.ndarray, hash_: np.ndarray) -> tuple[np.n
     smallest = np.minimum.reduceat(km[order], first) if len(key) else km
     found = key[first]
     return (found >> 32).astype(np.int64), smallest, ((found & 0xFFFFFFFF) - (1 << 31)).astype(np.int32), cnt
+
+
+def sorted_to_bytes(values: np.ndarray, below: int) -> bytes:
+    """Ascending numbers under ``below`` in about two bits more than the logarithm of their mean gap each (Elias-Fano)."""
+    n = len(values)
+    low = max(0, (below // max(1, n)).bit_length() - 1)
+    high = np.zeros(n + (below >> low) + 1, np.uint8)
+    high[(values >> low) + np.arange(n)] = 1
+    whole, rest = divmod(low, 8)
+    left = values.astype("<u8").view(np.uint8).reshape(n, 8)
+    bits = (left[:, whole:whole + 1] >> np.arange(rest, dtype=np.uint8) & 1).astype(np.uint8)
+    return left[:, :whole].tobytes() + np.packbits(bits).tobytes() + np.packbits(high).tobytes()
+
+
+def sorted_from_bytes(data: bytes, n: int, below: int) -> np.ndarray:
+    """What :func:`sorted_to_bytes` was given."""
+    low = max(0, (below // max(1, n)).bit_length() - 1)
+    whole, rest = divmod(low, 8)
+    raw, at = np.frombuffer(data, np.uint8), n * whole
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :whole] = raw[:at].reshape(n, whole)
+    size = -(-n * rest // 8)
+    if rest:
+        bits = np.unpackbits(raw[at:at + size], count=n * rest).reshape(n, rest)
+        out[:, whole] = (bits << np.arange(rest, dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
+    high = np.flatnonzero(np.unpackbits(raw[at + size:]))[:n] - np.arange(n)
+    return out.view("<i8").reshape(n) | high << low

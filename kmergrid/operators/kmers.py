@@ -10,6 +10,7 @@ many fragments at a time (:mod:`..functions.hashing`).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,10 +20,18 @@ from pyspark.sql import functions as F
 
 from ..functions import murmur
 from ..functions import sequence as S
-from ..functions.hashing import canonical_windows, counted, first_and_last, largest_window, slices, texts, window_hashes
+from ..functions.hashing import (
+    canonical_windows, counted, first_and_last, largest_window, slices, sorted_from_bytes, sorted_to_bytes, texts, window_hashes)
+from ..session import materialize
 
 #: windows per chunk; a chunk carries ``k - 1`` extra bases of overlap
 CHUNK_WINDOWS = 8192
+#: windows whose hashes a task packs together, and about as many of a hash range are counted at a time
+HELD = 1 << 22
+#: occurrences of a hash among them from which on it is packed with its count
+OFTEN = 8
+#: bits of the filter of well-covered hashes, at most, and in each of its pieces
+FILTER_BITS, PIECE_BITS = 1 << 28, 1 << 20
 
 
 def fragments(sequences: DataFrame, k: int, keep: Sequence[str] = ("sample",),
@@ -190,14 +199,17 @@ def least_hashes(sequences: DataFrame, k: int, least: int) -> DataFrame:
     return parts.select("sample", F.slice(F.sort_array(F.array_distinct(F.flatten("hashes"))), 1, least).alias("hashes"))
 
 
-def kmer_counts(sequences: DataFrame, k: int, bound: str | None = None, least: int | None = None) -> DataFrame:
+def kmer_counts(sequences: DataFrame, k: int, bound: str | None = None, least: int | None = None, covered: int | None = None) -> DataFrame:
     """``sample, km, hash, cnt``: occurrences of each hash with the smallest k-mer, added up as far as a task reads them together.
 
     ``bound`` as in :func:`kmers`.  ``least`` keeps the smallest hashes of a sample in each such piece: a hash among the
-    ``least`` smallest of the whole sample is among those of every piece it occurs in, so its sum stays exact.
+    ``least`` smallest of the whole sample is among those of every piece it occurs in, so its sum stays exact.  With
+    ``covered`` only the sums of hashes that occur so many times in a sample are, see :func:`covered_kmers`.
     """
     if k > murmur.BASES_PER_LONG:
         return kmers(sequences, k, bound=bound).withColumn("cnt", F.lit(1).cast("bigint"))
+    if covered is not None:
+        return covered_kmers(sequences, k, covered)
     carried = ["sample"] if bound is None else ["sample", bound]
     frags = _chunks(sequences, k, carried, CHUNK_WINDOWS)
 
@@ -217,3 +229,162 @@ def kmer_counts(sequences: DataFrame, k: int, bound: str | None = None, least: i
                     [sample, pa.array(km.view(np.int64)), pa.array(hash_), pa.array(cnt.astype(np.int64))], names=["sample", "km", "hash", "cnt"])
 
     return frags.mapInArrow(summed, "sample string, km bigint, hash int, cnt bigint")
+
+
+def _named(column: pa.Array) -> tuple[list[str | None], np.ndarray]:
+    """The distinct values of a column of texts, and the place of each row's among them."""
+    names = column.dictionary_encode()
+    return [*names.dictionary.to_pylist(), *([None] if names.null_count else [])], names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False)
+
+
+def _numbers(names: list[str | None], ids: dict[str | None, int]) -> np.ndarray:
+    """The numbers of the names in ``ids``, in which new ones are entered."""
+    return np.array([ids.setdefault(x, len(ids)) for x in names], np.int64)
+
+
+def covered_hashes(sequences: DataFrame, k: int, covered: int) -> DataFrame:
+    """``sample, hash, cnt``: the hashes that occur at least ``covered`` times in a sample.
+
+    All hashes are dealt out by ranges, but only the hashes: a task sorts those of many windows and packs them, which
+    takes about two bytes for each instead of a row.  One that a task meets more than ``OFTEN`` times goes with its count.
+    """
+    total = materialize(sequences.agg(F.sum(F.length("seq").cast("bigint")).alias("n")), "total").first()[0] or 0
+    cores = sequences.sparkSession.sparkContext.defaultParallelism
+    ranges = max(2 * cores, -(-total // HELD))
+    width = -(-(1 << 32) // ranges)
+    frags = _chunks(sequences, k, ["sample"], CHUNK_WINDOWS)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[str | None, int] = {}
+        held: list[np.ndarray] = []
+        size = 0
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            # sorted by range, sample and hash
+            key = np.concatenate(held)
+            held.clear()
+            low = key & 0xFFFFFFFF
+            at = low // width
+            key = (at * len(ids) + (key >> 32)) * width + (low - at * width)
+            key.sort()
+            names, span = pa.array(list(ids), pa.string()), len(ids) * width
+            starts = np.searchsorted(key, np.arange(ranges + 1) * span)
+            for i in np.flatnonzero(np.diff(starts)):
+                part = key[starts[i]:starts[i + 1]] - i * span
+                own, place = np.unique(part // width, return_inverse=True)
+                part = place * width + part % width
+                runs = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                times = np.diff(np.append(runs, len(part)))
+                many = times > OFTEN
+                hot = part[runs[many]].tobytes(), times[many].astype(np.int64).tobytes()
+                part = part[np.repeat(~many, times)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int32()), pa.array([len(part)], pa.int32()), pa.ListArray.from_arrays([0, len(own)], names.take(pa.array(own))),
+                     *(pa.array([x], pa.binary()) for x in (sorted_to_bytes(part, len(own) * width), *hot))], names=["range", "n", "samples", "hashes", "hot", "times"])
+
+        for batch in batches:
+            for part in slices(batch, "frag"):
+                at, _, hash_ = window_hashes(part.column("frag"), k)
+                names, row = _named(part.column("sample"))
+                held.append(_numbers(names, ids)[row[at]] << 32 | (hash_.astype(np.int64) + (1 << 31)))
+                size += len(at)
+                if size >= HELD:
+                    yield from pieces()
+                    ids, size = {}, 0
+        if size:
+            yield from pieces()
+
+    def added(rows: pa.Table) -> pa.Table:
+        first = rows.column("range")[0].as_py() * width - (1 << 31)
+        ids: dict[str | None, int] = {}
+        keys, counts = [], []
+        for i, (n, samples) in enumerate(zip(rows.column("n").to_pylist(), rows.column("samples").to_pylist(), strict=True)):
+            data, hot, times = (rows.column(c)[i].as_buffer() for c in ("hashes", "hot", "times"))
+            own = _numbers(samples, ids)
+            value = np.concatenate([sorted_from_bytes(data, n, len(samples) * width), np.frombuffer(hot, np.int64)])
+            keys.append(own[value // width] * width + value % width)
+            counts.append(np.concatenate([np.ones(n, np.int64), np.frombuffer(times, np.int64)]))
+        key, cnt = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key)
+        key, cnt = key[order], cnt[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        cnt = np.add.reduceat(cnt, at)
+        often = cnt >= covered
+        key = key[at[often]]
+        return pa.table({"sample": pa.array(list(ids), pa.string()).take(pa.array(key // width)), "hash": pa.array(key % width + first, pa.int32()),
+                         "cnt": pa.array(cnt[often], pa.int64())})
+
+    dealt = frags.mapInArrow(packed, "range int, n int, samples array<string>, hashes binary, hot binary, times binary")
+    return dealt.groupBy("range").applyInArrow(added, "sample string, hash int, cnt bigint")
+
+
+def _filter_places(offset: np.ndarray, hash_: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a hash of a sample in a filter of ``bits`` bits, a power of two."""
+    mixed = (hash_.view(np.uint32) + offset) * np.uint32(0x9E3779B1)
+    return (mixed >> np.uint32(32 - bits.bit_length() + 1)).astype(np.int64)
+
+
+def _offsets(names: list[str | None]) -> np.ndarray:
+    return np.array([zlib.crc32((x or "").encode()) for x in names], np.uint32)
+
+
+def _filter(covered: DataFrame, bits: int) -> np.ndarray:
+    """The filter of the hashes of all samples, packed; its pieces are put together by tasks."""
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, row = _named(batch.column("sample"))
+            place = np.unique(_filter_places(_offsets(names)[row], batch.column("hash").to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(place // PIECE_BITS, pa.int32()), pa.array(place % PIECE_BITS, pa.int32())], names=["piece", "place"])
+
+    def piece(rows: pa.Table) -> pa.Table:
+        there = np.zeros(min(bits, PIECE_BITS), np.uint8)
+        there[rows.column("place").to_numpy()] = 1
+        return pa.table({"piece": rows.column("piece").slice(0, 1), "bits": pa.array([np.packbits(there).tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    found = covered.select("sample", "hash").mapInArrow(places, "piece int, place int").groupBy("piece").applyInArrow(piece, "piece int, bits binary")
+    for row in found.toLocalIterator():
+        out[row.piece * PIECE_BITS // 8:][:len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def covered_kmers(sequences: DataFrame, k: int, covered: int) -> DataFrame:
+    """``sample, km, hash, cnt`` as :func:`kmer_counts`, for hashes that occur at least ``covered`` times in a sample.
+
+    Added up they are exact.  Others are left out or have a count of 0: hashes are counted first, by themselves
+    (:func:`covered_hashes`), and the texts are read again for the k-mers of the well-covered ones, which a filter of
+    bounded size tells from most others.
+    """
+    often = materialize(covered_hashes(sequences, k, covered), "covered")
+    bits = min(FILTER_BITS, max(8, 1 << (16 * often.count()).bit_length()))
+    there = sequences.sparkSession.sparkContext.broadcast(_filter(often, bits))
+    frags = _chunks(sequences, k, ["sample"], CHUNK_WINDOWS)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = there.value
+        ids: dict[str | None, int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            group, km, hash_, _ = counted(*(np.concatenate(c) for c in zip(*held, strict=True)), None)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(ids), pa.string()).take(pa.array(group)), pa.array(km.view(np.int64)), pa.array(hash_), pa.array(np.zeros(len(km), np.int64))],
+                names=["sample", "km", "hash", "cnt"])
+
+        for batch in batches:
+            for part in slices(batch, "frag"):
+                at, pieces, hash_ = window_hashes(part.column("frag"), k)
+                names, row = _named(part.column("sample"))
+                place = _filter_places(_offsets(names)[row[at]], hash_, bits)
+                hit = np.flatnonzero(packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+                held.append((_numbers(names, ids)[row[at[hit]]], pieces[0][hit], hash_[hit]))
+                size += len(hit)
+                if size >= HELD:
+                    yield rows()
+                    ids, held, size = {}, [], 0
+        if size:
+            yield rows()
+
+    found = frags.mapInArrow(kept, "sample string, km bigint, hash int, cnt bigint")
+    return found.unionByName(often.select("sample", F.lit(None).cast("bigint").alias("km"), "hash", "cnt"))
