@@ -28,8 +28,12 @@ from ..session import materialize
 CHUNK_WINDOWS = 8192
 #: windows whose hashes a task packs together, and about as many of a hash range are counted at a time
 HELD = 1 << 22
+#: bytes of the Arrow batches of tasks that hold so many
+TASK_BATCH = 4 << 20
 #: occurrences of a hash among them from which on it is packed with its count
 OFTEN = 8
+#: ranges of hashes that are counted apart, and how many times the planner's guess of the size their number goes by
+LEAST_RANGES, MOST_RANGES, GUESS = 256, 1 << 14, 4
 #: bits of the filter of well-covered hashes, at most, and in each of its pieces
 FILTER_BITS, PIECE_BITS = 1 << 28, 1 << 20
 
@@ -248,9 +252,9 @@ def covered_hashes(sequences: DataFrame, k: int, covered: int) -> DataFrame:
     All hashes are dealt out by ranges, but only the hashes: a task sorts those of many windows and packs them, which
     takes about two bytes for each instead of a row.  One that a task meets more than ``OFTEN`` times goes with its count.
     """
-    total = materialize(sequences.agg(F.sum(F.length("seq").cast("bigint")).alias("n")), "total").first()[0] or 0
-    cores = sequences.sparkSession.sparkContext.defaultParallelism
-    ranges = max(2 * cores, -(-total // HELD))
+    # the planner's guess of the size is often too low, hence the factor; too many ranges only make smaller pieces
+    guess = int(str(sequences._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, GUESS * guess // HELD))
     width = -(-(1 << 32) // ranges)
     frags = _chunks(sequences, k, ["sample"], CHUNK_WINDOWS)
 
@@ -265,7 +269,13 @@ def covered_hashes(sequences: DataFrame, k: int, covered: int) -> DataFrame:
             held.clear()
             low = key & 0xFFFFFFFF
             at = low // width
-            key = (at * len(ids) + (key >> 32)) * width + (low - at * width)
+            key >>= 32
+            key += at * len(ids)
+            key *= width
+            at *= width
+            low -= at
+            key += low
+            del low, at
             key.sort()
             names, span = pa.array(list(ids), pa.string()), len(ids) * width
             starts = np.searchsorted(key, np.arange(ranges + 1) * span)
@@ -351,11 +361,10 @@ def _filter(covered: DataFrame, bits: int) -> np.ndarray:
 def covered_kmers(sequences: DataFrame, k: int, covered: int) -> DataFrame:
     """``sample, km, hash, cnt`` as :func:`kmer_counts`, for hashes that occur at least ``covered`` times in a sample.
 
-    Added up they are exact.  Others are left out or have a count of 0: hashes are counted first, by themselves
-    (:func:`covered_hashes`), and the texts are read again for the k-mers of the well-covered ones, which a filter of
-    bounded size tells from most others.
+    Each has one row; others are left out.  Hashes are counted first, by themselves (:func:`covered_hashes`), and the
+    texts are read again for the k-mers of the well-covered ones, which a filter of bounded size tells from most others.
     """
-    often = materialize(covered_hashes(sequences, k, covered), "covered")
+    often = materialize(covered_hashes(sequences, k, covered), "covered", TASK_BATCH)
     bits = min(FILTER_BITS, max(8, 1 << (16 * often.count()).bit_length()))
     there = sequences.sparkSession.sparkContext.broadcast(_filter(often, bits))
     frags = _chunks(sequences, k, ["sample"], CHUNK_WINDOWS)
@@ -380,11 +389,13 @@ def covered_kmers(sequences: DataFrame, k: int, covered: int) -> DataFrame:
                 hit = np.flatnonzero(packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
                 held.append((_numbers(names, ids)[row[at[hit]]], pieces[0][hit], hash_[hit]))
                 size += len(hit)
-                if size >= HELD:
+                if size >= HELD // 16:
                     yield rows()
                     ids, held, size = {}, [], 0
         if size:
             yield rows()
 
     found = frags.mapInArrow(kept, "sample string, km bigint, hash int, cnt bigint")
-    return found.unionByName(often.select("sample", F.lit(None).cast("bigint").alias("km"), "hash", "cnt"))
+    both = found.unionByName(often.select("sample", F.lit(None).cast("bigint").alias("km"), "hash", "cnt"))
+    exact = both.groupBy("sample", "hash").agg(F.sum("cnt").alias("cnt"), F.min("km").alias("km")).where("cnt > 0")
+    return materialize(exact.select("sample", "km", "hash", "cnt"), "covered", TASK_BATCH)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: rows a side may have before a broadcast hint is withheld
 BROADCAST_ROWS = 2_000_000
@@ -60,21 +61,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+def materialize(df: DataFrame, label: str = "step", batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     Cuts the lineage, survives lost executors, and gives later joins a
     column-pruned scan with a known size.  The shuffle files behind the written
     table are removed with the write, not when the driver happens to collect them.
+    ``batch_bytes`` bounds the Arrow batches that Python tasks get, which the task, its
+    workers and the executor all hold.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true"} | ({BATCH_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         df.write.mode("errorifexists").parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
